@@ -19,7 +19,6 @@ are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,11 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.frames import id_and_text, map_batches, shuffle_width
-from pointloom.llm.textkernel import LEAD_BYTE, Texts, slices, span_hashes
-
-#: Text bytes of one chunk, about; large executors take larger chunks, for fewer repeated words.
-CHUNK_BYTES = 16 << 20
+from pointloom.llm.chunks import CHUNK_BYTES, bucket_of, id_array, opened, pack, parts, unzipped, zipped
+from pointloom.llm.frames import map_batches, shuffle_width
+from pointloom.llm.textkernel import LEAD_BYTE, Texts, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Endings that the public pattern splits off after an apostrophe (fixed values of that pattern).
@@ -168,47 +165,10 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def _zipped(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed byte string."""
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).tobytes() for a in arrays)
-    head = np.array([len(body), *[a.nbytes for a in arrays]], np.int64).tobytes()
-    return head + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def _unzipped(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    head = np.frombuffer(blob, np.int64, len(kinds) + 1)
-    body = pa.decompress(blob[8 * len(head) :], int(head[0]), codec="zstd", asbytes=True)
-    at = np.concatenate([[0], np.cumsum(head[1:])])
-    return [np.frombuffer(body[a:b], k) for a, b, k in zip(at[:-1], at[1:], kinds)]
-
-
-def _pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows (chunk, blob): ids and texts of about ``chunk_bytes``; the key is a digest of the content."""
-
-    def pack(batch: pa.RecordBatch) -> Iterator[dict]:
-        for lo, texts in slices(batch["text"], chunk_bytes):
-            own = batch["doc_id"][lo : lo + len(texts)]
-            ids = np.asarray(own.fill_null(0), np.int64)
-            blob = _zipped(ids, np.asarray(own.is_null().to_numpy(zero_copy_only=False), np.uint8), texts.offsets, texts.data)
-            yield {"chunk": [int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)], "blob": [blob]}
-
-    return map_batches(id_and_text(docs), pack, "chunk long, blob binary")
-
-
-def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, Texts]:
-    ids, null, offsets, data = _unzipped(blob, np.int64, np.uint8, np.int64, np.uint8)
-    return ids, null, Texts(data, offsets)
-
-
-def _parts(texts: Texts) -> Iterator[tuple[int, Texts]]:
-    data = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(texts.offsets), pa.py_buffer(texts.data))
-    return slices(data)
-
-
 def _distinct_words(texts: Texts) -> tuple[np.ndarray, list[bytes]]:
     """Hashes, ascending, and bytes of the distinct pre-tokens of a chunk."""
     hashes, words = [], []
-    for _, part in _parts(texts):
+    for _, part in parts(texts):
         starts, ends, _ = pretoken_spans(part)
         own, at = np.unique(span_hashes(part.data, starts, ends), return_index=True)
         body = part.data.tobytes()
@@ -220,34 +180,29 @@ def _distinct_words(texts: Texts) -> tuple[np.ndarray, list[bytes]]:
     return own, [words[i] for i in at.tolist()]
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a hash; ascending hashes have ascending buckets."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, ids): token ids of every text as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     buckets = buckets or 2 * shuffle_width(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    chunks = _pack(docs, chunk_bytes)
+    chunks = pack(docs, chunk_bytes)
 
     def words_of(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"].to_pylist()):
-            hashes, words = _distinct_words(_open(blob)[2])
-            edges = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
+            hashes, words = _distinct_words(opened(blob)[2])
+            edges = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
             rows = [words[edges[k] : edges[k + 1]] for k in some]
             yield {
                 "bucket": pa.array(some, pa.int32()),
                 "chunk": [chunk] * len(rows),
-                "words": [_zipped(np.array([len(w) for w in row], np.uint32), np.frombuffer(b"".join(row), np.uint8)) for row in rows],
+                "words": [zipped(np.array([len(w) for w in row], np.uint32), np.frombuffer(b"".join(row), np.uint8)) for row in rows],
             }
 
     def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ranks, seen, blobs = shared.value, {}, []
         for blob in group["words"]:
-            lens, body = _unzipped(blob.as_py(), np.uint32, np.uint8)
+            lens, body = unzipped(blob.as_py(), np.uint32, np.uint8)
             body, ends = body.tobytes(), np.cumsum(lens, dtype=np.int64)
             ids = []
             for a, b in zip((ends - lens).tolist(), ends.tolist()):
@@ -257,7 +212,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
                     own = seen[word] = merge_word(word, ranks)
                 ids.append(own)
             flat = np.array([i for own in ids for i in own], np.uint32)
-            blobs.append(_zipped(np.array([len(own) for own in ids], np.uint32), flat))
+            blobs.append(zipped(np.array([len(own) for own in ids], np.uint32), flat))
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "ids": pa.array(blobs, pa.binary())})
 
     answers = map_batches(chunks, words_of, "bucket int, chunk long, words binary").groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, ids binary")
@@ -268,7 +223,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
             first.setdefault(bucket, blob)
         lens, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for bucket in sorted(first):
-            a, b = _unzipped(first[bucket].as_py(), np.uint32, np.uint32)
+            a, b = unzipped(first[bucket].as_py(), np.uint32, np.uint32)
             lens.append(a)
             flat.append(b)
         lens, flat = np.concatenate(lens).astype(np.int64), np.concatenate(flat)
@@ -276,8 +231,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
         out = []
         hashes = None
         for blob in chunk["blob"]:
-            ids, null, texts = _open(blob.as_py())
-            spans = [(lo, part, pretoken_spans(part)) for lo, part in _parts(texts)]
+            ids, null, texts = opened(blob.as_py())
+            spans = [(lo, part, pretoken_spans(part)) for lo, part in parts(texts)]
             keys = [span_hashes(part.data, s, e) for _, part, (s, e, _) in spans]
             if hashes is None:
                 hashes = np.unique(np.concatenate([np.unique(k) for k in keys])) if keys else np.zeros(0, np.uint64)
@@ -291,7 +246,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
                 stream = flat[np.arange(total) - np.repeat(first_id, n) + np.repeat(begin[word], n)]
                 at = np.append(first_id, total)[ptr] * 4
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(stream.astype("<u4"))])
-                out.append(pa.table({"doc_id": pa.array(ids[lo : lo + len(part)], mask=null[lo : lo + len(part)].astype(bool)), "ids": rows.cast(pa.binary())}))
+                out.append(pa.table({"doc_id": id_array(ids[lo : lo + len(part)], null[lo : lo + len(part)]), "ids": rows.cast(pa.binary())}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids binary")

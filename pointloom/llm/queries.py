@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import byte_bpe, license_scan, quality_rules, substring_dedup
+from pointloom.llm import byte_bpe, license_scan, minhash, quality_rules, substring_dedup
 from pointloom.llm.frames import table
 
 #: Vocabulary file of the public tokenizers that the BPE query encodes with.
@@ -31,11 +31,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY)))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import byte_bpe, license_scan, minhash, quality_rules, substring_dedup
+from pointloom.llm import byte_bpe, decontaminate, license_scan, minhash, quality_rules, substring_dedup
 from pointloom.llm.frames import table
 
 #: Vocabulary file of the public tokenizers that the BPE query encodes with.
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.fit_from(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,

@@ -15,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster names, so that a lost executor costs no result.
-
-    The folder comes from spark.checkpoint.dir; only where that is unset (tests) a folder of our own is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pointloom-checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a lost executor costs no result and lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm import byte_bpe, chat_format, decontaminate, license_scan, minhash, quality_rules, substring_dedup, url_reputation
+from pointloom.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, minhash, quality_classifier, quality_rules, substring_dedup, url_reputation
 from pointloom.llm.frames import table
 
 #: Vocabulary file of the public tokenizers that the BPE query encodes with.
@@ -19,6 +20,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.fit_from(docs, table(spark, sf_dir, "labels")))
 
 
+def _fold(of: int) -> Column:
+    """Remainder of the checksum of an id; a null id is in no fold."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit_from(docs, labels.where(_fold(5) != 0))
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality_classifier.DECISION).cast("int").alias("predicted"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +64,15 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit_from(docs.where(_fold(4) != 2))
+    return language_id.identify(docs, net).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_url_reputation": op4_url_reputation,
     "op5_substring_dedup": op5_substring_dedup,
@@ -60,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash": op9_minhash,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {"op4_url_reputation": url_reputation.ORACLE, "op6_chat_format": chat_format.ORACLE}

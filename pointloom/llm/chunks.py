@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.textkernel import Texts, slices
 
 #: Text bytes of one chunk, about; large executors take larger chunks, for fewer repeated pieces.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def zipped(*arrays: np.ndarray) -> bytes:

@@ -90,15 +90,17 @@ def _settle(lo: int, texts: Texts, ids: np.ndarray, null: np.ndarray, k: int, bu
     return _Part(lo, words, starts, removed, sent, bucket, hashes[sent], own[sent])
 
 
-def _parts(blob: bytes, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, list[_Part]]:
+def _parts(blob: bytes, k: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Part]]:
+    """(ids, nulls, slice) of a chunk, one slice at a time."""
     ids, null, texts = opened(blob)
-    return ids, null, [_settle(lo, part, ids[lo : lo + len(part)], null[lo : lo + len(part)], k, buckets) for lo, part in parts(texts)]
+    for lo, part in parts(texts):
+        yield ids, null, _settle(lo, part, ids[lo : lo + len(part)], null[lo : lo + len(part)], k, buckets)
 
 
 def _questions(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
     def ask(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"].to_pylist()):
-            for part in _parts(blob, k, buckets)[2]:
+            for _, _, part in _parts(blob, k, buckets):
                 edges = np.searchsorted(part.buckets, np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(edges))
                 heads, bodies = [], []
@@ -164,8 +166,7 @@ def _resolve(chunk: pa.Table, answers: pa.Table, k: int, buckets: int) -> Iterat
     for lo, bucket, x in zip(answers["lo"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"]):
         bits.setdefault((lo, bucket), x)
     for blob, rest in zip(chunk["blob"], chunk["rest"]):
-        ids, null, own = _parts(blob.as_py(), k, buckets)
-        for part in own:
+        for ids, null, part in _parts(blob.as_py(), k, buckets):
             removed = part.removed.copy()
             edges = np.searchsorted(part.buckets, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
@@ -195,7 +196,7 @@ def _intervals(gone: np.ndarray, ptr: np.ndarray) -> list[list[int]]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (binary, UTF-8) and the removed intervals [begin, end) in words, flattened."""
-    buckets = buckets or shuffle_width(docs.sparkSession)
+    buckets = buckets or 2 * shuffle_width(docs.sparkSession)
     chunks = pack(docs, chunk_bytes)
     answers = _answers(_questions(chunks, window, buckets))
 
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
 
     Columns and their order stay; a column ``n_chars`` is set to the length of a changed text.
     """
-    buckets = shuffle_width(docs.sparkSession)
+    buckets = 2 * shuffle_width(docs.sparkSession)
     chunks = pack(docs, chunk_bytes, id_col, text_col, carry=True)
     answers = _answers(_questions(chunks, window, buckets))
     names = docs.columns

@@ -1,14 +1,358 @@
-"""Registered queries over the test tables and the SQL that must give the same rows."""
+"""Registered queries over the test tables, and the SQL that must give the same rows.
+
+Doubles are rounded to six places on both sides.  Seeded random operators give
+audit rows, whose values follow from their definition whatever the seed.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.functions import numbers, transforms
+from pointloom.functions.metrics import Metric, unit_torus
+from pointloom.operators import distances, indicators, refine, selection
+from pointloom.plans import designs, randomizer, sequences, strata
+from pointloom.schema import points_from
+from pointloom.sources import entropy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+PART_BOX = ([1.0, 900.0], [50.0, 1000.0])
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_points(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Parts as points (size, price) of the unit square; equal points once, under their smallest key."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    if distinct:
+        part = part.groupBy("p_size", "p_retailprice").agg(F.min("p_partkey").alias("p_partkey"))
+    return transforms.scaled(points_from(part, "p_partkey", "p_size", "p_retailprice"), PART_BOX, ([0.0, 0.0], [1.0, 1.0]))
+
+
+def embedding_points(spark: SparkSession, sf_dir: str, label: int | None = None) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows if label is None else rows.where(F.col("label") == label)
+    return rows.select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("coords"))
+
+
+def by_coordinate(points: DataFrame, column: str = "coords") -> DataFrame:
+    value = F.round("v", 6).alias("v") if column == "coords" else F.col("v").cast("long").alias("v")
+    return points.select("point_id", F.posexplode(column).alias("dim", "v")).select("point_id", F.col("dim").cast("long").alias("dim"), value)
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols or ("value",):
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    """Ten parts picked far apart, with the least distance among them."""
+    points = part_points(spark, sf_dir)
+    picks = selection.select_greedy_maximin(points, 10, _origin(spark))
+    return picks.crossJoin(F.broadcast(indicators.separation_dist(picks.select("point_id", "coords")))).select("pos", "point_id", F.get("coords", 0).alias("x"), F.get("coords", 1).alias("y"), F.col("value").alias("separation"))
+
+
+def _origin(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(-1, [0.0, 0.0])], "point_id long, coords array<double>")
+
+
+P2 = "p2 AS (SELECT min(p_partkey) AS id, (p_size - 1) / 49.0::DOUBLE AS x, (p_retailprice - 900) / 100.0::DOUBLE AS y FROM part GROUP BY p_size, p_retailprice)"
+E64 = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS c, label FROM embeddings)"
+D2 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+VDC = "(SELECT sum(((i // pow({b}, k)::BIGINT) % {b}) / pow({b}, k + 1)) FROM range(0, {n}) t(k))"
+
+# sequences and lattices
+
+query("index_sobol", """
+WITH g AS (SELECT i - 1 AS id, xor(i, i >> 1) AS gray FROM range(1, 65) t(i)),
+q AS (SELECT id, (SELECT sum(((gray >> k) & 1) / pow(2, k + 1)) FROM range(0, 30) t(k)) AS q FROM g)
+SELECT row_number() OVER (ORDER BY q, id) - 1 AS pos, id AS value FROM q ORDER BY q, id LIMIT 48
+""")(lambda spark, _: randomizer.Randomizer(spark, 64, 48).sobol())
+
+query("index_halton", f"""
+WITH q AS (SELECT i - 5 AS id, {VDC.format(b=2, n=30)} AS q FROM range(5, 69) t(i))
+SELECT row_number() OVER (ORDER BY q, id) - 1 AS pos, id AS value FROM q ORDER BY q, id LIMIT 48
+""")(lambda spark, _: randomizer.Randomizer(spark, 64, 48).halton())
+
+query("index_korobov_g3", "SELECT i AS pos, (i * 3) % 64 AS value FROM range(0, 40) t(i)")(lambda spark, _: randomizer.Randomizer(spark, 64, 40).korobov_matrix(3))
+
+query("seq_halton_3d", " UNION ALL ".join(f"SELECT i AS point_id, {d}::BIGINT AS dim, round({VDC.format(b=b, n=20)}, 6) AS v FROM range(5, 105) t(i)" for d, b in enumerate((2, 3, 5))))(lambda spark, _: by_coordinate(sequences.halton(spark, 100, 3, 5)))
+
+
+def _directions_sql(dims: int) -> str:
+    return ", ".join(f"({d}, {k}, {v})" for d in range(dims) for k, v in enumerate(sequences.direction_numbers(d + 1)))
+
+
+query("seq_sobol_5d", f"""
+WITH v(dim, k, n) AS (VALUES {_directions_sql(5)})
+SELECT i AS point_id, dim::BIGINT AS dim, round(bit_xor(CASE WHEN (xor(i, i >> 1) >> k) & 1 = 1 THEN n ELSE 0 END) / pow(2, 30), 6) AS v
+FROM range(1, 129) t(i), v GROUP BY i, dim
+""")(lambda spark, _: by_coordinate(sequences.sobol(spark, 5, 128)))
+
+query("seq_sobol_normal")(lambda spark, _: by_coordinate(sequences.sobol_normal(spark, 2, 64)))
+
+query("seq_lcg", """
+WITH RECURSIVE s AS (SELECT 0::BIGINT AS pos, ((12345::BIGINT * 16807) % 2147483647)::BIGINT AS state UNION ALL SELECT pos + 1, (state * 16807) % 2147483647 FROM s WHERE pos < 49)
+SELECT pos, greatest(least(round_even((1 - state * 4.656612875e-10::DOUBLE) * 0.5 + state * 4.656612875e-10::DOUBLE * 100.5, 0)::BIGINT, 100), 1)::BIGINT AS value, state::BIGINT AS state FROM s
+""")(lambda spark, _: sequences.lcg(spark, 1, 100, 12345, 50))
+
+query("bit_helpers", """
+SELECT i AS n, CASE WHEN i > 0 THEN length(bin(i)) ELSE 0 END::BIGINT AS high, bit_count(xor(i, i + 1))::BIGINT AS low_zero FROM range(0, 1100) t(i)
+""")(lambda spark, _: spark.range(1100).select(F.col("id").alias("n"), numbers.high_bit(F.col("id")).cast("long").alias("high"), numbers.low_zero_bit(F.col("id")).cast("long").alias("low_zero")))
+
+query("primes", """
+WITH p AS (SELECT i AS n, i >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, 40) t(d) WHERE d < i AND i % d = 0) AS prime FROM range(0, 700) t(i))
+SELECT a.n, a.prime AS is_prime, (SELECT min(b.n) FROM p b WHERE b.prime AND b.n >= a.n) AS prime_ge FROM p a WHERE a.n < 600
+""")(lambda spark, _: spark.range(600).select(F.col("id").alias("n"), numbers.is_prime(F.col("id")).alias("is_prime"), numbers.prime_from(F.col("id")).alias("prime_ge")))
+
+query("grid_2d", """
+SELECT i AS point_id, 0::BIGINT AS dim, round((i // 8) / 7.0::DOUBLE, 6) AS v FROM range(0, 64) t(i) UNION ALL SELECT i, 1, round((i % 8) / 7.0::DOUBLE, 6) FROM range(0, 64) t(i)
+""")(lambda spark, _: by_coordinate(designs.grid(spark, 64, 2)))
+
+query("grid_3d", " UNION ALL ".join(f"SELECT i AS point_id, {d}::BIGINT AS dim, round(((i // {4 ** (2 - d)}) % 4) / 3.0::DOUBLE, 6) AS v FROM range(0, 64) t(i)" for d in range(3)))(lambda spark, _: by_coordinate(designs.grid(spark, 64, 3)))
+
+query("sukharev_2d", """
+SELECT i AS point_id, 0::BIGINT AS dim, round((i // 8 + 0.5::DOUBLE) / 8, 6) AS v FROM range(0, 64) t(i) UNION ALL SELECT i, 1, round((i % 8 + 0.5::DOUBLE) / 8, 6) FROM range(0, 64) t(i)
+""")(lambda spark, _: by_coordinate(designs.sukharev_grid(spark, 64, 2)))
+
+query("lattice_rank1", "SELECT i AS point_id, d::BIGINT AS dim, (i * g) % 101 AS v FROM range(0, 101) t(i), (VALUES (0, 5), (1, 17), (2, 60)) g(d, g)")(lambda spark, _: by_coordinate(sequences.rank1_lattice(spark, 101, [5, 17, 60]), "bins"))
+
+query("lattice_korobov", "SELECT i AS point_id, d::BIGINT AS dim, (i * g) % 101 AS v FROM range(0, 101) t(i), (VALUES (0, 1), (1, 12), (2, 144 % 101)) g(d, g)")(lambda spark, _: by_coordinate(sequences.korobov(spark, 101, 3, 12), "bins"))
+
+# transforms
+
+query("scaled_part", f"WITH {P2} SELECT id AS point_id, 0::BIGINT AS dim, round(x, 6) AS v FROM p2 UNION ALL SELECT id, 1, round(y, 6) FROM p2")(lambda spark, d: by_coordinate(part_points(spark, d)))
+
+for _name, _how, _cell in (("centered", transforms.cell_centered, "(b + 0.5::DOUBLE) / 16"), ("spread", transforms.spread_out, "b / 15.0::DOUBLE"), ("anchored", transforms.anchored, "b / 16.0::DOUBLE")):
+    query(f"transform_{_name}", f"""
+    WITH l AS (SELECT i AS point_id, d::BIGINT AS dim, (i * g) % 16 AS b FROM range(0, 16) t(i), (VALUES (0, 1), (1, 3)) g(d, g)) SELECT point_id, dim, round({_cell}, 6) AS v FROM l
+    """)(lambda spark, _, how=_how: by_coordinate(how(sequences.korobov(spark, 16, 2, 3))))
+
+query("transform_perturbed_audit", "SELECT 16::BIGINT AS n, true AS in_cells")(
+    lambda spark, _: transforms.perturbed(sequences.korobov(spark, 16, 2, 3), 7).join(sequences.korobov(spark, 16, 2, 3), "point_id").agg(F.count("*").alias("n"), F.bool_and(F.forall(F.zip_with("coords", "bins", lambda x, b: F.floor(x * 16) == b), lambda ok: ok)).alias("in_cells"))
+)
+
+query("shift_fixed", f"WITH {P2} SELECT id AS point_id, 0::BIGINT AS dim, round((x + 0.3::DOUBLE) % 1.0, 6) AS v FROM p2 UNION ALL SELECT id, 1, round((y + 0.75::DOUBLE) % 1.0, 6) FROM p2")(lambda spark, d: by_coordinate(transforms.shifted(part_points(spark, d), [0.3, 0.75])))
+
+query("lhd_check", "SELECT 3::BIGINT AS a, true AS is_lhd UNION ALL SELECT 4, false")(lambda spark, _: transforms.has_lhd_property(sequences.korobov(spark, 16, 2, 3)).select(F.lit(3).cast("long").alias("a"), "is_lhd").unionAll(transforms.has_lhd_property(sequences.korobov(spark, 16, 2, 4)).select(F.lit(4).cast("long").alias("a"), "is_lhd")))
+
+# distances
+
+_GAPS = "list_transform(list_zip(a.c, b.c), lambda p: abs(p[1] - p[2]))"
+for _name, _metric, _sql in (
+    ("l2", Metric(2.0), f"sqrt(list_sum(list_transform({_GAPS}, lambda g: g * g)))"),
+    ("l1", Metric(1.0), f"list_sum({_GAPS})"),
+    ("linf", Metric(math.inf), f"list_max({_GAPS})"),
+    ("lp3", Metric(3.0), f"pow(list_sum(list_transform({_GAPS}, lambda g: pow(g, 3))), 1 / 3.0::DOUBLE)"),
+    ("torus", Metric(1.0, (2.0,) * 64), f"list_sum(list_transform({_GAPS}, lambda g: least(g, 2 - g)))"),
+):
+    query(f"dist_{_name}", f"WITH {E64} SELECT a.id AS a, b.id AS b, round({_sql}, 6) AS dist FROM e a, e b WHERE a.label = 0 AND b.label = 1")(lambda spark, d, m=_metric: rounded(distances.distance_matrix(embedding_points(spark, d, 0), embedding_points(spark, d, 1), m), "dist"))
+
+query("dist_boundary", f"WITH {P2} SELECT id AS point_id, round(least(x, 1 - x, y, 1 - y), 6) AS dist FROM p2")(lambda spark, d: rounded(distances.dists_to_boundary(part_points(spark, d), 2), "dist"))
+
+# indicators
+
+_PAIRS = f"WITH {E64}, d AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform({_GAPS}, lambda g: g * g))) AS d FROM e a, e b WHERE a.id < b.id)"
+query("separation", f"{_PAIRS} SELECT round(min(d), 6) AS value FROM d")(lambda spark, d: rounded(indicators.separation_dist(embedding_points(spark, d))))
+query("sum_dists", f"{_PAIRS} SELECT round(sqrt(sum(d)), 6) AS value FROM d")(lambda spark, d: rounded(indicators.sum_of_dists(embedding_points(spark, d))))
+query("avg_inv_dist", f"{_PAIRS} SELECT round(pow(sum(pow(1 / d, 3)), 1 / 3.0::DOUBLE) / count(*), 9) AS value FROM d")(lambda spark, d: indicators.average_inverse_dist(embedding_points(spark, d), 64, 3).withColumn("value", F.round("value", 9)))
+query("sum_nn", f"{_PAIRS}, n AS (SELECT a AS id, d FROM d UNION ALL SELECT b, d FROM d), m AS (SELECT id, min(d) AS d FROM n GROUP BY id) SELECT round(sum(d), 6) AS value FROM m")(lambda spark, d: rounded(indicators.sum_of_nn_dists(embedding_points(spark, d))))
+_SIDES = f"WITH {E64}, d AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform({_GAPS}, lambda g: g * g))) AS d FROM e a, e b WHERE a.label = 0 AND b.label = 1), x AS (SELECT a, min(d) AS d FROM d GROUP BY a), y AS (SELECT b, min(d) AS d FROM d GROUP BY b)"
+query("hausdorff", f"{_SIDES} SELECT round(greatest((SELECT max(d) FROM x), (SELECT max(d) FROM y)), 6) AS value")(lambda spark, d: rounded(indicators.hausdorff_dist(embedding_points(spark, d, 0), embedding_points(spark, d, 1))))
+for _e in (1, 2):
+    query(f"avg_hausdorff_e{_e}", f"{_SIDES} SELECT round(greatest((SELECT sum(pow(d, {_e})) / pow(count(*), 1 / {_e}.0::DOUBLE) FROM x), (SELECT sum(pow(d, {_e})) / pow(count(*), 1 / {_e}.0::DOUBLE) FROM y)), 6) AS value")(lambda spark, d, e=_e: rounded(indicators.averaged_hausdorff_dist(embedding_points(spark, d, 0), embedding_points(spark, d, 1), e)))
+
+query("cr_lower", f"WITH {P2}, m AS (SELECT {VDC.format(b=2, n=20)} AS x, {VDC.format(b=3, n=14)} AS y, i FROM range(1, 201) t(i)), n AS (SELECT a.i, min({D2}) AS d FROM m a, p2 b GROUP BY a.i) SELECT round(max(d), 6) AS value FROM n")(lambda spark, d: rounded(indicators.covering_radius_lower_bound(part_points(spark, d), sequences.halton(spark, 200, 2, 1))))
+query("cr_upper", "SELECT round(sqrt(2.0::DOUBLE) / 16, 6) AS value")(lambda spark, _: rounded(indicators.covering_radius_upper_bound(designs.sukharev_grid(spark, 64, 2), strata.stratify_conventional(spark, 64, 2))))
+query("cr_exact_1d", "WITH p AS (SELECT (c_acctbal + 1000) / 11000.0::DOUBLE AS x FROM customer), g AS (SELECT x, (x - lag(x) OVER (ORDER BY x)) / 2 AS gap FROM p) SELECT round(greatest(max(gap), min(x), 1 - max(x)), 6) AS value FROM g")(
+    lambda spark, d: rounded(indicators.covering_radius(transforms.scaled(points_from(_table(spark, d, "customer"), "c_custkey", "c_acctbal"), ([-1000.0], [10000.0]), ([0.0], [1.0])), 1))
+)
+query("cr_exact_2d", "SELECT round(sqrt(2.0::DOUBLE) / 6, 6) AS value")(lambda spark, _: rounded(indicators.covering_radius(designs.sukharev_grid(spark, 9, 2), 2)))
+query("l2_discrepancy", "WITH p AS (SELECT p_partkey AS id, (p_size - 1) / 49.0::DOUBLE AS x, (p_retailprice - 900) / 100.0::DOUBLE AS y FROM part), s AS (SELECT sum((1 - greatest(a.x, b.x)) * least(a.x, b.x) * (1 - greatest(a.y, b.y)) * least(a.y, b.y)) AS pairs FROM p a, p b), t AS (SELECT sum(x * (1 - x) * y * (1 - y)) AS singles, count(*)::DOUBLE AS n FROM p) SELECT round(sqrt(pairs / (n * n) - singles * 0.5::DOUBLE / n + 1 / 144.0::DOUBLE), 6) AS value FROM s, t")(
+    lambda spark, d: rounded(indicators.unanchored_l2_discrepancy(part_points(spark, d, distinct=False), 2))
+)
+query("l2_discrepancy_expected", "SELECT round(sqrt(pow(6.0::DOUBLE, -2) * (1 - pow(2.0::DOUBLE, -2)) / 100), 6) AS value")(lambda spark, _: rounded(indicators.expected_unanchored_l2_discrepancy(spark, 100, 2)))
+query("mean_dist_boundary", f"WITH {P2} SELECT round(avg(least(x, 1 - x, y, 1 - y)), 6) AS value FROM p2")(lambda spark, d: rounded(indicators.mean_dist_to_boundary(part_points(spark, d), 2)))
+query("expected_dist_boundary", "SELECT 0.1::DOUBLE AS value")(lambda spark, _: indicators.expected_dist_to_boundary(spark, 4))
+query("solow_polasky", "SELECT round(2 / (1 + exp(-sqrt(0.5::DOUBLE))), 6) AS value")(lambda spark, _: rounded(indicators.solow_polasky_diversity(_two(spark))))
+query("weitzman", "SELECT round(1 + sqrt(0.5::DOUBLE), 6) AS value")(lambda spark, _: rounded(indicators.weitzman_diversity(_two(spark))))
+query("wmh")(lambda spark, _: rounded(indicators.wmh_index(spark, 0.05, 2.0, 20, 2)))
+
+
+def _two(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, [0.25, 0.25]), (1, [0.75, 0.75])], "point_id long, coords array<double>")
+
+
+# selection
+
+_KINDS = {
+    "maximin": ("least(s.crit, {d})", "{d}", "DESC", False),
+    "maxisum": ("s.crit + {d}", "{d}", "DESC", True),
+    "energy": ("s.crit + CASE WHEN {d} = 0 THEN 'inf'::DOUBLE ELSE 1 / pow({d}, 3) END", "CASE WHEN {d} = 0 THEN 'inf'::DOUBLE ELSE 1 / pow({d}, 3) END", "ASC", True),
+}
+
+
+def _greedy_sql(kind: str, k: int) -> str:
+    step, start, order, mask = _KINDS[kind]
+    gap = "sqrt((p2.x - {q}x) * (p2.x - {q}x) + (p2.y - {q}y) * (p2.y - {q}y))"
+    zero = "sqrt(p2.x * p2.x + p2.y * p2.y)"
+    ctes = [P2, f"s0 AS (SELECT id, x, y, {start.format(d=zero)} AS crit FROM p2)", f"k0 AS (SELECT * FROM s0 ORDER BY crit {order}, id LIMIT 1)"]
+    for i in range(1, k):
+        d = gap.replace("p2.", "s.").format(q=f"k{i - 1}.")
+        moved = step.format(d=d)
+        out = "'-inf'::DOUBLE" if order == "DESC" else "'inf'::DOUBLE"
+        if mask:
+            moved = f"CASE WHEN s.id = k{i - 1}.id OR s.crit = {out} THEN {out} ELSE {moved} END"
+        ctes += [f"s{i} AS MATERIALIZED (SELECT s.id, s.x, s.y, {moved} AS crit FROM s{i - 1} s, k{i - 1})", f"k{i} AS MATERIALIZED (SELECT * FROM s{i} ORDER BY crit {order}, id LIMIT 1)"]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS pos, id AS point_id FROM k{i}" for i in range(k))
+
+
+query("greedy_maximin", _greedy_sql("maximin", 10))(lambda spark, d: selection.select_greedy_maximin(part_points(spark, d), 10, _origin(spark)).select("pos", "point_id"))
+query("greedy_maxisum", _greedy_sql("maxisum", 10))(lambda spark, d: selection.select_greedy_maxisum(part_points(spark, d), 10, _origin(spark)).select("pos", "point_id"))
+query("greedy_energy", _greedy_sql("energy", 10))(lambda spark, d: selection.select_greedy_energy(part_points(spark, d), 10, 2, _origin(spark)).select("pos", "point_id"))
+
+
+def _psa_sql(k: int) -> str:
+    """Bisection as one common table after another: bounds, the widest cluster, and the points with their clusters."""
+    ctes = [P2, "c1 AS (SELECT *, 0 AS c FROM p2)"]
+    for i in range(1, k):
+        ctes += [
+            f"b{i} AS MATERIALIZED (SELECT c, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, greatest(max(x) - min(x), max(y) - min(y)) AS e FROM c{i} GROUP BY c)",
+            f"w{i} AS MATERIALIZED (SELECT *, hx - lx >= hy - ly AS by_x FROM b{i} ORDER BY e DESC, c LIMIT 1)",
+            f"c{i + 1} AS MATERIALIZED (SELECT p.id, p.x, p.y, CASE WHEN p.c = w.c AND CASE WHEN by_x THEN p.x >= (lx + hx) / 2 ELSE p.y >= (ly + hy) / 2 END THEN {i} ELSE p.c END AS c FROM c{i} p, w{i} w)",
+        ]
+    return f"WITH {', '.join(ctes)}"
+
+
+_BOXES = "z AS (SELECT c, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, avg(x) AS mx, avg(y) AS my FROM c8 GROUP BY c)"
+_FIRST = "SELECT c::BIGINT AS cluster_id, id AS point_id FROM (SELECT p.c, p.id, row_number() OVER (PARTITION BY p.c ORDER BY {score}, p.id) AS r FROM c8 p JOIN z USING (c)) q WHERE r = 1"
+query("psa_assign", _psa_sql(8) + " SELECT c::BIGINT AS cluster_id, id AS point_id FROM c8")(lambda spark, d: selection.psa_partition(part_points(spark, d), 8, 2).select("cluster_id", "point_id"))
+for _name, _target, _score in (
+    ("centroid", "centroid_of_hypercube", "sqrt((p.x - (lx + hx) * 0.5) * (p.x - (lx + hx) * 0.5) + (p.y - (ly + hy) * 0.5) * (p.y - (ly + hy) * 0.5))"),
+    ("boundary", "max_dist_from_boundary", "-least(p.x - lx, hx - p.x, p.y - ly, hy - p.y)"),
+):
+    query(f"psa_select_{_name}", f"{_psa_sql(8)}, {_BOXES} {_FIRST.format(score=_score)}")(lambda spark, d, t=_target: selection.psa_select(part_points(spark, d), 8, 2, t).select("cluster_id", "point_id"))
+query("psa_select_mass", f"{_psa_sql(8)}, {_BOXES} {_FIRST.format(score='sqrt((p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my))')}")(lambda spark, d: selection.psa_select(part_points(spark, d), 8, 2, "center_of_mass").select("cluster_id", "point_id"))
+query("closest_point", f"WITH {P2} SELECT id AS point_id, round(sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5)), 6) AS dist FROM p2 ORDER BY sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5)), id LIMIT 1")(lambda spark, d: rounded(selection.closest_point(part_points(spark, d), [0.5, 0.5]).select("point_id", "dist"), "dist"))
+
+# strata, designs and sampling
+
+query("strata_2d", """
+SELECT i AS stratum_id, round((i // 8) / 8.0::DOUBLE, 6) AS lo0, round((i % 8) / 8.0::DOUBLE, 6) AS lo1, round((i // 8 + 1) / 8.0::DOUBLE, 6) AS hi0, round((i % 8 + 1) / 8.0::DOUBLE, 6) AS hi1 FROM range(0, 64) t(i)
+""")(lambda spark, _: strata.stratify_conventional(spark, 64, 2).select("stratum_id", *[F.round(F.get(c, j), 6).alias(f"{c}{j}") for c in ("lo", "hi") for j in (0, 1)]))
+
+
+def _volume() -> Column:
+    return F.aggregate(F.zip_with("hi", "lo", lambda h, l: h - l), F.lit(1.0), lambda p, s: p * s)
+
+
+query("strata_generalized_audit", "SELECT 100::BIGINT AS n, round(1 / 100.0::DOUBLE, 9) AS least, round(1 / 100.0::DOUBLE, 9) AS most, 1.0::DOUBLE AS total")(
+    lambda spark, _: strata.stratify_generalized(spark, 100, 3, 11).withColumn("v", _volume()).agg(F.count("*").alias("n"), F.round(F.min("v"), 9).alias("least"), F.round(F.max("v"), 9).alias("most"), F.round(F.sum("v"), 9).alias("total"))
+)
+query("stratified_centres", """
+SELECT i AS point_id, d::BIGINT AS dim, round((CASE d WHEN 0 THEN i // 8 ELSE i % 8 END + 0.5::DOUBLE) / 8, 6) AS v FROM range(0, 64) t(i), range(0, 2) u(d)
+""")(lambda spark, _: by_coordinate(strata.stratified_sampling(strata.stratify_conventional(spark, 64, 2), 1, math.inf)))
+
+
+def _in_strata(spark: SparkSession, latin: str, bates: float = 1) -> DataFrame:
+    boxes = strata.stratify_generalized(spark, 60, 2, 5)
+    inside = F.forall(F.arrays_zip("coords", "lo", "hi"), lambda s: (s["coords"] >= s["lo"]) & (s["coords"] <= s["hi"]))
+    sampled = strata.stratified_sampling(boxes, 9, bates, latin).join(boxes.withColumnRenamed("stratum_id", "point_id"), "point_id")
+    binned = [F.count_distinct(F.floor(F.get("coords", j) * 60)) for j in (0, 1)]
+    return sampled.agg(F.count("*").alias("n"), F.bool_and(inside).alias("inside"), (F.least(*binned) == 60 if latin == "matching" else F.lit(True)).alias("latin"))
+
+
+for _latin, _bates in (("none", 1), ("none", 3), ("approx", 1), ("matching", 1)):
+    query(f"stratified_{_latin}{'_bates' if _bates > 1 else ''}_audit", "SELECT 60::BIGINT AS n, true AS inside, true AS latin")(lambda spark, _, l=_latin, b=_bates: _in_strata(spark, l, b))
+
+query("strata_from_points_audit", f"WITH {P2} SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM p2 WHERE id < 200")(
+    lambda spark, d: _around(part_points(spark, d).where("point_id < 200"))
+)
+
+
+def _around(points: DataFrame) -> DataFrame:
+    boxes = strata.reconstruct_strata_from_points(points, 2, 3)
+    inside = F.forall(F.arrays_zip("coords", "lo", "hi"), lambda s: (s["coords"] >= s["lo"]) & (s["coords"] <= s["hi"]))
+    return boxes.join(points.withColumnRenamed("point_id", "stratum_id"), "stratum_id").agg(F.count("*").alias("n"), F.bool_and(inside).alias("inside"), F.round(F.sum(_volume()), 6).alias("total"))
+
+
+def _columns(design: DataFrame) -> DataFrame:
+    return design.select("point_id", F.posexplode("bins").alias("dim", "v")).groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("v").alias("distinct_values"), F.min("v").cast("long").alias("low"), F.max("v").cast("long").alias("high"))
+
+
+def _permutations_sql(n: int, dims: int) -> str:
+    return f"SELECT d AS dim, {n}::BIGINT AS n, {n}::BIGINT AS distinct_values, 0::BIGINT AS low, {n - 1}::BIGINT AS high FROM range(0, {dims}) t(d)"
+
+
+query("lhd_random_audit", _permutations_sql(1000, 3))(lambda spark, _: _columns(designs.lhd(spark, 1000, 3, 4)))
+query("lhd_plain_audit", _permutations_sql(100, 2))(lambda spark, _: _columns(designs.lhd(spark, 100, 2, 4, identity_first=True)))
+query("lhd_sudoku_audit", _permutations_sql(36, 2))(lambda spark, _: _columns(designs.sudoku(spark, 2, 3, 4, 8)))
+query("lhd_sudoku_boxes_audit", "SELECT 9::BIGINT AS boxes, 4::BIGINT AS least, 4::BIGINT AS most")(
+    lambda spark, _: designs.sudoku(spark, 2, 3, 4, 8).groupBy(F.floor(F.get("bins", 0) / 12).alias("a"), F.floor(F.get("bins", 1) / 12).alias("b")).count().agg(F.count("*").alias("boxes"), F.min("count").alias("least"), F.max("count").alias("most"))
+)
+query("lhd_improved_audit", _permutations_sql(30, 2))(lambda spark, _: _columns(designs.improved_lhd(spark, 30, 2, 6)))
+query("random_uniform_audit", "SELECT 5000::BIGINT AS n, true AS in_cube, true AS centred")(
+    lambda spark, _: sequences.random_uniform(spark, 5000, 2, 3).agg(F.count("*").alias("n"), F.bool_and(F.forall("coords", lambda x: (x >= 0) & (x < 1))).alias("in_cube"), (F.abs(F.avg(F.get("coords", 0)) - 0.5) < 0.02).alias("centred"))
+)
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"), ((F.min("value") >= 0) & (F.max("value") < 100)).alias("in_range"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+for _name in ("uniform_mersenne", "uniform_crypto", "latin_matrix", "latin_improved", "latin_sudoku"):
+    query(f"{_name}_audit", "SELECT 40::BIGINT AS n, 40::BIGINT AS distinct_values, true AS in_range, 0::BIGINT AS first_pos, 39::BIGINT AS last_pos")(lambda spark, _, m=_name: _values(getattr(randomizer.Randomizer(spark, 100, 40, 3), m)()))
+
+query("random_alpha_audit", "SELECT 12::BIGINT AS n, true AS letters")(lambda spark, _: randomizer.random_alpha(spark, 12, 5).select(F.length("letters").cast("long").alias("n"), F.col("letters").rlike("^[a-z]+$").alias("letters")))
+
+
+def _improved(spark: SparkSession, kind: str) -> DataFrame:
+    start = sequences.random_uniform(spark, 20, 2, 12)
+    better = refine.random_k_means(start, 2, 400) if kind == "means" else refine.maximin_reconstruction(start, 2, 400)
+    metric = Metric(2.0) if kind == "means" else unit_torus(2)
+    before, after = indicators.separation_dist(start, metric), indicators.separation_dist(better.drop("restart"), metric)
+    counted = better.agg(F.count("*").alias("n"), F.bool_and(F.forall("coords", lambda x: (x >= 0) & (x <= 1))).alias("in_cube"))
+    gained = after.withColumnRenamed("value", "after").crossJoin(F.broadcast(before)).select((F.col("after") >= F.col("value")).alias("not_lower"))
+    return counted.crossJoin(F.broadcast(gained)) if kind != "means" else counted
+
+
+query("random_k_means_audit", "SELECT 20::BIGINT AS n, true AS in_cube")(lambda spark, _: _improved(spark, "means"))
+query("maximin_reconstruction_audit", "SELECT 20::BIGINT AS n, true AS in_cube, true AS not_lower")(lambda spark, _: _improved(spark, "maximin"))
+
+# entropy
+
+RECORDED = "65534,0,1,32768,65535,4096,77,65000"
+_WORDS = f"w AS (SELECT (generate_subscripts(l, 1) - 1)::BIGINT AS pos, unnest(l)::BIGINT AS word FROM (SELECT [{RECORDED}] AS l))"
+
+
+def _recorded(spark: SparkSession) -> DataFrame:
+    entropy.register(spark)
+    return spark.read.format("entropy").option("words", RECORDED).option("block", 3).load()
+
+
+query("entropy_randint", f"WITH {_WORDS} SELECT pos, round(word / (65535 / 100.0::DOUBLE), 6) AS value FROM w WHERE word < 65535")(lambda spark, _: rounded(entropy.randint(_recorded(spark), 0, 100)))
+query("entropy_randint_wide", f"WITH {_WORDS}, p AS (SELECT pos // 2 AS pos, max(word) FILTER (pos % 2 = 0) * 65536 + max(word) FILTER (pos % 2 = 1) AS n FROM w GROUP BY 1) SELECT pos, round(n / (4294967295 / 1000000.0::DOUBLE) + 5, 4) AS value FROM p WHERE n < 4294967295")(lambda spark, _: entropy.randint(_recorded(spark), 5, 1_000_005).withColumn("value", F.round("value", 4)))
+query("entropy_hex", "SELECT '00ff10aa' AS hex, 4::BIGINT AS n_bytes")(lambda spark, _: entropy.hex_text(spark.createDataFrame([(1, "10aa"), (0, "00ff")], "pos long, block string")).select("hex", F.octet_length("bytes").cast("long").alias("n_bytes")))
+query("index_quantum", f"WITH {_WORDS}, k AS (SELECT pos, floor(word / (65535 / 100.0::DOUBLE))::BIGINT AS value FROM w WHERE word < 65535) SELECT (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS pos, value FROM k ORDER BY pos LIMIT 5")(lambda spark, _: randomizer.Randomizer(spark, 100, 5).quantum(_recorded(spark)))
+query("index_ambience_audit", "SELECT 4::BIGINT AS n, 4::BIGINT AS distinct_values")(
+    lambda spark, _: randomizer.Randomizer(spark, 9, 4).ambience(spark.createDataFrame([(x,) for x in (3, 9, 3, 0, 7, 5, 9)], "value long")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
+)

@@ -1,10 +1,11 @@
 """External entropy: a data source of 16-bit words, and integers made of them.
 
 ``register(spark)`` adds the format "entropy" for batch and streaming reads.
-By default it reads recorded words (option ``words``, separated by commas);
+By default it reads recorded values (option ``words``, separated by commas);
 with option ``url`` it asks a service that answers with JSON, over TLS as it
-comes, a key only from the option ``key``.  Nothing is asked unless a url is
-given.
+comes.  Nothing is asked unless a url is given.  Option ``type`` is "uint16"
+(rows pos, word), "hex16" (pos, block) or "integers" (pos, value: a sequence
+between options ``low`` and ``high``, with the caller's ``key``).
 """
 
 from __future__ import annotations
@@ -54,17 +55,32 @@ def fetch_integers(url: str, key: str, n: int, low: int, high: int, timeout: flo
         return parse_response(answer.read().decode(), "uint16", n)
 
 
+SCHEMAS = {"uint16": "pos long, word int", "hex16": "pos long, block string", "integers": "pos long, value long"}
+
+
 class _Words:
+    """Blocks of values of a service or of a record."""
+
     def __init__(self, options: dict) -> None:
         self.url = options.get("url")
+        self.kind = options.get("type", "uint16")
+        if self.kind not in SCHEMAS:
+            raise ValueError(f"type must be one of {tuple(SCHEMAS)}")
         self.block = int(options.get("block", MOST))
-        self.recorded = [int(w) for w in options.get("words", "").split(",") if w.strip()]
+        self.size = int(options.get("size", 1))
+        self.low, self.high, self.key = int(options.get("low", 0)), int(options.get("high", 1)), options.get("key", "")
+        self.recorded = [w.strip() for w in options.get("words", "").split(",") if w.strip()]
         self.blocks = int(options.get("blocks", 1 if self.url else -(-len(self.recorded) // self.block)))
 
-    def read(self, block: int) -> Iterator[tuple[int, int]]:
-        words = fetch(self.url, "uint16", self.block) if self.url else self.recorded[block * self.block : (block + 1) * self.block]
-        for i, word in enumerate(words):
-            yield block * self.block + i, int(word)
+    def read(self, block: int) -> Iterator[tuple]:
+        if not self.url:
+            values = self.recorded[block * self.block : (block + 1) * self.block]
+        elif self.kind == "integers":
+            values = fetch_integers(self.url, self.key, self.block, self.low, self.high)
+        else:
+            values = fetch(self.url, self.kind, self.block, self.size)
+        for i, value in enumerate(values):
+            yield block * self.block + i, str(value) if self.kind == "hex16" else int(value)
 
 
 class _Block(InputPartition):
@@ -109,7 +125,7 @@ class EntropySource(DataSource):
         return "entropy"
 
     def schema(self) -> str:
-        return "pos long, word int"
+        return SCHEMAS[_Words(self.options).kind]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return EntropyReader(self.options)

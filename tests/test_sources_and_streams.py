@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom import cli
 from pointloom.plans.randomizer import Randomizer
 from pointloom.sources import entropy
 from pointloom.streaming.means import running_centres
@@ -44,6 +45,16 @@ def test_hex(spark):
     assert row.hex == "00ff10aa" and bytes(row.bytes) == bytes.fromhex("00ff10aa")
 
 
+def test_kinds(spark, words, capsys):
+    read = spark.read.format("entropy").option("block", 2)
+    assert [r.block for r in read.option("type", "hex16").option("words", "00ff,10aa,7777").load().orderBy("pos").collect()] == ["00ff", "10aa", "7777"]
+    assert [tuple(r) for r in read.option("type", "integers").option("words", "5,-1").load().orderBy("pos").collect()] == [(0, 5), (1, -1)]
+    cli.main(["--int", "--min", "5", "--max", "6", "--count", "3", "--words", WORDS], spark)
+    assert capsys.readouterr().out.split() == ["5"] * 3
+    cli.main(["--hex", "--words", "00ff,10aa"], spark)
+    assert capsys.readouterr().out.strip() == "00ff10aa"
+
+
 def test_stream_of_words(spark, words):
     stream = spark.readStream.format("entropy").option("words", WORDS).option("block", 3).load()
     query = stream.writeStream.format("memory").queryName("entropy_words").start()

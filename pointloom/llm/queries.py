@@ -83,4 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op4_url_reputation": url_reputation.ORACLE, "op6_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_url_reputation": url_reputation.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
+    "op9_minhash": minhash.ORACLE,
+}

@@ -254,3 +254,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
 
 def digests(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS k FROM w, unnest(range(1, len(words) - 48)) t(p)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + o AS q FROM windows JOIN firsts USING (k), range(0, 50) t(o) WHERE doc_id > first),
+placed AS (SELECT doc_id, q, words[q] AS word FROM w, unnest(range(1, len(words) + 1)) t(q)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM placed ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -310,7 +310,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reached(id, at) AS (SELECT doc_id, doc_id FROM w UNION SELECT id, ways.b FROM reached JOIN ways ON at = ways.a),
-lowest AS (SELECT id AS doc_id, min(at) AS component_id FROM reached GROUP BY id)
+reached(id, node) AS (SELECT doc_id, doc_id FROM w UNION SELECT id, ways.b FROM reached JOIN ways ON node = ways.a),
+lowest AS (SELECT id AS doc_id, min(node) AS component_id FROM reached GROUP BY id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM lowest LEFT JOIN n USING (doc_id)
 """

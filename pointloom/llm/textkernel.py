@@ -44,17 +44,26 @@ def _place_key(n: int) -> np.ndarray:
     return mix64(np.arange(n, dtype=np.uint64)) | np.uint64(1)
 
 
+#: Bytes of spans hashed at a time, so that the arrays of eight bytes for each of them stay small.
+HASH_BYTES = 1 << 19
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of every span; spans are ascending, disjoint and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    total = int(lens.sum())
-    place = np.arange(total) - np.repeat(first, lens)
-    chars = data[place + np.repeat(starts, lens)]
-    sums = np.add.reduceat(_BYTE_KEY[chars] * _place_key(int(lens.max()))[place], first)
-    return mix64(sums + lens.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    out = np.zeros(len(starts), np.uint64)
+    upto = np.cumsum(lens)
+    lo = 0
+    while lo < len(starts):
+        begin = upto[lo] - lens[lo]
+        hi = max(lo + 1, int(np.searchsorted(upto, begin + HASH_BYTES, side="right")))
+        own = lens[lo:hi]
+        first = upto[lo:hi] - own - begin
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        chars = data[place + np.repeat(starts[lo:hi], own)]
+        out[lo:hi] = np.add.reduceat(_BYTE_KEY[chars] * _place_key(int(own.max()))[place], first)
+        lo = hi
+    return mix64(out + lens.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 @dataclass

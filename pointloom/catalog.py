@@ -53,6 +53,10 @@ def embedding_points(spark: SparkSession, sf_dir: str, label: int | None = None)
     return rows.select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("coords"))
 
 
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("coords"))
+
+
 def by_coordinate(points: DataFrame, column: str = "coords") -> DataFrame:
     value = F.round("v", 6).alias("v") if column == "coords" else F.col("v").cast("long").alias("v")
     return points.select("point_id", F.posexplode(column).alias("dim", "v")).select("point_id", F.col("dim").cast("long").alias("dim"), value)
@@ -176,6 +180,9 @@ query("separation", f"{_PAIRS} SELECT round(min(d), 6) AS value FROM d")(lambda
 query("sum_dists", f"{_PAIRS} SELECT round(sqrt(sum(d)), 6) AS value FROM d")(lambda spark, d: rounded(indicators.sum_of_dists(embedding_points(spark, d))))
 query("avg_inv_dist", f"{_PAIRS} SELECT round(pow(sum(pow(1 / d, 3)), 1 / 3.0::DOUBLE) / count(*), 9) AS value FROM d")(lambda spark, d: indicators.average_inverse_dist(embedding_points(spark, d), 64, 3).withColumn("value", F.round("value", 9)))
 query("sum_nn", f"{_PAIRS}, n AS (SELECT a AS id, d FROM d UNION ALL SELECT b, d FROM d), m AS (SELECT id, min(d) AS d FROM n GROUP BY id) SELECT round(sum(d), 6) AS value FROM m")(lambda spark, d: rounded(indicators.sum_of_nn_dists(embedding_points(spark, d))))
+_BY_LABEL = f"WITH {E64}, d AS (SELECT a.label, a.id AS a, b.id AS b, sqrt(list_sum(list_transform({_GAPS}, lambda g: g * g))) AS d FROM e a, e b WHERE a.id < b.id AND a.label = b.label)"
+query("separation_by_label", f"{_BY_LABEL} SELECT label, round(min(d), 6) AS value FROM d GROUP BY label")(lambda spark, d: rounded(indicators.separation_dist(labelled_points(spark, d), by="label")))
+query("sum_nn_by_label", f"{_BY_LABEL}, n AS (SELECT label, a AS id, d FROM d UNION ALL SELECT label, b, d FROM d), m AS (SELECT label, id, min(d) AS d FROM n GROUP BY 1, 2) SELECT label, round(sum(d), 6) AS value FROM m GROUP BY label")(lambda spark, d: rounded(indicators.sum_of_nn_dists(labelled_points(spark, d), by="label")))
 _SIDES = f"WITH {E64}, d AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform({_GAPS}, lambda g: g * g))) AS d FROM e a, e b WHERE a.label = 0 AND b.label = 1), x AS (SELECT a, min(d) AS d FROM d GROUP BY a), y AS (SELECT b, min(d) AS d FROM d GROUP BY b)"
 query("hausdorff", f"{_SIDES} SELECT round(greatest((SELECT max(d) FROM x), (SELECT max(d) FROM y)), 6) AS value")(lambda spark, d: rounded(indicators.hausdorff_dist(embedding_points(spark, d, 0), embedding_points(spark, d, 1))))
 for _e in (1, 2):

@@ -1,4 +1,7 @@
-"""Measures of diversity, coverage and discrepancy; each gives one row with a column ``value``."""
+"""Measures of diversity, coverage and discrepancy; each gives one row with a column ``value``.
+
+Measures of pairs and of neighbours take ``by``, a column that is never null, and then give a row for each of its values.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
@@ -23,7 +26,11 @@ def _upper(d: np.ndarray, same: bool) -> np.ndarray:
     return d[np.triu_indices(len(d), 1)] if same else d.ravel()
 
 
-def separation_dist(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
+def _measured(rows: DataFrame, by: str | None, value: Column) -> DataFrame:
+    return rows.groupBy(by).agg(value) if by else rows.agg(value)
+
+
+def separation_dist(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Least distance of two points; 0 for fewer than two."""
 
     def kernel(_, x, __, y, same):
@@ -31,19 +38,19 @@ def separation_dist(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
         return {"least": d.min() if len(d) else np.inf}
 
     least = F.min("least")
-    return pair_partials(points, None, kernel, "least double").agg(F.when(least < float("inf"), least).otherwise(F.lit(0.0)).alias("value"))
+    return _measured(pair_partials(points, None, kernel, "least double", by=by), by, F.when(least < float("inf"), least).otherwise(F.lit(0.0)).alias("value"))
 
 
-def sum_of_dists(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
+def sum_of_dists(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Square root of the sum of all distances."""
 
     def kernel(_, x, __, y, same):
         return {"total": _upper(metric.matrix(x, y), same).sum()}
 
-    return pair_partials(points, None, kernel, "total double").agg(F.sqrt(F.coalesce(F.sum("total"), F.lit(0.0))).alias("value"))
+    return _measured(pair_partials(points, None, kernel, "total double", by=by), by, F.sqrt(F.coalesce(F.sum("total"), F.lit(0.0))).alias("value"))
 
 
-def average_inverse_dist(points: DataFrame, dimension: int, exponent: float | None = None, max_dist: float = 1.0, metric: Metric = EUCLIDEAN) -> DataFrame:
+def average_inverse_dist(points: DataFrame, dimension: int, exponent: float | None = None, max_dist: float = 1.0, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """(sum of (max_dist / d)**e)**(1/e) over the number of pairs; infinite if two points agree, 0 for fewer than two."""
     e = dimension + 1.0 if exponent is None else float(exponent)
 
@@ -53,10 +60,10 @@ def average_inverse_dist(points: DataFrame, dimension: int, exponent: float | No
             return {"total": ((max_dist / d) ** e).sum(), "pairs": len(d)}
 
     total, pairs = F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("pairs"), F.lit(0))
-    return pair_partials(points, None, kernel, "total double, pairs long").agg(F.when(pairs > 0, F.pow(total, F.lit(1 / e)) / F.nullif(pairs, F.lit(0))).otherwise(F.lit(0.0)).alias("value"))
+    return _measured(pair_partials(points, None, kernel, "total double, pairs long", by=by), by, F.when(pairs > 0, F.pow(total, F.lit(1 / e)) / F.nullif(pairs, F.lit(0))).otherwise(F.lit(0.0)).alias("value"))
 
 
-def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric = EUCLIDEAN) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """(point_id, dist): distance of each point to the nearest other one, or to the nearest of ``others``."""
 
     two_sets = others is not None
@@ -69,12 +76,12 @@ def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric =
             return {"point_id": ids, "dist": d.min(1)}
         return {"point_id": np.concatenate([ids, other]), "dist": np.concatenate([d.min(1), d.min(0)])}
 
-    return pair_partials(points, others, kernel, "point_id long, dist double").groupBy("point_id").agg(F.min("dist").alias("dist"))
+    return pair_partials(points, others, kernel, "point_id long, dist double", by=by).groupBy(*([by] if by else []), "point_id").agg(F.min("dist").alias("dist"))
 
 
-def sum_of_nn_dists(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
+def sum_of_nn_dists(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Sum of nearest-neighbour distances; 0 for fewer than two points."""
-    return nearest(points, None, metric).agg(F.coalesce(F.sum(F.when(F.col("dist") < float("inf"), F.col("dist"))), F.lit(0.0)).alias("value"))
+    return _measured(nearest(points, None, metric, by), by, F.coalesce(F.sum(F.when(F.col("dist") < float("inf"), F.col("dist"))), F.lit(0.0)).alias("value"))
 
 
 def hausdorff_dist(points: DataFrame, others: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:

@@ -25,30 +25,35 @@ BLOCK = 2000
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], dict]
 
 
-def blocks_of(points: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """Rows (block, ids, coords) of about ``size`` points, and the number of blocks."""
-    n = max(1, -(-points.count() // size))
-    dealt = points.select("point_id", "coords", F.pmod(F.xxhash64("point_id"), F.lit(n)).alias("block"))
-    packed = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("point_id", "coords"))).alias("rows"))
-    return packed.select("block", F.col("rows.point_id").alias("ids"), F.flatten("rows.coords").alias("flat")), n
+def blocks_of(points: DataFrame, size: int = BLOCK, by: str | None = None) -> DataFrame:
+    """Rows (group, block, blocks, ids, flat) of about ``size`` points of one group; without ``by`` all points are one."""
+    known = points.select(F.col(by).alias("group") if by else F.lit(0).alias("group"), "point_id", "coords")
+    counts = known.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("blocks"))
+    dealt = known.join(counts, "group").select("group", "blocks", "point_id", "coords", F.pmod(F.xxhash64("point_id"), F.col("blocks")).alias("block"))
+    packed = dealt.groupBy("group", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("point_id", "coords"))).alias("rows"))
+    return packed.select("group", "block", "blocks", F.col("rows.point_id").alias("ids"), F.flatten("rows.coords").alias("flat"))
 
 
-def pair_partials(points: DataFrame, others: DataFrame | None, kernel: Kernel, schema: str, size: int = BLOCK) -> DataFrame:
+def pair_partials(points: DataFrame, others: DataFrame | None, kernel: Kernel, schema: str, size: int = BLOCK, by: str | None = None) -> DataFrame:
     """Rows that ``kernel(ids, coords, other ids, other coords, same block)`` gives for each pair of blocks.
 
-    Without ``others`` the pairs are those of points with themselves, each pair of blocks once.
+    Without ``others`` the pairs are those of points with themselves, each pair of blocks once. With ``by`` only
+    blocks of one group (a column of both sets, never null) are paired, and the group is the first column.
     """
-    left, n = blocks_of(points, size)
+    left = blocks_of(points, size, by)
     if others is None:
-        left = stored(left)
-        right, m = left, n
-        partner = F.explode(F.sequence(F.col("block"), F.lit(n - 1).cast("long")))
+        left = right = stored(left)
+        paired = left.withColumn("b", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
     else:
-        right, m = blocks_of(others, size)
-        partner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    a = left.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), partner.alias("b"))
-    b = right.select(F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
+        right = blocks_of(others, size, by)
+        widths = right.groupBy("group").agg(F.max("blocks").alias("others"))
+        paired = left.join(widths, "group").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    a = paired.select("group", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), "b")
+    b = right.select("group", F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
+    joined = a.join(b, ["group", "b"])
     fields = T._parse_datatype_string(schema)
+    if by:
+        fields = T.StructType([T.StructField(by, joined.schema["group"].dataType), *fields])
     itself = others is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +62,9 @@ def pair_partials(points: DataFrame, others: DataFrame | None, kernel: Kernel, s
             for k in range(len(batch)):
                 ids, other = (np.asarray(batch[c][k].values) for c in ("a_ids", "b_ids"))
                 x, y = (np.asarray(batch[c][k].values, float).reshape(len(i), -1) for c, i in (("a_flat", ids), ("b_flat", other)))
-                out = kernel(ids, x, other, y, itself and batch["a"][k] == batch["b"][k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.atleast_1d(out[f.name]), f.type) for f in arrow], schema=arrow)
+                out = {n: np.atleast_1d(v) for n, v in kernel(ids, x, other, y, itself and batch["a"][k] == batch["b"][k]).items()}
+                if by:
+                    out[by] = [batch["group"][k].as_py()] * len(next(iter(out.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return a.join(b, "b").mapInArrow(run, fields)
+    return joined.mapInArrow(run, fields)

@@ -14,7 +14,8 @@ mask is a list of character ranges of the formatted text: the assistant's texts.
 Defined cases: null texts and roles are empty; turns of one number are ordered
 by role and text; repeated rows are repeated turns; a record whose fingerprint
 no layout has, or which is null or no JSON object, gives no turns and the
-layout null; an empty table gives an empty result; other columns are ignored.
+layout null; an empty table gives an empty result; other columns are ignored;
+rows with a null id are one conversation.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointloom.llm.frames import map_batches
 
 #: Control strings of the template (fixed values).
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
+#: Turns and characters of one record, about; a longer conversation is several records.
+RECORD_TURNS, RECORD_CHARS = 1000, 1 << 22
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -123,8 +128,8 @@ def read_back(formatted: str, mask: list[int]) -> tuple[list[tuple[str, str]], l
 FORMATTED = "conv_id long, layout string, n_turns long, formatted string, loss_mask array<long>"
 
 
-def format_chats(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """conv_id, layout, n_turns, formatted text and loss mask of each row of ``records`` (conv_id, record: JSON)."""
+def format_chats(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """conv_id, layout, n_turns, formatted text and loss mask of each row of ``records`` (conv_id, record: JSON), then the columns in ``carry``."""
     by_print = {fingerprint(x.paths): x for x in layouts}
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -138,41 +143,135 @@ def format_chats(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> D
             formatted, mask = render(turns)
             for name, value in (("layout", layout), ("n_turns", len(turns)), ("formatted", formatted), ("loss_mask", mask)):
                 out[name].append(value)
-        yield out
+        yield out | {c: batch[c] for c in carry}
 
-    return map_batches(records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record")), run, FORMATTED)
+    source = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record"), *carry)
+    schema = T.StructType([*T._parse_datatype_string(FORMATTED), *[records.schema[c] for c in carry]])
+    return map_batches(source, run, schema)
 
 
-def as_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) from rows by turn, in the layout that is usual for the turns' roles."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    text = lambda i: F.col("turns")[i]["text"]
-    roles = F.array_join("turns.role", ",")
-    record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
-        .otherwise(F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))))
-    )
-    return chats.select("conv_id", record.alias("record"))
+#: Columns that say where a record stands in its conversation; ``open``: other records of the conversation may exist.
+ORDER = ("turn", "role", "number", "open")
+_SIMPLE = {("user", "assistant"): ("prompt", "response"), ("system", "user", "assistant"): ("system", "instruction", "output")}
+
+
+def _record(turns: list[tuple[str, str]], whole: bool) -> str:
+    """JSON of some turns, in the layout that is usual for their roles."""
+    names = _SIMPLE.get(tuple(role for role, _ in turns)) if whole else None
+    found = dict(zip(names, (text for _, text in turns))) if names else {"messages": [{"role": role, "content": text} for role, text in turns]}
+    return json.dumps(found, ensure_ascii=False)
+
+
+def as_records(rows: DataFrame, most_turns: int = RECORD_TURNS, most_chars: int = RECORD_CHARS) -> DataFrame:
+    """(conv_id, record) and ORDER from rows by turn.
+
+    Rows are dealt by ranges of conversation, turn and role and read in order, so that no conversation is gathered: one
+    of many turns gives several records, as does one that lies in two ranges.
+    """
+    columns = ("conv_id", *ORDER, "record")
+    types = {f.name: f for f in rows.schema}
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = turns.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
+    schema = T.StructType([*T._parse_datatype_string("conv_id long"), types["turn"], *T._parse_datatype_string("role string, number long, open boolean, record string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        out: list[tuple] = []
+        held: list[tuple] = []
+        number, chars, cut, edge = 0, 0, False, True  # edge: the range begins with this conversation
+
+        def close(open: bool) -> None:
+            out.append((held[0][0], held[0][1], held[0][2], number, open, _record([h[2:] for h in held], not open)))
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out) if out else [[]] * len(columns), arrow)], schema=arrow)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role", "text"))):
+                if held and row[0] != held[0][0]:
+                    close(cut or edge)
+                    held, number, chars, cut, edge = [], number + 1, 0, False, False
+                elif held and (len(held) >= most_turns or chars + len(row[3]) > most_chars):
+                    cut = True
+                    close(True)
+                    held, number, chars = [], number + 1, 0
+                held.append(row)
+                chars += len(row[3])
+                if len(out) >= 1000 or sum(len(x[-1]) for x in out[-8:]) > most_chars:
+                    yield flush()
+        if held:
+            close(True)  # the next range may go on with it
+        if out:
+            yield flush()
+
+    return dealt.mapInArrow(run, schema)
+
+
+class _Digest:
+    """Counts and digests of a conversation, of one formatted text after another."""
+
+    def __init__(self) -> None:
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+
+    def add(self, formatted: str, mask: list[int]) -> _Digest:
+        turns, masked = read_back(formatted, mask)
+        for role, text in turns:
+            self.turns.update(f"{role}\n{text}\n".encode())
+        for text in masked:
+            self.loss.update(text.encode())
+        self.n_turns += len(turns)
+        self.loss_chars += sum(map(len, masked))
+        self.formatted_chars += len(formatted)
+        return self
+
+    def values(self) -> tuple[int, str, int, str, int]:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+
+
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Digests of turns and of the text under the mask, read back from the formatted texts."""
+    """Digests of turns and of the text under the mask by conversation, read back from the formatted texts of ``as_records``.
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {"conv_id": batch["conv_id"], **{c: [] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}}
-        for text, mask in zip(batch["formatted"].to_pylist(), batch["loss_mask"].to_pylist()):
-            turns, masked = read_back(text, mask)
-            loss = "".join(masked)
-            out["n_turns"].append(len(turns))
-            out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
-            out["loss_chars"].append(len(loss))
-            out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
-            out["formatted_chars"].append(len(text))
-        yield out
-
-    return map_batches(formatted.select("conv_id", "formatted", "loss_mask"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    A text that is a whole conversation is digested where it is.  The others are put in order and read one
+    after another, since a digest takes its bytes in order; no more than one of them is held.
+    """
+    result = T._parse_datatype_string(DIGESTS)
+    names = result.fieldNames()[1:]
+    order = [formatted.schema[c] for c in ORDER]
+    schema = T.StructType([*result, *order, *T._parse_datatype_string("formatted string, loss_mask array<long>")])
+
+    def settle(batch: pa.RecordBatch) -> Iterator[dict]:
+        whole = [not x for x in batch["open"].to_pylist()]
+        pieces = list(zip(whole, batch["formatted"].to_pylist(), batch["loss_mask"].to_pylist()))
+        found = [_Digest().add(text, mask).values() if done else (None,) * 5 for done, text, mask in pieces]
+        left = {"formatted": [None if done else text for done, text, _ in pieces], "loss_mask": [None if done else mask for done, _, mask in pieces]}
+        yield {"conv_id": batch["conv_id"]} | {n: list(x) for n, x in zip(names, zip(*found) if found else [[]] * 5)} | {c: batch[c] for c in ORDER} | left
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(result)
+        own, digest = None, None
+        for batch in batches:
+            out = []
+            for conv, done, *values, text, mask in zip(*(batch[c].to_pylist() for c in ("conv_id", "open", *names, "formatted", "loss_mask"))):
+                if digest is not None and (not done or conv != own):
+                    out.append((own, *digest.values()))
+                    digest = None
+                if not done:
+                    out.append((conv, *values))
+                else:
+                    own, digest = conv, (digest or _Digest()).add(text, mask)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((own, *digest.values()), arrow)], schema=arrow)
+
+    settled = map_batches(formatted.select("conv_id", "formatted", "loss_mask", *ORDER), settle, schema)
+    return settled.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "number").mapInArrow(finish, result)
 
 
 ORACLE = r"""

@@ -49,7 +49,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
-    return chat_format.digests(chat_format.format_chats(chat_format.as_records(rows)))
+    return chat_format.digests(chat_format.format_chats(chat_format.as_records(rows), carry=chat_format.ORDER))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,15 +62,15 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _strength(counts: DataFrame, name: str) -> DataFrame:
-    """One row: strength of the prior of a level, by moments over its units with outcomes."""
+def _strength(counts: DataFrame) -> tuple[float, float]:
+    """Strength of the prior of a level, by moments over its units with outcomes, and the mean of all outcomes: two numbers."""
     n, good = F.sum("n"), F.sum("good")
     sums = counts.where("n > 0").agg(n.alias("n"), good.alias("good"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("squares"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("units"))
     mean = F.col("good") / F.col("n")
     spread = mean * (1 - mean)
     between = (F.col("squares") - F.col("good") * mean - (F.col("units") - 1) * spread) / F.nullif(F.col("n") - F.col("nn") / F.col("n"), F.lit(0.0))
     strength = F.when(between > 0, F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), spread / between - 1))).otherwise(F.lit(STRENGTH[1]))
-    return sums.select(strength.alias(name), (F.coalesce("good", F.lit(0.0)) + 1.0).alias("all_good"), (F.coalesce("n", F.lit(0.0)) + 2.0).alias("all_n"))
+    return tuple(sums.select(strength, (F.coalesce("good", F.lit(0.0)) + 1.0) / (F.coalesce("n", F.lit(0.0)) + 2.0)).first())
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -82,12 +82,10 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = checkpointed(counted.select("host", suffix_of(F.col("host")).alias("suffix"), domain_of(F.col("host")).alias("domain"), "n", "good"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    top = _strength(suffixes, "k_suffix")
-    levels = top.crossJoin(_strength(domains, "k_domain").select("k_domain")).crossJoin(_strength(hosts, "k_host").select("k_host"))  # three tables of one row
-    one = F.broadcast(levels)
-    s = suffixes.crossJoin(one).select("suffix", "k_domain", "k_host", ((F.col("good") + F.col("k_suffix") * F.col("all_good") / F.col("all_n")) / (F.col("n") + F.col("k_suffix"))).alias("m_suffix"))
-    d = domains.join(s, "suffix").select("domain", "suffix", "k_host", ((F.col("good") + F.col("k_domain") * F.col("m_suffix")) / (F.col("n") + F.col("k_domain"))).alias("m_domain"))
-    alpha, total = F.col("good") + F.col("k_host") * F.col("m_domain"), F.col("n") + F.col("k_host")
+    (k_suffix, mean_of_all), (k_domain, _), (k_host, _) = map(_strength, (suffixes, domains, hosts))
+    s = suffixes.select("suffix", ((F.col("good") + k_suffix * mean_of_all) / (F.col("n") + k_suffix)).alias("m_suffix"))
+    d = domains.join(s, "suffix").select("domain", "suffix", ((F.col("good") + k_domain * F.col("m_suffix")) / (F.col("n") + k_domain)).alias("m_domain"))
+    alpha, total = F.col("good") + k_host * F.col("m_domain"), F.col("n") + k_host
     mean = alpha / total
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (total + 1))
     return hosts.join(d, ["suffix", "domain"]).select("host", "suffix", "domain", "n", "good", mean.alias("posterior_mean"), bound.alias("bound"))

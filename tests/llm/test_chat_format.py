@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from hypothesis import given, settings
@@ -41,5 +42,28 @@ def test_layouts(spark):
 def test_rows_by_turn(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "q"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "<|im_end|>")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: C.read_back(r.formatted, r.loss_mask)[0] for r in C.format_chats(C.as_records(frame)).collect()}
+    out = {}
+    for r in C.format_chats(C.as_records(frame), carry=C.ORDER).orderBy("conv_id", "turn", "role", "number").collect():
+        out.setdefault(r.conv_id, []).extend(C.read_back(r.formatted, r.loss_mask)[0])
     assert out == {1: [("", "q"), ("assistant", "")], 2: [("user", "a"), ("assistant", "b"), ("assistant", "b")], 3: [("system", "s"), ("user", "u"), ("assistant", "<|im_end|>")]}
+
+
+def test_digests_of_long_conversations(spark):
+    """One conversation holds most rows and is cut into many records; null ids, ties and repeated rows."""
+    rows = [(7, t // 3, ("user", "assistant", None)[t % 3], f"text {t % 5} <|im_end|>") for t in range(400)] * 2
+    rows += [(i, t, ("user", "assistant")[t], f"{i} {t}") for i in range(40) for t in range(2) if i != 7] + [(None, 0, "user", "x"), (None, 1, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = {}
+    for i, t, role, text in sorted(((i, t, r or "", x or "") for i, t, r, x in rows), key=lambda r: (str(r[0]), *r[1:])):
+        want.setdefault(i, []).append((role, text))
+    for most in (1, 16, 1000):
+        out = C.digests(C.format_chats(C.as_records(frame, most), carry=C.ORDER)).collect()
+        assert len(out) == len(want)
+        for r in out:
+            turns = want[r.conv_id]
+            loss = "".join(x for role, x in turns if role == "assistant")
+            assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
+            assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+            assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+            assert r.formatted_chars == len(C.render(turns)[0])
+    assert C.digests(C.format_chats(C.as_records(frame.limit(0)), carry=C.ORDER)).count() == 0

@@ -215,7 +215,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
             blobs.append(zipped(np.array([len(own) for own in ids], np.uint32), flat))
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "ids": pa.array(blobs, pa.binary())})
 
-    answers = map_batches(chunks, words_of, "bucket int, chunk long, words binary").groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, ids binary")
+    asked = pack(docs, chunk_bytes, then=words_of, schema="bucket int, chunk long, words binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, ids binary")
 
     def assemble(key: tuple[pa.Scalar, ...], chunk: pa.Table, answers: pa.Table) -> pa.Table:
         first = {}  # chunks with the same content have asked the same: one answer for each bucket is enough
@@ -232,13 +233,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
         hashes = None
         for blob in chunk["blob"]:
             ids, null, texts = opened(blob.as_py())
-            spans = [(lo, part, pretoken_spans(part)) for lo, part in parts(texts)]
-            keys = [span_hashes(part.data, s, e) for _, part, (s, e, _) in spans]
+            spans, keys = [], []
+            for lo, part in parts(texts):
+                starts, ends, ptr = pretoken_spans(part)
+                spans.append((lo, part, ptr))
+                keys.append(span_hashes(part.data, starts, ends))
             if hashes is None:
                 hashes = np.unique(np.concatenate([np.unique(k) for k in keys])) if keys else np.zeros(0, np.uint64)
                 if len(hashes) != len(lens):
                     raise ValueError("the answers do not fit the words of the chunk")
-            for (lo, part, (_, _, ptr)), own in zip(spans, keys):
+            for (lo, part, ptr), own in zip(spans, keys):
                 word = np.searchsorted(hashes, own)
                 n = lens[word]
                 first_id = np.cumsum(n) - n
@@ -268,8 +272,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         lo = 0
-        while lo < len(column):  # about a million ids at a time
-            hi = min(max(int(np.searchsorted(offsets, offsets[lo] + (4 << 20), side="right")) - 1, lo + 1), len(column))
+        while lo < len(column):  # some ids at a time
+            hi = min(max(int(np.searchsorted(offsets, offsets[lo] + (1 << 20), side="right")) - 1, lo + 1), len(column))
             ids = data[offsets[lo] : offsets[hi]].view("<u4") if offsets[hi] > offsets[lo] else np.zeros(0, np.uint32)
             n = lens[ids]
             first = np.cumsum(n) - n

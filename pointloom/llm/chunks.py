@@ -10,17 +10,21 @@ again finds its answers again, and two chunks with the same content share them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.llm.textkernel import Texts, slices
+from pointloom.llm.frames import as_batch
+from pointloom.llm.textkernel import SLICE_BYTES, Texts, slices
 
 #: Text bytes of one chunk, about; large executors take larger chunks, for fewer repeated pieces.
 CHUNK_BYTES = 8 << 20
+CHUNK = "chunk long, blob binary, rest binary"
 
 
 def zipped(*arrays: np.ndarray) -> bytes:
@@ -37,13 +41,18 @@ def unzipped(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(body[a:b], k) for a, b, k in zip(at[:-1], at[1:], kinds)]
 
 
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Rows (chunk, blob, rest): ids and texts of about ``chunk_bytes``; rest: all columns but the text, if carried."""
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, then: Callable[[pa.RecordBatch], Iterator[dict]] | None = None, schema: str = CHUNK) -> DataFrame:
+    """Rows (chunk, blob, rest): ids and texts of about ``chunk_bytes``; rest: all columns but the text, if carried.
+
+    With ``then``, the rows of ``schema`` that it makes of them, in the same Python worker.
+    """
+    fields = T._parse_datatype_string(schema)
     names = [c for c in docs.columns if carry and c != text_col]
     # positions, not names, so that columns of ``docs`` may be called anything
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(fields)
         for batch in batches:
             for lo, texts in slices(batch.column(1), chunk_bytes):
                 own = batch.column(0).slice(lo, len(texts))
@@ -58,9 +67,14 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
                         out.write_batch(part)
                     rest = sink.getvalue().to_pybytes()
                 key = hashlib.blake2b(blob + rest, digest_size=8).digest()
-                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key, "little", signed=True)], pa.int64()), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())], names=["chunk", "blob", "rest"])
+                made = pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key, "little", signed=True)], pa.int64()), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())], names=["chunk", "blob", "rest"])
+                if then is None:
+                    yield made
+                else:
+                    for columns in then(made):
+                        yield as_batch(columns, arrow)
 
-    return source.mapInArrow(run, "chunk long, blob binary, rest binary")
+    return source.mapInArrow(run, fields)
 
 
 def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Texts]:
@@ -77,9 +91,9 @@ def id_array(ids: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.array(ids, mask=null.astype(bool))
 
 
-def parts(texts: Texts) -> Iterator[tuple[int, Texts]]:
+def parts(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
     """The texts of a chunk in slices that numpy passes can hold."""
-    return slices(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(texts.offsets), pa.py_buffer(texts.data)))
+    return slices(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(texts.offsets), pa.py_buffer(texts.data)), limit)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -38,6 +38,10 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def as_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+
 def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over a function that takes a batch and yields dictionaries of columns."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -46,7 +50,7 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] |
         arrow = to_arrow_schema(fields)
         for batch in batches:
             for columns in func(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+                yield as_batch(columns, arrow)
 
     return df.mapInArrow(run, fields)
 

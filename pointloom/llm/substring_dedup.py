@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointloom.llm.chunks import CHUNK_BYTES, bucket_of, id_array, opened, opened_rest, pack, parts, unzipped, zipped
-from pointloom.llm.frames import map_batches, shuffle_width
+from pointloom.llm.frames import shuffle_width
 from pointloom.llm.textkernel import Texts, Words, gram_starts, mix64, sums_by
 
 WINDOW = 50
+#: Text bytes of a slice: its windows settle among themselves and are asked about together.
+PART_BYTES = 1 << 21
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 
@@ -93,11 +95,13 @@ def _settle(lo: int, texts: Texts, ids: np.ndarray, null: np.ndarray, k: int, bu
 def _parts(blob: bytes, k: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Part]]:
     """(ids, nulls, slice) of a chunk, one slice at a time."""
     ids, null, texts = opened(blob)
-    for lo, part in parts(texts):
+    for lo, part in parts(texts, PART_BYTES):
         yield ids, null, _settle(lo, part, ids[lo : lo + len(part)], null[lo : lo + len(part)], k, buckets)
 
 
-def _questions(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
+def _questions(docs: DataFrame, k: int, buckets: int, *how) -> DataFrame:
+    """Windows by bucket and slice; ``how``: as ``pack`` takes it."""
+
     def ask(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"].to_pylist()):
             for _, _, part in _parts(blob, k, buckets):
@@ -111,7 +115,7 @@ def _questions(chunks: DataFrame, k: int, buckets: int) -> DataFrame:
                     bodies.append(part.hashes[edges[b] : edges[b + 1]].tobytes())
                 yield {"bucket": pa.array(some, pa.int32()), "chunk": [chunk] * len(some), "lo": [part.lo] * len(some), "docs": heads, "hashes": bodies}
 
-    return map_batches(chunks, ask, "bucket int, chunk long, lo int, docs binary, hashes binary")
+    return pack(docs, *how, then=ask, schema="bucket int, chunk long, lo int, docs binary, hashes binary")
 
 
 def _answers(questions: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     """doc_id, n_words, n_removed, kept_text (binary, UTF-8) and the removed intervals [begin, end) in words, flattened."""
     buckets = buckets or 2 * shuffle_width(docs.sparkSession)
     chunks = pack(docs, chunk_bytes)
-    answers = _answers(_questions(chunks, window, buckets))
+    answers = _answers(_questions(docs, window, buckets, chunk_bytes))
 
     def assemble(key: tuple[pa.Scalar, ...], chunk: pa.Table, found: pa.Table) -> pa.Table:
         out = []
@@ -226,8 +230,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
     Columns and their order stay; a column ``n_chars`` is set to the length of a changed text.
     """
     buckets = 2 * shuffle_width(docs.sparkSession)
-    chunks = pack(docs, chunk_bytes, id_col, text_col, carry=True)
-    answers = _answers(_questions(chunks, window, buckets))
+    how = (chunk_bytes, id_col, text_col, True)
+    chunks = pack(docs, *how)
+    answers = _answers(_questions(docs, window, buckets, *how))
     names = docs.columns
     others = [c for c in names if c != text_col]
     schema = docs.schema

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled by one numpy pass; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -294,6 +294,9 @@ for _latin, _bates in (("none", 1), ("none", 3), ("approx", 1), ("matching", 1))
 query("strata_from_points_audit", f"WITH {P2} SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM p2 WHERE id < 200")(
     lambda spark, d: _around(part_points(spark, d).where("point_id < 200"))
 )
+query("strata_from_all_points_audit", f"WITH {P2} SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM p2")(
+    lambda spark, d: _around(part_points(spark, d))
+)
 
 
 def _around(points: DataFrame) -> DataFrame:

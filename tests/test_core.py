@@ -1,11 +1,13 @@
 """Goldens, properties and identities of the library's own operators."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom import catalog
 from pointloom.functions import numbers, transforms
 from pointloom.functions.metrics import EUCLIDEAN, MANHATTAN, Metric, boundary_distance
 from pointloom.functions.rng import letters, permuted, uniform
@@ -263,6 +265,15 @@ def test_strata_around_points(spark):
         strata.reconstruct_strata_from_points(point_set(spark, [(0.5, 0.5)] * 2), 2, 1)
 
 
+def test_strata_around_all_part_points(spark):
+    tables = "/root/testdata/sf0.01"
+    if not os.path.isdir(tables):
+        pytest.skip("the tables are not there")
+    points = catalog.part_points(spark, tables).count()
+    row = catalog.QUERIES["strata_from_all_points_audit"](spark, tables).first()
+    assert points > 199 and (row.n, row.inside, row.total) == (points, True, 1.0)
+
+
 def test_refinement(spark):
     start = sequences.random_uniform(spark, 12, 2, 1)
     for seed in (1, 2):

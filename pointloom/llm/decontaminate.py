@@ -1,14 +1,17 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact confirmation.
+"""Benchmark decontamination: windows around shared shingles, exact confirmation, SimHash distance of what is found.
 
 A benchmark item gives its multiset of 5-word shingles and a 64-bit SimHash of
-them.  A window of a document has as many words as the item and is
-fingerprinted the same way; a window without a single shingle of the item has
-similarity 0, so windows are taken around shared shingles only, which loses
-nothing.  Fingerprints are looked up in six tables over six blocks of bits:
-two fingerprints that differ in at most RADIUS = 22 bits differ in at most three
-bits of some block, and the tables hold every key within three bits of an
-item's, so all items within the radius are found.  Their exact similarity, the sum of
-smaller over the sum of larger multiplicities, decides.
+them.  A window of a document has as many words as the item; a window without a
+single shingle of the item has similarity 0, so an exact index of shingles finds
+the candidates: all windows around shared shingles.  Their exact similarity, the
+sum of smaller over the sum of larger multiplicities, decides; it is left out only
+where the number of shared places bounds it below the threshold.  The distance of
+the fingerprints of window and item is reported and decides nothing.
+
+``Items.within`` is the search for fingerprints alone, in six tables over six
+blocks of bits: two fingerprints that differ in at most RADIUS = 22 bits differ in
+at most three bits of some block, and the tables hold every key within three bits
+of an item's.  ``leaks`` does not use it, as similar windows can be further apart.
 
 The items are a stated query set.  They are held in blocks of ITEMS_PER_BLOCK,
 each of which is one pass over the documents.
@@ -153,23 +156,27 @@ def find_leaks(texts: Texts, items: Items, similarity: float = SIMILARITY) -> li
         item, d, k = int(owner[a]), int(doc[a]), int(size[a])
         lo = max(int(words.ptr[d]), int(at[a]) - k + SHINGLE_WORDS)
         hi = min(int(words.ptr[d + 1]), int(at[b - 1]) + k)
+        whole = k - SHINGLE_WORDS + 1
         k = min(k, hi - lo)
         own = g[lo : hi - SHINGLE_WORDS + 1]
-        total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs_of(own), axis=0)])
         width = k - SHINGLE_WORDS + 1
-        prints = simhash(total[width:] - total[:-width])
-        where, which, distance = items.within(prints)
+        # no more shingles agree than are any of the item's: windows with too few of those need no count
+        shared = np.zeros(len(own) + 1, np.int64)
+        shared[at[a:b] - lo + 1] = 1
+        shared = np.cumsum(shared)
+        most = shared[width:] - shared[:-width]
         found = []
-        for s, dist in zip(where[which == item].tolist(), distance[which == item].tolist()):
+        for s in np.flatnonzero(most / (width + whole - most) >= similarity).tolist():
             sim = _similarity(own[s : s + width], items.shingles[item])
             if sim >= similarity:
-                found.append((-sim, lo + s, dist))
+                found.append((-sim, lo + s))
         taken: list[int] = []
-        for sim, s, dist in sorted(found):
+        for sim, s in sorted(found):
             if all(abs(s - t) >= k for t in taken):
                 taken.append(s)
                 first = s - int(words.ptr[d])
-                out.append((d, items.ids[item], first, first + k, -sim, dist))
+                own_print = simhash(signs_of(g[s : s + width]).sum(0)[None])[0]
+                out.append((d, items.ids[item], first, first + k, -sim, int(np.bitwise_count(own_print ^ items.fingerprints[item]))))
     return out
 
 

@@ -44,6 +44,15 @@ def test_index_finds_every_fingerprint_within_the_radius():
     assert set(zip(place.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= D.RADIUS))))
 
 
+def test_similar_windows_far_apart_in_bits_are_found(spark):
+    """Two shingles by turns, four and three times in the item and the other way round in the document: 6 of 8 agree."""
+    item, other = "ping pong " * 5 + "ping", "pong ping " * 5 + "pong"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (found,) = D.leaks(spark.createDataFrame([(7, other)], "doc_id long, text string"), benchmark).collect()
+    assert (found.doc_id, found.item_id, found.first_word, found.end_word, found.similarity) == (7, 1, 0, 11, 0.75)
+    assert found.distance > D.RADIUS
+
+
 def test_edges(spark, edges, small):
     benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
     assert D.leaks(edges, benchmark).count() == 0

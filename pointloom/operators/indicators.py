@@ -6,12 +6,13 @@ Measures of pairs and of neighbours take ``by``, a column that is never null, an
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,10 +113,27 @@ def covering_radius_upper_bound(points: DataFrame, strata: DataFrame, metric: Me
 
 
 def covering_radius_1d(points: DataFrame) -> DataFrame:
-    """Exact covering radius of points of [0, 1]: half the widest gap, or a gap to an end."""
-    x = F.get("coords", 0)
-    gaps = points.select(x.alias("x")).withColumn("gap", (F.col("x") - F.lag("x").over(Window.orderBy("x"))) / 2)
-    return gaps.agg(F.coalesce(F.greatest(F.max("gap"), F.min("x"), 1 - F.max("x")), F.lit(float("inf"))).alias("value"))
+    """Exact covering radius of points of [0, 1]: half the widest gap, or a gap to an end.
+
+    Ranges of points give their bounds and widest gap; only those few rows come to one task.
+    """
+    width = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = points.select(F.get("coords", 0).alias("x")).where("x IS NOT NULL")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, gap = None, None, 0.0
+        for batch in batches:
+            if len(batch):
+                v = batch["x"].to_numpy()
+                low, high = (v[0], v[0]) if low is None else (low, high)
+                gap, high = np.diff(v, prepend=high).max(initial=gap), v[-1]
+        if low is not None:
+            yield pa.RecordBatch.from_pydict({"low": [float(low)], "high": [float(high)], "gap": [float(gap)]})
+
+    ranges = x.repartitionByRange(width, "x").sortWithinPartitions("x").mapInArrow(bounds, "low double, high double, gap double")
+    gaps = ranges.withColumn("between", F.col("low") - F.lag("high").over(Window.orderBy("low")))  # one row for each range
+    widest = F.greatest(F.max("gap"), F.max("between")) / 2
+    return gaps.agg(F.coalesce(F.greatest(widest, F.min("low"), 1 - F.max("high")), F.lit(float("inf"))).alias("value"))
 
 
 #: Points for which measures without a decomposable form are computed, at most.

@@ -164,6 +164,16 @@ def test_blocks_do_not_change_results(spark):
     assert count(1000) == count(9) == 70 * 69 // 2
 
 
+def test_covering_radius_in_one_dimension_is_dealt_by_ranges(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 3, 500):
+        xs = sorted(rng.choice([rng.random(), 0.5]) for _ in range(n))
+        got = indicators.covering_radius_1d(point_set(spark, [[x] for x in xs]))
+        assert value(got) == pytest.approx(max([xs[0], 1 - xs[-1]] + [(b - a) / 2 for a, b in zip(xs, xs[1:])]))
+        assert "rangepartitioning" in got._jdf.queryExecution().toString()
+    assert math.isinf(value(indicators.covering_radius_1d(point_set(spark, [[0.5]]).limit(0))))
+
+
 def test_covering_radius(spark):
     assert value(indicators.covering_radius(point_set(spark, [[0.1], [0.5]]), 1)) == pytest.approx(0.5)
     grid = designs.sukharev_grid(spark, 4, 2)

@@ -28,6 +28,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "component")
 
 
+def roots(tree: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``tree`` (node, parent), which has one smaller parent for a node: its root.
+
+    Each round takes the parent's parent, so rounds follow the logarithm of the depth.
+    """
+    labels = checkpointed(tree.select("node", F.col("parent").alias("component"), F.lit(True).alias("moved")))
+    while labels.where("moved").limit(1).count():
+        above = labels.select(F.col("node").alias("parent"), F.col("component").alias("higher"))
+        step = labels.join(above, labels["component"] == above["parent"], "left")
+        labels = checkpointed(step.select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
+    return labels.select("node", "component")
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest place that each of n places reaches over the links (i, j)."""
     label = np.arange(n)

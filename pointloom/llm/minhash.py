@@ -1,37 +1,47 @@
 """Near-duplicate documents: b-bit MinHash, band candidates, exact confirmation, components.
 
 1. Each text gives its set of 5-word shingles, 128 minima, the low four bits of
-   each minimum (packed into 64 bytes) and 32 band keys of four minima.
+   each minimum (packed into eight longs) and 32 band keys of four minima.
 2. Documents with the same set form a class; the smallest id stands for it.
-3. Representatives that share a band key are compared by the bit count of their
-   packed signatures, corrected for chance agreement; a pair is a candidate if
-   the estimate is within five standard errors of the threshold.
-4. Candidates' whole sets are compared exactly, inside the components of the
-   candidate graph, and confirmed links give the result's components.
-
-Groups (a band key, a candidate component) of any size are cut into blocks and
-pairs of blocks, so a task holds two blocks at most and sends on one edge for a
-document, not the pairs.  A pair of similarity 0.75 shares no band with
-probability 5e-6 and falls below the estimate's margin with 3e-7.
+3. Stars: each band key has a hub, the smallest representative that holds it.  A
+   representative asks the hub of best corrected estimate (bit counts of the
+   packed signatures), and an exact comparison of whole sets confirms the link.
+   That is one comparison for each document, so a group of near copies of any
+   size falls into one tree, or few, with as many rows as it has members.
+4. The rest: only band keys whose members still lie in several trees go on.  Their
+   members are dealt to cells, estimates are taken between trees, and documents
+   with a partner of near enough estimate are compared exactly, again in cells.
+
+A cell holds two blocks of bounded size.  The largest tree of a group is never
+compared with itself: a member of it goes to as many cells as the other members
+fill blocks, so rows grow with a group's size while one tree holds most of it.
+They grow with the size times the number of blocks only in a group of many
+thousands that share a band key and are not near copies, where no cheaper exact
+way is known.  A pair of similarity 0.75 shares no band with probability 5e-6 and
+falls below the estimate's margin with 3e-7.
 
 Defined cases: words are runs of anything but ASCII white space after A-Z are
 lower-cased; a text of one to four words is one shingle of all its words; a
 null text or one without words has the empty set and is linked with nothing;
-rows with the same id are one node; a null id is linked with nothing and kept;
-an empty table gives an empty result; other columns are ignored.
+rows with the same id are one node, but for rows without words, which stand
+alone; a null id is linked with nothing and kept; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.llm.components import connected_components, forest
-from pointloom.llm.frames import checkpointed, id_and_text, map_batches
+from pointloom.llm.components import connected_components, forest, roots
+from pointloom.llm.frames import as_batch, checkpointed, id_and_text, map_batches
 from pointloom.llm.textkernel import Texts, gram_starts, grams, mix64, slices
 
 SHINGLE_WORDS = 5
@@ -41,12 +51,13 @@ BANDS, ROWS = 32, 4
 LOW_BITS = 4
 #: Margin of the estimate: five standard errors of 128 four-bit comparisons at the threshold.
 MARGIN = 0.2
-#: Documents and shingles of one block; a task compares two blocks.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Documents of a block of signatures (80 bytes each), and documents and shingles of a block of whole sets.
+BLOCK_SIGNATURES, BLOCK_DOCS, BLOCK_SHINGLES = 16_384, 1024, 1_000_000
 
 _FACTORS = (mix64(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MASKS = (mix64(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(7777)) >> np.uint64(32)).astype(np.uint32)
-_BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Lowest bit of each group of LOW_BITS bits.
+_LOWEST = np.uint64(0x1111111111111111)
 
 
 def shingle_sets(texts: Texts, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +85,7 @@ def shingle_sets(texts: Texts, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.n
 
 
 def sketch(texts: Texts) -> dict:
-    """Set size, set key, packed low bits and band keys of each text; nulls where the set is empty."""
+    """Set size, set key, packed low bits and band keys of each text; the lists are empty where the set is."""
     g, ptr = shingle_sets(texts)
     n = np.diff(ptr)
     some = np.flatnonzero(n)
@@ -96,20 +107,12 @@ def sketch(texts: Texts) -> dict:
     keys = np.zeros((BANDS, len(some)), np.uint64)
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(0x9FB21C651E98DF25) + m[:, r] + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(1 << 40))
-    null = n == 0
-    at = np.cumsum(~null) - 1
-    offsets = np.append(0, np.cumsum(np.where(null, 0, BANDS))).astype(np.int32)
-    rows = [None if none else packed[i].tobytes() for none, i in zip(null.tolist(), at.tolist())]
-    return {
-        "n_shingles": n,
-        "k1": k1.view(np.int64),
-        "k2": k2.view(np.int64),
-        "sig": pa.array(rows, pa.binary()),
-        "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())),
-    }
+    some = n > 0
+    lists = lambda width, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(some, width, 0))).astype(np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
+    return {"n_shingles": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "sig": lists(BANDS * ROWS * LOW_BITS // 64, packed), "bands": lists(BANDS, keys.T)}
 
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -120,166 +123,247 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(id_and_text(docs), run, SKETCH)
 
 
+def _corrected(differ, whole=BANDS * ROWS, chance=1 / (1 << LOW_BITS)):
+    """Similarity from the number of minima whose low bits differ, corrected for those that agree by chance."""
+    return (1 - differ / whole - chance) / (1 - chance)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from packed signatures (rows of bytes), corrected for minima that agree in their low bits by chance."""
+    """Corrected similarity from packed signatures, rows of unsigned longs."""
     x = a ^ b
-    apart = (x | x >> 1 | x >> 2 | x >> 3) & 0x11
-    differ = _BITS[apart].sum(-1, dtype=np.int32)
-    agree = 1 - differ / (BANDS * ROWS)
-    chance = 1 / (1 << LOW_BITS)
-    return (agree - chance) / (1 - chance)
+    for shift in (1, 2):  # the lowest bit of each group gets the union of its bits
+        x |= x >> np.uint64(shift)
+    return _corrected(np.bitwise_count(x & _LOWEST).sum(-1, dtype=np.int32))
+
+
+def estimate_column(a: Column, b: Column) -> Column:
+    """The same of two columns of signatures."""
+
+    def differ(k: int) -> Column:
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(int(_LOWEST))))
+
+    return _corrected(reduce(lambda x, y: x + y, map(differ, range(BANDS * ROWS * LOW_BITS // 64))))
+
 
+def _sizes_fit(a, b):
+    """Whether sets of these sizes can be as similar as the threshold: the smaller may have no fewer than its share."""
+    return (100 * a >= THRESHOLD * b) & (100 * b >= THRESHOLD * a)
 
-def _in_blocks(members: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """Rows dealt so that the two blocks of each pair of blocks of a group lie together: columns one and two are added.
 
-    A group of one block is left as it is; a row of a larger one goes to the pairs of its block with every other.
+LEAST = THRESHOLD / 100 - MARGIN
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, hashes): whole shingle sets of the documents in ``ids`` (doc_id)."""
+
+    def sets_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lo, texts in slices(batch["text"]):
+            g, ptr = shingle_sets(texts)
+            yield {"doc_id": batch["doc_id"][lo : lo + len(texts)], "hashes": pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(g.view(np.int64)))}
+
+    return map_batches(id_and_text(docs).where("text IS NOT NULL").join(ids, "doc_id", "left_semi"), sets_of, "doc_id long, hashes array<long>")
+
+
+def _stars(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, parent): confirmed links of representatives to the hub of best estimate among those of their band keys."""
+    about = reps.select("doc_id", "sig", "n_shingles")
+    of_hub = about.select(F.col("doc_id").alias("hub"), F.col("sig").alias("hub_sig"), F.col("n_shingles").alias("hub_shingles"))
+    asked = members.where("doc_id > hub").select("doc_id", "hub").distinct().join(about, "doc_id").join(of_hub, "hub")
+    likely = asked.where(_sizes_fit(F.col("n_shingles"), F.col("hub_shingles"))).select("doc_id", "hub", estimate_column(F.col("sig"), F.col("hub_sig")).alias("estimate")).where(F.col("estimate") >= LEAST)
+    best = checkpointed(likely.groupBy("doc_id").agg(F.max(F.struct("estimate", (-F.col("hub")).alias("hub"))).alias("best")).select("doc_id", (-F.col("best.hub")).alias("hub")))
+    sets = _sets(docs, best.select("doc_id").union(best.select("hub")).distinct())
+    whole = best.join(sets.withColumnRenamed("hashes", "own"), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), "hashes"), "hub")
+    both = F.size(F.array_intersect("own", "hashes"))
+    linked = whole.select("doc_id", "hub", both.alias("both"), (F.size("own") + F.size("hashes")).alias("sizes")).where(100 * F.col("both") >= THRESHOLD * (F.col("sizes") - F.col("both")))
+    return linked.select(F.col("doc_id").alias("node"), F.col("hub").alias("parent")).distinct()
+
+
+def _mixed(members: DataFrame, key: str, most_docs: int, most_shingles: int | None = None) -> DataFrame:
+    """``members`` (key, doc_id, tree, n_shingles) of the keys with several trees, with ``main``, the tree of most
+    members, and the blocks that it and the other members fill: none and one where a single block holds all."""
+    sums = [F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")]
+    trees = members.groupBy(key, "tree").agg(*sums)
+    groups = trees.groupBy(key).agg(F.max(F.struct("n", (-F.col("tree")).alias("tree"), "shingles")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("trees")).where("trees > 1")
+
+    def blocks(n: Column, shingles: Column) -> Column:
+        by_docs = F.ceil(n / most_docs)
+        return by_docs if most_shingles is None else F.greatest(by_docs, F.ceil(shingles / most_shingles))
+
+    single = blocks(F.col("n"), F.col("shingles")) <= 1
+    sized = groups.select(
+        key,
+        (-F.col("main.tree")).alias("main"),
+        F.when(single, 0).otherwise(blocks(F.col("main.n"), F.col("main.shingles"))).cast("int").alias("main_blocks"),
+        F.when(single, 1).otherwise(blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles"))).cast("int").alias("other_blocks"),
+    )
+    return members.join(sized, key)
+
+
+def _in_cells(mixed: DataFrame, key: str) -> DataFrame:
+    """Rows of ``_mixed`` dealt to cells: columns one and two are its blocks, side says of which of them a row is.
+
+    A block of the main tree meets every block of the others, and those meet each other and themselves.
     """
-    placed = members.withColumn("blocks", blocks).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
-    every = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.filter(every, lambda x: x != F.col("own"))).otherwise(F.array(F.lit(0)))))
-    paired = paired.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    return paired.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "doc_id")
+    hashed = F.xxhash64("doc_id")
+    of_main = (F.col("tree") == F.col("main")) & (F.col("main_blocks") > 0)
+    own = F.when(of_main, F.pmod(hashed, F.greatest("main_blocks", F.lit(1)))).otherwise(F.col("main_blocks") + F.pmod(hashed, F.col("other_blocks"))).cast("int")
+    first = F.when(of_main, F.col("main_blocks")).otherwise(F.lit(0))
+    placed = mixed.withColumn("own", own).withColumn("partner", F.explode(F.sequence(first, F.col("main_blocks") + F.col("other_blocks") - 1)))
+    cells = placed.withColumn("one", F.least("own", "partner")).withColumn("two", F.greatest("own", "partner")).withColumn("side", F.when(F.col("own") > F.col("partner"), 1).otherwise(0))
+    return cells.drop("own", "partner", "main", "main_blocks", "other_blocks").repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "side", "doc_id")
 
 
-def _by_group(frame: DataFrame, key: str, links: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Edges (a, b) from each document to the smallest it is joined with, by runs of equal (key, one, two) in sorted partitions.
+def _by_cell(cells: DataFrame, key: str, settle: Callable[[pa.RecordBatch, np.ndarray], dict], schema: str) -> DataFrame:
+    """What ``settle(rows, pointer by cell)`` gives for runs of whole cells in sorted partitions.
 
-    A run that an Arrow batch cuts is carried over to the next; a run is two blocks at most.
+    A cell that an Arrow batch cuts is carried over to the next; a cell is two blocks at most.
     """
+    place = (key, "one", "two")
+    fields = T._parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(fields)
         held: list[pa.RecordBatch] = []
 
-        def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-            ids = rows["doc_id"].to_numpy()
-            parts = [rows[c].to_numpy() for c in (key, "one", "two")]
-            new = np.ones(len(ids), bool)
-            new[1:] = np.any([p[1:] != p[:-1] for p in parts], axis=0)
-            ptr = np.append(np.flatnonzero(new), len(ids))
-            i, j = links(rows, ids, ptr)
-            label = forest(len(ids), i, j)
-            a, b = ids, ids[label]
-            some = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[some]), pa.array(np.minimum(a, b)[some])], names=["a", "b"])
+        def settled() -> pa.RecordBatch:
+            rows = _together(held)
+            new = np.ones(len(rows) + 1, bool)
+            new[1:-1] = np.any([c[1:] != c[:-1] for c in (rows[c].to_numpy() for c in place)], axis=0)
+            held.clear()
+            return as_batch(settle(rows, np.flatnonzero(new)), arrow)
 
         for batch in batches:
             if not len(batch):
                 continue
-            last = [batch[c][-1] for c in (key, "one", "two")]
-            tail = np.all([batch[c].to_numpy() == x.as_py() for c, x in zip((key, "one", "two"), last)], axis=0)
-            cut = len(batch) - int(tail[::-1].argmin()) if not tail.all() else 0
-            if cut == 0:
-                # the batch is one run: does it go on with what is held?
-                if held and any(held[-1][c][-1] != x for c, x in zip((key, "one", "two"), last)):
-                    yield settle(_together(held))
-                    held = []
-                held.append(batch)
-                continue
-            yield settle(_together([*held, batch.slice(0, cut)]))
-            held = [batch.slice(cut)]
+            last = [batch[c][-1].as_py() for c in place]
+            apart = np.any([batch[c].to_numpy() != x for c, x in zip(place, last)], axis=0)
+            cut = int(np.flatnonzero(apart)[-1]) + 1 if apart.any() else 0
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield settled()
+            elif held and any(held[-1][c][-1].as_py() != x for c, x in zip(place, last)):
+                yield settled()
+            held.append(batch.slice(cut))
         if held:
-            yield settle(_together(held))
+            yield settled()
 
-    return frame.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, fields)
 
 
 def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
 
 
-def _pairs(ptr: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs inside runs of up to 16 rows, by run size, then by strips of rows of the larger runs."""
+def _pairs(ptr: np.ndarray, side: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of cells: all of a cell of one side, those between the sides of a cell of two; some at a time."""
     sizes = np.diff(ptr)
+    small = (sizes <= 16) & (side[ptr[:-1]] == side[ptr[1:] - 1])
     for s in range(2, 17):
-        first = ptr[:-1][sizes == s]
-        if len(first):
-            a, b = np.triu_indices(s, 1)
-            step = max(1, most // len(a))
-            for k in range(0, len(first), step):
-                yield (first[k : k + step, None] + a).ravel(), (first[k : k + step, None] + b).ravel()
-    for r in np.flatnonzero(sizes > 16):
+        first = ptr[:-1][small & (sizes == s)]
+        a, b = np.triu_indices(s, 1)
+        step = max(1, most // len(a))
+        for k in range(0, len(first), step):
+            yield (first[k : k + step, None] + a).ravel(), (first[k : k + step, None] + b).ravel()
+    for r in np.flatnonzero(~small & (sizes > 1)):
         lo, hi = int(ptr[r]), int(ptr[r + 1])
+        middle = lo + int(np.searchsorted(side[lo:hi], 1))
+        crossing = lo < middle < hi
         step = max(1, most // (hi - lo))
-        for k in range(lo, hi, step):
-            a, b = np.meshgrid(np.arange(k, min(k + step, hi)), np.arange(lo, hi), indexing="ij")
+        for k in range(lo, middle if crossing else hi, step):
+            a, b = np.meshgrid(np.arange(k, min(k + step, middle if crossing else hi)), np.arange(middle if crossing else k + 1, hi), indexing="ij")
             keep = a < b
             yield a[keep], b[keep]
 
 
-def _candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges of the candidate graph: representatives with a common band key and a near enough estimate."""
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = banded.join(shared, "band").join(reps.select("doc_id", "sig"), "doc_id")
-
-    def links(rows: pa.RecordBatch, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        least = THRESHOLD / 100 - MARGIN
-        some = []
-        for i, j in _pairs(ptr):
-            for k in range(0, len(i), 1 << 16):
-                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                near = estimate(sig[a], sig[b]) >= least
-                some.append((a[near], b[near]))
-        return tuple(np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    return _by_group(_in_blocks(members, "band", F.ceil(F.col("n") / BLOCK_DOCS)), "band", links).distinct()
-
-
-def exact_links(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with 100 * intersection >= threshold * union, from products of their incidence matrices."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        linked = 100 * both >= threshold * (sizes.sum() - both)
-        return (np.array([0]), np.array([1])) if linked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(n), sizes)
+def _smallest_trees(tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By row, the smallest tree that its own reaches over links of rows."""
+    known, own = np.unique(tree, return_inverse=True)
+    return known[forest(len(known), own[i], own[j])][own]
+
+
+def _candidates(cells: DataFrame) -> DataFrame:
+    """(doc_id, tree, low): documents with a partner of near enough estimate in another tree; low joins their trees."""
+
+    def settle(rows: pa.RecordBatch, ptr: np.ndarray) -> dict:
+        tree, n, side = (rows[c].to_numpy() for c in ("tree", "n_shingles", "side"))
+        sig = rows["sig"].flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        some = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i, j in _pairs(ptr, side):
+            other = (tree[i] != tree[j]) & _sizes_fit(n[i], n[j])
+            i, j = i[other], j[other]
+            near = estimate(sig[i], sig[j]) >= LEAST
+            some.append((i[near], j[near]))
+        i, j = (np.concatenate(x) for x in zip(*some))
+        at = np.unique(np.concatenate([i, j]))
+        return {"doc_id": rows["doc_id"].to_numpy()[at], "tree": tree[at], "low": _smallest_trees(tree, i, j)[at]}
+
+    return _by_cell(cells, "band", settle, "doc_id long, tree long, low long").distinct()
+
+
+def exact_links(sets: list[np.ndarray], others: list[np.ndarray] | None = None, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets, or of sets and others, with 100 * intersection >= threshold * union, from products of incidence matrices."""
+    every = sets + (others or [])
+    n, m = len(sets), len(every)
+    sizes = np.array([len(s) for s in every], np.int64)
+    flat = np.concatenate(every)
+    row = np.repeat(np.arange(m), sizes)
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     number = np.cumsum(count > 1) - 1
     row, column = row[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(256, (1 << 22) // n)
-    common = np.zeros((n, n), np.float32)
+    width = max(256, (1 << 22) // m)
+    first = slice(0, n)
+    second = slice(n, m) if others else first
+    common = np.zeros((n, second.stop - second.start), np.float32)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
-        x = np.zeros((n, width), np.float32)
+        x = np.zeros((m, width), np.float32)
         x[row[a:b], column[a:b] - lo] = 1
-        common += x @ x.T
+        common += x[first] @ x[second].T
     both = common.astype(np.int64)
-    linked = 100 * both >= threshold * (sizes[:, None] + sizes[None] - both)
-    return np.nonzero(np.triu(linked, 1))
+    linked = 100 * both >= threshold * (sizes[first, None] + sizes[None, second] - both)
+    i, j = np.nonzero(linked if others else np.triu(linked, 1))
+    return i, j + second.start
 
 
-def _confirmed_edges(docs: DataFrame, reps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Edges between documents that exact links join, from whole sets inside each component of the candidate graph."""
-    known = candidates.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    sizes = known.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    placed = known.select("node", "component").join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    texts = id_and_text(docs).where("text IS NOT NULL").join(placed, "doc_id")
+def _confirmed(cells: DataFrame) -> DataFrame:
+    """(a, b): trees that an exact link of two documents joins, from whole sets."""
 
-    def sets_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        for lo, texts in slices(batch["text"]):
-            g, ptr = shingle_sets(texts)
-            rows = slice(lo, lo + len(texts))
-            yield {c: batch[c][rows] for c in ("doc_id", "component", "blocks")} | {"hashes": [g[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:])]}
-
-    found = map_batches(texts, sets_of, "doc_id long, component long, blocks long, hashes binary")
-
-    def links(rows: pa.RecordBatch, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = []
-        blobs = rows["hashes"]
+    def settle(rows: pa.RecordBatch, ptr: np.ndarray) -> dict:
+        tree, side = rows["tree"].to_numpy(), rows["side"].to_numpy()
+        ends = rows["hashes"].offsets.to_numpy()
+        flat = rows["hashes"].values.to_numpy().view(np.uint64)
+        some = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for lo, hi in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
-            if hi - lo > 1:
-                i, j = exact_links([np.frombuffer(blobs[k].as_py(), np.uint64) for k in range(lo, hi)])
+            middle = lo + int(np.searchsorted(side[lo:hi], 1))
+            if hi - lo > 1 and middle > lo:
+                sets = [flat[ends[k] : ends[k + 1]] for k in range(lo, hi)]
+                i, j = exact_links(sets[: middle - lo], sets[middle - lo :])
                 some.append((i + lo, j + lo))
-        return tuple(np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        i, j = (np.concatenate(x) for x in zip(*some))
+        low = _smallest_trees(tree, i, j)
+        joined = low != tree
+        return {"a": tree[joined], "b": low[joined]}
 
-    return _by_group(_in_blocks(found, "component", F.col("blocks")), "component", links).distinct()
+    return _by_cell(cells, "low", settle, "a long, b long").distinct()
+
+
+def _rest(docs: DataFrame, reps: DataFrame, members: DataFrame, tree_of: DataFrame) -> DataFrame:
+    """(a, b): trees that links between documents of different trees join."""
+    about = reps.select("doc_id", "sig", "n_shingles")
+    placed = members.select("band", "doc_id").join(tree_of, "doc_id", "left").join(about, "doc_id").withColumn("tree", F.coalesce("tree", "doc_id"))
+    found = checkpointed(_candidates(_in_cells(_mixed(placed, "band", BLOCK_SIGNATURES), "band")))
+    if found.isEmpty():
+        return found.select(F.col("tree").alias("a"), F.col("tree").alias("b"))
+    near = connected_components(found.select(F.col("tree").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("tree"), F.col("component").alias("low"))
+    asked = found.select("doc_id", "tree").distinct().join(near, "tree").join(about.select("doc_id", "n_shingles"), "doc_id")
+    dealt = checkpointed(_mixed(asked, "low", BLOCK_DOCS, BLOCK_SHINGLES))
+    return _confirmed(_in_cells(dealt.join(_sets(docs, dealt.select("doc_id").distinct()), "doc_id"), "low"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -288,10 +372,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     best = F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("rep")
     reps = checkpointed(known.groupBy("k1", "k2").agg(best).select("k1", "k2", "rep.*"))
-    candidates = connected_components(_candidate_edges(reps))
-    joined = connected_components(_confirmed_edges(docs, reps, candidates))
-    classes = reps.select("k1", "k2", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    # an id with several rows reaches what any of them reaches
+    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
+    members = checkpointed(banded.join(shared, "band"))
+    tree_of = roots(_stars(docs, reps, members)).select(F.col("node").alias("doc_id"), F.col("component").alias("tree"))
+    placed = reps.select("k1", "k2", "doc_id").join(tree_of, "doc_id", "left").select("k1", "k2", "doc_id", F.coalesce("tree", "doc_id").alias("tree"))
+    # an id with rows of several sets is a node beside their classes
+    torn = known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high").select("doc_id")
+    own = known.join(torn, "doc_id", "left_semi").select("doc_id", "k1", "k2").join(placed.select("k1", "k2", "tree"), ["k1", "k2"]).join(tree_of.withColumnRenamed("tree", "own"), "doc_id", "left")
+    joined = connected_components(_rest(docs, reps, members, tree_of).unionAll(own.select("tree", F.coalesce("own", "doc_id"))))
+    classes = placed.join(joined.withColumnRenamed("node", "tree"), "tree", "left").select("k1", "k2", F.coalesce("component", "tree").alias("component"))
     linked = every.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pointloom.llm import minhash as M
-from pointloom.llm.components import connected_components, forest
+from pointloom.llm.components import connected_components, forest, roots
 from tests.llm.conftest import EDGES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +43,7 @@ def test_equals_brute_force(spark, documents, rows, edges):
 
 def test_a_large_group_at_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_DOCS", 50)
+    monkeypatch.setattr(M, "BLOCK_SIGNATURES", 40)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(150)]
     made = []
@@ -57,12 +59,40 @@ def test_a_large_group_at_the_threshold(spark, monkeypatch):
     assert kept == {r[0] for r in brute(made) if r[3]}
 
 
-def test_estimates_are_corrected():
+def test_estimates_are_corrected(spark):
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, (1, 64)).astype(np.uint8)
+    a = rng.integers(0, 1 << 64, (1, 8), np.uint64)
     assert M.estimate(a, a)[0] == 1
-    b = rng.integers(0, 256, (4000, 64)).astype(np.uint8)
+    b = rng.integers(0, 1 << 64, (4000, 8), np.uint64)
     assert abs(M.estimate(a, b).mean()) < 0.01
+    frame = spark.createDataFrame([(i, x.tolist(), a.view(np.int64)[0].tolist()) for i, x in enumerate(b.view(np.int64)[:200])], "i long, x array<long>, y array<long>")
+    found = [r.e for r in frame.select("i", M.estimate_column(F.col("x"), F.col("y")).alias("e")).orderBy("i").collect()]
+    assert np.allclose(found, M.estimate(b[:200], a))
+
+
+def test_rows_in_cells_follow_the_size_of_a_group(spark):
+    """A tree of 30,000 members and a few others: each member is in one cell or few, whatever the number of blocks."""
+    for n in (3_000, 30_000):
+        members = spark.range(n).selectExpr("7L AS band", "id AS doc_id", "IF(id % 1000 = 1, id, 0L) AS tree", "100L AS n_shingles")
+        mixed = M._mixed(members, "band", 1000)
+        cells = M._in_cells(mixed, "band")
+        assert cells.count() <= n + (n // 1000 + 2) * (n // 1000)
+        meets = cells.where("one = two OR side = 0").groupBy("one", "two").count().count()
+        assert meets == n // 1000 + 1
+    even = spark.range(1200).selectExpr("7L AS band", "id AS doc_id", "id AS tree", "100L AS n_shingles")
+    met = set()
+    for r in M._in_cells(M._mixed(even, "band", 150), "band").groupBy("one", "two").agg(F.collect_list(F.struct("side", "doc_id")).alias("rows")).collect():
+        left, right = [d for s, d in r["rows"] if s == 0], [d for s, d in r["rows"] if s == 1]
+        new = {(min(a, b), max(a, b)) for a in left for b in (right or left) if a != b}
+        assert not met & new
+        met |= new
+    assert len(met) == 1200 * 1199 // 2
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, a), (9, a), (9, b), (4, b), (5, "z")], "doc_id long, text string")
+    assert got(docs) == brute([(3, a), (9, a), (9, b), (4, b), (5, "z")])
 
 
 def test_components(spark):
@@ -72,3 +102,5 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(41)}
     assert connected_components(frame.limit(0)).count() == 0
     assert forest(5, np.array([3, 4]), np.array([4, 1])).tolist() == [0, 1, 2, 1, 1]
+    chain = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 3)], "node long, parent long")
+    assert {r.node: r.component for r in roots(chain).collect()} == {i + 1: 0 for i in range(30)} | {50: 0}

@@ -1,15 +1,24 @@
 """Substring dedup: windows of 50 words that an earlier document holds are removed.
 
-Every window of every text gets a Rabin-Karp hash.  A chunk of documents first
-settles its own repeats and sends, for each distinct hash, the windows of its
-smallest document to the bucket of the hash; the bucket finds the smallest
-document of all chunks and answers with a bitmap of the windows that a smaller
-document also holds.  The chunk merges removed windows into maximal intervals
-of words.  A passage that a third of all documents share is one entry for each
-chunk, and texts are shuffled once, compressed.
-
-Hashes have 64 bits: over N windows about N*N / 2**65 windows meet a stranger's
-hash, which is none in a billion windows and a few in ten million million.
+Every window of every text gets Rabin-Karp hashes.  Counting all of them in one
+shuffle would move more bytes than the texts have, so windows are counted by
+units first.  The anchor of a window is its phrase of 25 words with the smallest
+hash; equal windows have equal anchors, and the windows of one anchor follow each
+other: together they are a unit, about thirteen windows.
+
+1. Units are counted by anchor: document and hash of the words that the unit spans.
+   An anchor of one document is settled, as no other document has its windows.
+2. Where all units of an anchor agree, all but the smallest document lose them.  Where
+   they differ (at the ends of shared passages) all but the smallest document of each
+   distinct unit lose it, and the windows of those smallest documents are counted
+   one by one.
+3. What a document loses goes back to it by its id, and removed windows merge into
+   maximal intervals of words.
+
+All steps are aggregations with partial results and joins on keys, one row for a unit,
+so a passage of a third of all documents is counted like any other and nothing is held
+whole but a document.  A unit is known by two hashes of 64 bits, and so is a window:
+among the 10**13 windows of 100 TB two different ones agree with probability 10**-13.
 
 Defined cases: a word is a run of anything but ASCII white space; null is the
 empty text; a text of fewer than ``window`` words is never touched; documents
@@ -30,117 +39,162 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.llm.chunks import CHUNK_BYTES, bucket_of, id_array, opened, opened_rest, pack, parts, unzipped, zipped
-from pointloom.llm.frames import shuffle_width
-from pointloom.llm.textkernel import Texts, Words, gram_starts, mix64, sums_by
+from pointloom.llm.frames import as_batch, checkpointed, id_and_text, map_batches
+from pointloom.llm.textkernel import Texts, Words, gram_starts, mix64, slices, sums_by
 
 WINDOW = 50
-#: Text bytes of a slice: its windows settle among themselves and are asked about together.
-PART_BYTES = 1 << 21
-_BASE = np.uint64(0x9FB21C651E98DF25)
-_INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
-
-
-def window_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp hash of the k words from each start, from prefix sums of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers = np.empty(len(hashes), np.uint64)
-    powers[0], powers[1:] = 1, _BASE
-    np.multiply.accumulate(powers, out=powers)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-    back = np.empty(len(hashes), np.uint64)
-    back[0], back[1:] = 1, _INVERSE
-    np.multiply.accumulate(back, out=back)
-    return mix64((prefix[starts + k] - prefix[starts]) * back[starts])
+#: Base of each of the two polynomials, and what sets the word hashes of the second apart from those of the first.
+_BASES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
+_APART = np.uint64(0x5851F42D4C957F2D)
+
+
+class Polynomial:
+    """Rabin-Karp hashes of runs of words, from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, hashes: np.ndarray, which: int) -> None:
+        base, n = _BASES[which], len(hashes)
+        powers, self.back = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for out, b in ((powers, base), (self.back, pow(base, -1, 1 << 64))):
+            out[:1], out[1:] = 1, np.uint64(b)
+            np.multiply.accumulate(out, out=out)
+        own = hashes if which == 0 else mix64(hashes ^ _APART)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * powers, dtype=np.uint64)])
+
+    def of(self, starts: np.ndarray, lens: np.ndarray | int) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        return mix64((self.prefix[starts + lens] - self.prefix[starts]) * self.back[starts] + np.asarray(lens).astype(np.uint64))
+
+
+def first_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest of the values from each place on; the last width - 1 places are left out."""
+    place, step = np.arange(len(values)), 1
+    while step < width:  # the minimum of twice as many, or of what is left to the width
+        ahead = min(step, width - step)
+        near, far = place[: len(place) - ahead], place[ahead:]
+        place = np.where(values[far] < values[near], far, near)
+        step += ahead
+    return place
 
 
 @dataclass
-class _Part:
-    """One slice of a chunk: words, window starts, and how its windows fare."""
+class Units:
+    """Windows of a slice of texts, and the units that they fall into."""
 
-    lo: int
     words: Words
-    starts: np.ndarray
-    removed: np.ndarray  # by window: a smaller document of this slice holds it
-    sent: np.ndarray  # places in ``starts``, by bucket, then by document, of windows that the bucket decides
-    buckets: np.ndarray
+    k: int
+    starts: np.ndarray  # first word of each window
+    ptr: np.ndarray  # windows of unit i: ptr[i] up to ptr[i + 1]
+    doc: np.ndarray  # document of each unit
+    anchors: np.ndarray
     hashes: np.ndarray
-    ids: np.ndarray
-
-
-def _settle(lo: int, texts: Texts, ids: np.ndarray, null: np.ndarray, k: int, buckets: int) -> _Part:
-    words = texts.words()
-    starts = gram_starts(words.ptr, k)
-    doc = np.repeat(np.arange(len(texts)), words.counts())[starts]
-    starts, doc = starts[null[doc] == 0], doc[null[doc] == 0]
-    hashes = window_hashes(words.hashes(), starts, k)
-    own = ids[doc]
-    order = np.argsort(own, kind="stable")
-    order = order[np.argsort(hashes[order], kind="stable")]
-    h, d = hashes[order], own[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    group = np.cumsum(first) - 1
-    later = d > d[first][group] if len(h) else np.zeros(0, bool)
-    removed = np.zeros(len(starts), bool)
-    removed[order[later]] = True
-    sent = order[~later]  # ascending hashes, so ascending buckets
-    bucket = bucket_of(hashes[sent], buckets)
-    by_doc = np.lexsort((sent, ids[doc[sent]], bucket))
-    sent, bucket = sent[by_doc], bucket[by_doc]
-    return _Part(lo, words, starts, removed, sent, bucket, hashes[sent], own[sent])
-
-
-def _parts(blob: bytes, k: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Part]]:
-    """(ids, nulls, slice) of a chunk, one slice at a time."""
-    ids, null, texts = opened(blob)
-    for lo, part in parts(texts, PART_BYTES):
-        yield ids, null, _settle(lo, part, ids[lo : lo + len(part)], null[lo : lo + len(part)], k, buckets)
-
-
-def _questions(docs: DataFrame, k: int, buckets: int, *how) -> DataFrame:
-    """Windows by bucket and slice; ``how``: as ``pack`` takes it."""
-
-    def ask(batch: pa.RecordBatch) -> Iterator[dict]:
-        for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"].to_pylist()):
-            for _, _, part in _parts(blob, k, buckets):
-                edges = np.searchsorted(part.buckets, np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(edges))
-                heads, bodies = [], []
-                for b in some:
-                    own = part.ids[edges[b] : edges[b + 1]]
-                    at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    heads.append(zipped(np.diff(own[at], prepend=0), np.diff(np.append(at, len(own))).astype(np.uint32)))
-                    bodies.append(part.hashes[edges[b] : edges[b + 1]].tobytes())
-                yield {"bucket": pa.array(some, pa.int32()), "chunk": [chunk] * len(some), "lo": [part.lo] * len(some), "docs": heads, "hashes": bodies}
-
-    return pack(docs, *how, then=ask, schema="bucket int, chunk long, lo int, docs binary, hashes binary")
-
-
-def _answers(questions: DataFrame) -> DataFrame:
-    """For every question, a bitmap of its windows that a smaller document holds."""
-
-    def decide(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in group["hashes"]]
-        ids = []
-        for x in group["docs"]:
-            steps, counts = unzipped(x.as_py(), np.int64, np.uint32)
-            ids.append(np.repeat(np.cumsum(steps), counts))
-        sizes = np.array([len(x) for x in hashes])
-        h, d = np.concatenate(hashes), np.concatenate(ids)
-        del hashes, ids
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        least = np.minimum.reduceat(d, first)
-        removed = np.zeros(len(h), bool)
-        removed[order] = d > np.repeat(least, np.diff(np.append(first, len(h))))
-        ends = np.cumsum(sizes)
-        bits = [zipped(np.packbits(removed[b - n : b])) for b, n in zip(ends, sizes)]
-        return pa.table({"chunk": group["chunk"], "lo": group["lo"], "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
-
-    return questions.groupBy("bucket").applyInArrow(decide, "chunk long, lo int, bucket int, bits binary")
+
+    @classmethod
+    def of(cls, texts: Texts, k: int) -> Units:
+        words = texts.words()
+        starts = gram_starts(words.ptr, k)
+        none = np.zeros(0, np.uint64)
+        if not len(starts):
+            return cls(words, k, starts, np.zeros(1, np.int64), np.zeros(0, np.int64), none, none)
+        h = words.hashes()
+        phrase = max(1, k // 2)
+        phrases = Polynomial(h, 0).of(np.arange(len(h) - phrase + 1), phrase)
+        anchor = first_minimum(phrases, k - phrase + 1)[starts]
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        ptr = np.append(first, len(starts))
+        begin, end = starts[first], starts[ptr[1:] - 1] + k
+        return cls(words, k, starts, ptr, np.searchsorted(words.ptr, begin, side="right") - 1, phrases[anchor[first]], Polynomial(h, 1).of(begin, end - begin))
+
+    def keys(self) -> np.ndarray:
+        return joined(self.anchors, self.hashes)
+
+    def window_hashes(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of some windows."""
+        return tuple(Polynomial(self.words.hashes(), which).of(self.starts[windows], self.k) for which in (0, 1))
+
+    def windows(self, units: np.ndarray) -> np.ndarray:
+        """Windows of the units that are marked."""
+        return np.flatnonzero(np.repeat(units, np.diff(self.ptr)))
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two hashes, to find what they stand for again inside its document."""
+    return mix64(a * np.uint64(_BASES[1]) + b)
+
+
+def _marked(keys: np.ndarray, doc: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each key is in the list of its document; ``doc`` ascends."""
+    out = np.zeros(len(keys), bool)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(sizes)
+    for d, lo, hi in zip(some.tolist(), np.searchsorted(doc, some).tolist(), np.searchsorted(doc, some, side="right").tolist()):
+        out[lo:hi] = np.isin(keys[lo:hi], lists[d].values.to_numpy().view(np.uint64))
+    return out
+
+
+def _units(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, anchor, unit, key) of every distinct unit of a document."""
+
+    def emit(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lo, texts in slices(batch["text"]):
+            units = Units.of(texts, k)
+            keys = units.keys()
+            order = np.lexsort((keys, units.doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (units.doc[order[1:]] != units.doc[order[:-1]])
+            own = order[new]
+            yield {"doc_id": batch["doc_id"].take(pa.array(lo + units.doc[own])), "anchor": units.anchors[own].view(np.int64), "unit": units.hashes[own].view(np.int64), "key": keys[own].view(np.int64)}
+
+    return map_batches(docs, emit, "doc_id long, anchor long, unit long, key long")
+
+
+def _windows(docs: DataFrame, opened: DataFrame, k: int) -> DataFrame:
+    """(doc_id, h1, h2, window) of the windows in the units that ``opened`` (doc_id, keys) lists."""
+
+    def emit(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lo, texts in slices(batch["text"]):
+            units = Units.of(texts, k)
+            asked = _marked(units.keys(), units.doc, batch["keys"].slice(lo, len(texts)))
+            at = units.windows(asked)
+            doc = np.repeat(units.doc, np.diff(units.ptr))[at]
+            h1, h2 = units.window_hashes(at)
+            yield {"doc_id": batch["doc_id"].take(pa.array(lo + doc)), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "window": joined(h1, h2).view(np.int64)}
+
+    return map_batches(docs.join(opened, "doc_id"), emit, "doc_id long, h1 long, h2 long, window long")
+
+
+def _repeats(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, units, windows): what each document loses, keys of units and of windows."""
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    units = _units(known, k)
+    bounds = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    shared = units.groupBy("anchor").agg(*bounds, F.min("unit").alias("low"), F.max("unit").alias("high")).where("first < last").select("anchor", "first", (F.col("low") != F.col("high")).alias("differ"))
+    held = checkpointed(units.join(shared, "anchor"))
+    plain = held.where("NOT differ AND doc_id > first").select("doc_id", "key")
+    differing = held.where("differ").select("doc_id", "anchor", "unit", "key")
+    firsts = differing.groupBy("anchor", "unit", "key").agg(F.min("doc_id").alias("first"))
+    later = differing.join(firsts, ["anchor", "unit", "key"]).where("doc_id > first").select("doc_id", "key")
+    opened = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("key").alias("keys"))
+    windows = checkpointed(_windows(known, opened, k))
+    repeated = windows.groupBy("h1", "h2").agg(*bounds).where("first < last").select("h1", "h2", "first")
+    gone = windows.join(repeated, ["h1", "h2"]).where("doc_id > first").select("doc_id", "window").distinct()
+    none = F.lit(None).cast("long")
+    every = plain.unionAll(later).select("doc_id", F.col("key").alias("unit"), none.alias("window")).unionAll(gone.select("doc_id", none, "window"))
+    return every.groupBy("doc_id").agg(F.collect_list("unit").alias("units"), F.collect_list("window").alias("windows"))
+
+
+def _removed(texts: Texts, units: pa.Array, windows: pa.Array, k: int) -> tuple[Words, np.ndarray]:
+    """Words of a slice of texts, and which of them go."""
+    own = Units.of(texts, k)
+    gone = np.repeat(_marked(own.keys(), own.doc, units), np.diff(own.ptr))
+    doc = np.repeat(own.doc, np.diff(own.ptr))
+    some = np.flatnonzero(windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[doc] > 0)
+    gone[some] |= _marked(joined(*own.window_hashes(some)), doc[some], windows)
+    cover = np.zeros(len(own.words) + 1, np.int64)
+    at = own.starts[gone]
+    np.add.at(cover, at, 1)
+    np.subtract.at(cover, at + k, 1)
+    return own.words, np.cumsum(cover[:-1]) > 0
 
 
 def _kept_texts(words: Words, gone: np.ndarray) -> pa.LargeBinaryArray:
@@ -164,26 +218,6 @@ def _kept_texts(words: Words, gone: np.ndarray) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(body[keep])])
 
 
-def _resolve(chunk: pa.Table, answers: pa.Table, k: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Part, np.ndarray, bytes]]:
-    """(ids, nulls, part, removed words, rest) for every slice of every copy of a chunk."""
-    bits = {}
-    for lo, bucket, x in zip(answers["lo"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"]):
-        bits.setdefault((lo, bucket), x)
-    for blob, rest in zip(chunk["blob"], chunk["rest"]):
-        for ids, null, part in _parts(blob.as_py(), k, buckets):
-            removed = part.removed.copy()
-            edges = np.searchsorted(part.buckets, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                size = edges[b + 1] - edges[b]
-                flags = np.unpackbits(unzipped(bits[part.lo, int(b)].as_py(), np.uint8)[0], count=size).astype(bool)
-                removed[part.sent[edges[b] : edges[b + 1]][flags]] = True
-            cover = np.zeros(len(part.words) + 1, np.int64)
-            at = part.starts[removed]
-            np.add.at(cover, at, 1)
-            np.subtract.at(cover, at + k, 1)
-            yield ids, null, part, np.cumsum(cover[:-1]) > 0, rest.as_py()
-
-
 def _intervals(gone: np.ndarray, ptr: np.ndarray) -> list[list[int]]:
     """By document, begin and end of the maximal runs of removed words, one after another, counted in its words."""
     n = len(gone)
@@ -198,63 +232,54 @@ def _intervals(gone: np.ndarray, ptr: np.ndarray) -> list[list[int]]:
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (binary, UTF-8) and the removed intervals [begin, end) in words, flattened."""
-    buckets = buckets or 2 * shuffle_width(docs.sparkSession)
-    chunks = pack(docs, chunk_bytes)
-    answers = _answers(_questions(docs, window, buckets, chunk_bytes))
+RESULT = "doc_id long, n_words long, n_removed long, kept_text binary, intervals array<long>"
 
-    def assemble(key: tuple[pa.Scalar, ...], chunk: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for ids, null, part, gone, _ in _resolve(chunk, found, window, buckets):
-            rows = slice(part.lo, part.lo + len(part.words.ptr) - 1)
-            out.append(pa.table({
-                "doc_id": id_array(ids[rows], null[rows]),
-                "n_words": part.words.counts(),
-                "n_removed": sums_by(gone, part.words.ptr),
-                "kept_text": _kept_texts(part.words, gone).cast(pa.binary()),
-                "intervals": pa.array(_intervals(gone, part.words.ptr), pa.list_(pa.int64())),
-            }))
-        return pa.concat_tables(out) if out else RESULT.empty_table()
 
-    RESULT = to_arrow_schema(T._parse_datatype_string(_RESULT))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, _RESULT)
+def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (binary, UTF-8) and the removed intervals [begin, end) in words, flattened."""
+    known = id_and_text(docs)
 
+    def assemble(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lo, texts in slices(batch["text"]):
+            rows = slice(lo, lo + len(texts))
+            words, gone = _removed(texts, batch["units"][rows], batch["windows"][rows], window)
+            yield {
+                "doc_id": batch["doc_id"][rows],
+                "n_words": words.counts(),
+                "n_removed": sums_by(gone, words.ptr),
+                "kept_text": _kept_texts(words, gone).cast(pa.binary()),
+                "intervals": pa.array(_intervals(gone, words.ptr), pa.list_(pa.int64())),
+            }
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_text binary, intervals array<long>"
+    return map_batches(known.join(_repeats(known, window), "doc_id", "left"), assemble, RESULT)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated words taken out of the text; a text with nothing to remove stays as it is.
 
     Columns and their order stay; a column ``n_chars`` is set to the length of a changed text.
     """
-    buckets = 2 * shuffle_width(docs.sparkSession)
-    how = (chunk_bytes, id_col, text_col, True)
-    chunks = pack(docs, *how)
-    answers = _answers(_questions(docs, window, buckets, *how))
-    names = docs.columns
-    others = [c for c in names if c != text_col]
-    schema = docs.schema
-
-    def assemble(key: tuple[pa.Scalar, ...], chunk: pa.Table, found: pa.Table) -> pa.Table:
+    names, schema = docs.columns, docs.schema
+    repeats = _repeats(id_and_text(docs, id_col, text_col), window)
+    # positions, not names, so that columns of ``docs`` may be called anything
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    text_at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        out = []
-        for _, _, part, gone, rest in _resolve(chunk, found, window, buckets):
-            texts = part.words.texts
-            n = len(texts)
-            table = opened_rest(rest).slice(part.lo, n)
-            changed = pa.array(sums_by(gone, part.words.ptr) > 0)
-            whole = pa.LargeStringArray.from_buffers(n, pa.py_buffer(texts.offsets), pa.py_buffer(texts.data))
-            left = _kept_texts(part.words, gone).cast(pa.large_string())
-            text = pa.compute.if_else(changed, left, whole)
-            columns = {c: table.column(i) for i, c in enumerate(others)} | {text_col: text}
-            if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
-                columns["n_chars"] = pa.compute.if_else(changed, pa.compute.utf8_length(left), columns["n_chars"])
-            out.append(pa.table([pa.chunked_array([columns[f.name]]) if isinstance(columns[f.name], pa.Array) else columns[f.name] for f in arrow], names=names).cast(arrow))
-        return pa.concat_tables(out) if out else arrow.empty_table()
-
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, schema)
+        for batch in batches:
+            for lo, texts in slices(batch[f"_{text_at}"]):
+                rows = slice(lo, lo + len(texts))
+                words, gone = _removed(texts, batch["units"][rows], batch["windows"][rows], window)
+                changed = pa.array(sums_by(gone, words.ptr) > 0)
+                left = _kept_texts(words, gone).cast(pa.large_string())
+                columns = {c: batch[f"_{i}"][rows] for i, c in enumerate(names)}
+                columns[text_col] = pa.compute.if_else(changed, left, columns[text_col].cast(pa.large_string()))
+                if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+                    columns["n_chars"] = pa.compute.if_else(changed, pa.compute.utf8_length(left), columns["n_chars"])
+                yield as_batch({c: columns[c].cast(arrow.field(c).type) for c in names}, arrow)
+
+    return source.join(repeats, "doc_id", "left").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

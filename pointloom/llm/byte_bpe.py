@@ -1,18 +1,22 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once.
 
-Texts are cut into pre-tokens.  Rows travel in chunks: a chunk keeps its texts
-compressed, lists its distinct pre-tokens once, and sends them, dealt over
-buckets by hash, to the tasks that encode words.  There a word of any number of
-chunks is merged once; the ids go back to the chunks that asked, in the order
-in which they asked, and the chunk puts its documents together by position.
-So the shuffle carries distinct words of chunks instead of words of documents,
-a very frequent word costs one entry for each chunk, and nothing about the
-vocabulary of the corpus is held by the driver.  Decoding looks the ids up in
-the token-byte table, which is as large as the vocabulary and is broadcast.
+Texts are cut into pre-tokens.  Rows travel in chunks, which are packed and
+shuffled once: a chunk keeps its texts compressed, lists its distinct pre-tokens
+once, and sends them, dealt over buckets by hash, to the tasks that encode words.
+There a word of any number of chunks is merged once (a task that meets more than
+``SEEN_WORDS`` words forgets and begins anew); the ids go back to the chunks that
+asked, in the order in which they asked, and the chunk puts its documents together
+by position.  So the shuffle carries distinct words of chunks instead of words of
+documents, a very frequent word costs one entry for each chunk, and nothing about
+the vocabulary of the corpus is held by the driver.  Questions are read as a stream,
+so a task holds one batch of them and its words, however much it is sent.  A chunk
+asks each bucket once at most, and never asks about more than its own words, so the
+rows follow the number of chunks for any number of buckets.  Decoding looks the ids
+up in the token-byte table, which is as large as the vocabulary and is broadcast.
 
 Defined cases: null is the empty text and gives no ids; repeated rows are
 encoded one by one; chunks with the same content share a key and get the same
-answers; an empty table gives an empty result; columns other than id and text
+answers; texts may come in any order; an empty table gives an empty result; columns other than id and text
 are ignored.
 """
 
@@ -34,6 +38,8 @@ from pointloom.llm.frames import map_batches, shuffle_width
 from pointloom.llm.textkernel import LEAD_BYTE, Texts, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
+#: Distinct words whose ids a task remembers.
+SEEN_WORDS = 1_000_000
 #: Endings that the public pattern splits off after an apostrophe (fixed values of that pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -185,7 +191,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
     spark = docs.sparkSession
     buckets = buckets or 2 * shuffle_width(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    chunks = pack(docs, chunk_bytes)
+    # one shuffle, read for the questions and for the texts
+    chunks = pack(docs, chunk_bytes).repartition("chunk")
 
     def words_of(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"].to_pylist()):
@@ -199,24 +206,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BY
                 "words": [zipped(np.array([len(w) for w in row], np.uint32), np.frombuffer(b"".join(row), np.uint8)) for row in rows],
             }
 
-    def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        ranks, seen, blobs = shared.value, {}, []
-        for blob in group["words"]:
-            lens, body = unzipped(blob.as_py(), np.uint32, np.uint8)
-            body, ends = body.tobytes(), np.cumsum(lens, dtype=np.int64)
-            ids = []
-            for a, b in zip((ends - lens).tolist(), ends.tolist()):
-                word = body[a:b]
-                own = seen.get(word)
-                if own is None:
-                    own = seen[word] = merge_word(word, ranks)
-                ids.append(own)
-            flat = np.array([i for own in ids for i in own], np.uint32)
-            blobs.append(zipped(np.array([len(own) for own in ids], np.uint32), flat))
-        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "ids": pa.array(blobs, pa.binary())})
-
-    asked = pack(docs, chunk_bytes, then=words_of, schema="bucket int, chunk long, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, ids binary")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, seen = shared.value, {}
+        for batch in batches:
+            blobs = []
+            for blob in batch["words"]:
+                lens, body = unzipped(blob.as_py(), np.uint32, np.uint8)
+                body, ends = body.tobytes(), np.cumsum(lens, dtype=np.int64)
+                ids = []
+                for a, b in zip((ends - lens).tolist(), ends.tolist()):
+                    word = body[a:b]
+                    own = seen.get(word)
+                    if own is None:
+                        if len(seen) >= SEEN_WORDS:
+                            seen.clear()
+                        own = seen[word] = merge_word(word, ranks)
+                    ids.append(own)
+                flat = np.array([i for own in ids for i in own], np.uint32)
+                blobs.append(zipped(np.array([len(own) for own in ids], np.uint32), flat))
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], pa.array(blobs, pa.binary())], names=["chunk", "bucket", "ids"])
+
+    asked = map_batches(chunks, words_of, "bucket int, chunk long, words binary")
+    answers = asked.repartition("bucket").mapInArrow(answer, "chunk long, bucket int, ids binary")
 
     def assemble(key: tuple[pa.Scalar, ...], chunk: pa.Table, answers: pa.Table) -> pa.Table:
         first = {}  # chunks with the same content have asked the same: one answer for each bucket is enough

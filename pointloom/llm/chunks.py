@@ -1,30 +1,25 @@
 """Chunks of documents: texts travel compressed, keyed by a digest of their content.
 
-Operators that need answers about pieces of many texts (words, windows) send
-the pieces of a chunk to buckets by hash and get the answers back by chunk, so
-that texts themselves are shuffled once, compressed, and nothing is gathered
-for a whole corpus.  As the key is a digest of the content, a task that is run
-again finds its answers again, and two chunks with the same content share them.
+An operator that needs answers about pieces of many texts sends the pieces of a
+chunk to buckets by hash and gets the answers back by chunk, so that texts
+themselves are shuffled once, compressed, and nothing is gathered for a whole
+corpus.  Two chunks with the same content share their key and their answers.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.llm.frames import as_batch
+from pointloom.llm.frames import id_and_text, map_batches
 from pointloom.llm.textkernel import SLICE_BYTES, Texts, slices
 
 #: Text bytes of one chunk, about; large executors take larger chunks, for fewer repeated pieces.
 CHUNK_BYTES = 8 << 20
-CHUNK = "chunk long, blob binary, rest binary"
 
 
 def zipped(*arrays: np.ndarray) -> bytes:
@@ -41,40 +36,16 @@ def unzipped(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(body[a:b], k) for a, b, k in zip(at[:-1], at[1:], kinds)]
 
 
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, then: Callable[[pa.RecordBatch], Iterator[dict]] | None = None, schema: str = CHUNK) -> DataFrame:
-    """Rows (chunk, blob, rest): ids and texts of about ``chunk_bytes``; rest: all columns but the text, if carried.
-
-    With ``then``, the rows of ``schema`` that it makes of them, in the same Python worker.
-    """
-    fields = T._parse_datatype_string(schema)
-    names = [c for c in docs.columns if carry and c != text_col]
-    # positions, not names, so that columns of ``docs`` may be called anything
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(fields)
-        for batch in batches:
-            for lo, texts in slices(batch.column(1), chunk_bytes):
-                own = batch.column(0).slice(lo, len(texts))
-                ids = np.asarray(own.fill_null(0), np.int64)
-                null = own.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-                blob = zipped(ids, null, texts.offsets, texts.data)
-                rest = b""
-                if names:
-                    sink = pa.BufferOutputStream()
-                    part = pa.RecordBatch.from_arrays(batch.columns[2:], names=[str(i) for i in range(len(names))]).slice(lo, len(texts))
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(part)
-                    rest = sink.getvalue().to_pybytes()
-                key = hashlib.blake2b(blob + rest, digest_size=8).digest()
-                made = pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key, "little", signed=True)], pa.int64()), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())], names=["chunk", "blob", "rest"])
-                if then is None:
-                    yield made
-                else:
-                    for columns in then(made):
-                        yield as_batch(columns, arrow)
-
-    return source.mapInArrow(run, fields)
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (chunk, blob): ids and texts of about ``chunk_bytes``, under a digest of them."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lo, texts in slices(batch["text"], chunk_bytes):
+            own = batch["doc_id"].slice(lo, len(texts))
+            blob = zipped(np.asarray(own.fill_null(0), np.int64), own.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), texts.offsets, texts.data)
+            yield {"chunk": [int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)], "blob": [blob]}
+
+    return map_batches(id_and_text(docs, id_col, text_col), run, "chunk long, blob binary")
 
 
 def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Texts]:
@@ -83,10 +54,6 @@ def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, Texts]:
     return ids, null, Texts(data, offsets)
 
 
-def opened_rest(rest: bytes) -> pa.Table:
-    return pa.ipc.open_stream(rest).read_all()
-
-
 def id_array(ids: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.array(ids, mask=null.astype(bool))
 

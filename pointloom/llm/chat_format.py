@@ -1,6 +1,6 @@
 """Chat formatting: records of many layouts become canonical turns, one text, and a loss mask.
 
-The nested field paths of a record, with their types, are hashed; the
+The nested field paths of a record, with the kinds of their values, are hashed; the
 fingerprint selects a declarative mapping (``Layout``) that names where turns,
 roles and texts are.  The template marks a turn as
 
@@ -13,8 +13,8 @@ mask is a list of character ranges of the formatted text: the assistant's texts.
 
 Defined cases: null texts and roles are empty; turns of one number are ordered
 by role and text; repeated rows are repeated turns; a record whose fingerprint
-no layout has, or which is null or no JSON object, gives no turns and the
-layout null; an empty table gives an empty result; other columns are ignored;
+no layout has, or which is null, no JSON object or nested too deep to be read,
+gives no turns and the layout null; a lone surrogate becomes U+FFFD; an empty table gives an empty result; other columns are ignored;
 rows with a null id are one conversation.
 """
 
@@ -38,6 +38,8 @@ from pointloom.llm.frames import map_batches
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 #: Turns and characters of one record, about; a longer conversation is several records.
 RECORD_TURNS, RECORD_CHARS = 1000, 1 << 22
+#: Halves of surrogate pairs that stand alone, which no text in UTF-8 can hold.
+_LONE = re.compile("[\ud800-\udfff]")
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -70,17 +72,36 @@ LAYOUTS = (
 )
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Paths of the leaves of a nested record; an empty list or object is a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+Path = tuple[tuple[tuple[str, ...], ...], str]
+_KINDS = ((str, "text"), (type(None), "text"), (bool, "boolean"), (int, "number"), (float, "number"), (dict, "object"), (list, "list"))
 
 
-def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
-    return hashlib.blake2b("\n".join(sorted(paths)).encode(), digest_size=8).hexdigest()
+def field_paths(record: object) -> set[Path]:
+    """Paths of the leaves of a nested record, each with the kind of its value; an empty list or object is a leaf, null a text.
+
+    A path is a tuple of steps, ("field", name) or ("item",), so that no name can look like a path of several steps.
+    """
+    out: set[Path] = set()
+    left: list[tuple[tuple[tuple[str, ...], ...], object]] = [((), record)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict) and value:
+            left += [((*at, ("field", name)), v) for name, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [((*at, ("item",)), v) for v in value]
+        else:
+            out.add((at, next(kind for t, kind in _KINDS if isinstance(value, t))))
+    return out
+
+
+def layout_paths(layout: Layout) -> set[Path]:
+    """Paths of a layout's texts: names between points, ``[]`` after the name of a list."""
+    steps = lambda name: (("field", name[:-2]), ("item",)) if name.endswith("[]") else (("field", name),)
+    return {(tuple(s for name in path.split(".") for s in steps(name)), "text") for path in layout.paths}
+
+
+def fingerprint(paths: set[Path]) -> str:
+    return hashlib.blake2b(json.dumps(sorted(paths)).encode(), digest_size=8).hexdigest()
 
 
 def escape(text: str) -> str:
@@ -91,13 +112,19 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
+def parsed(text: str | None) -> object:
+    """The JSON value of a text; None where it is null, no JSON, or nested deeper than the parser goes."""
+    try:
+        return None if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
 def canonical_turns(record: object, layouts: dict[str, Layout]) -> tuple[str | None, list[tuple[str, str]]]:
-    if not isinstance(record, dict):
-        return None, []
-    layout = layouts.get(fingerprint(field_paths(record)))
+    layout = layouts.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
     if layout is None:
         return None, []
-    as_text = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+    as_text = lambda x: _LONE.sub("\ufffd", x or "")
     if layout.turns:
         roles = dict(layout.roles)
         return layout.name, [(roles.get(r, r), as_text(t.get(layout.text))) for t in record[layout.turns] for r in [as_text(t.get(layout.role))]]
@@ -130,16 +157,12 @@ FORMATTED = "conv_id long, layout string, n_turns long, formatted string, loss_m
 
 def format_chats(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """conv_id, layout, n_turns, formatted text and loss mask of each row of ``records`` (conv_id, record: JSON), then the columns in ``carry``."""
-    by_print = {fingerprint(x.paths): x for x in layouts}
+    by_print = {fingerprint(layout_paths(x)): x for x in layouts}
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {"conv_id": batch["conv_id"], "layout": [], "n_turns": [], "formatted": [], "loss_mask": []}
         for text in batch["record"].to_pylist():
-            try:
-                record = json.loads(text) if text is not None else None
-            except ValueError:
-                record = None
-            layout, turns = canonical_turns(record, by_print)
+            layout, turns = canonical_turns(parsed(text), by_print)
             formatted, mask = render(turns)
             for name, value in (("layout", layout), ("n_turns", len(turns)), ("formatted", formatted), ("loss_mask", mask)):
                 out[name].append(value)

@@ -67,3 +67,36 @@ def test_digests_of_long_conversations(spark):
             assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
             assert r.formatted_chars == len(C.render(turns)[0])
     assert C.digests(C.format_chats(C.as_records(frame.limit(0)), carry=C.ORDER)).count() == 0
+
+
+def test_odd_records(spark):
+    deep = '{"a":' * 900 + "1" + "}" * 900
+    rows = [
+        (1, '{"messages[]":{"content":"a","role":"b"}}'),
+        (2, '{"prompt":"\\ud800","response":"x"}'),
+        (3, deep),
+        (4, '{"a":' * 200_000 + "1" + "}" * 200_000),
+        (5, '{"prompt":5,"response":"x"}'),
+        (6, '{"messages":[{"role":"user","content":[{"text":"hi"}]}]}'),
+        (7, '{"messages.role":"a"}'),
+        (8, '{"prompt":null,"response":"x"}'),
+        (9, "1" * 6000),
+    ]
+    out = {r.conv_id: r for r in C.format_chats(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert {i: r.layout for i, r in out.items()} == dict.fromkeys(range(1, 10)) | {2: "prompt", 8: "prompt"}
+    assert C.read_back(out[2].formatted, out[2].loss_mask)[0] == [("user", "�"), ("assistant", "x")]
+    assert C.read_back(out[8].formatted, out[8].loss_mask)[0] == [("user", ""), ("assistant", "x")]
+
+
+NAMES = st.sampled_from(["messages", "messages[]", "role", "content", "prompt", "response", "conversations", "from", "value", "instruction", "input", "output", "a.b", "\ud800", ""])
+VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=True) | st.text(alphabet=st.characters(), max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(NAMES, x, max_size=3), max_leaves=8)
+
+
+@given(VALUES | st.dictionaries(NAMES, VALUES, max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_no_record_raises(value):
+    layouts = {C.fingerprint(C.layout_paths(x)): x for x in C.LAYOUTS}
+    layout, turns = C.canonical_turns(C.parsed(json.dumps(value)), layouts)
+    formatted, mask = C.render(turns)
+    formatted.encode()
+    assert C.read_back(formatted, mask)[0] == turns and (layout is not None or not turns)

@@ -133,7 +133,7 @@ def _marked(keys: np.ndarray, doc: np.ndarray, lists: pa.Array) -> np.ndarray:
 
 
 def _units(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, anchor, unit, key) of every distinct unit of a document."""
+    """(doc_id, anchor, unit) of every distinct unit of a document; among equal anchors, unit stands for the unit's hash."""
 
     def emit(batch: pa.RecordBatch) -> Iterator[dict]:
         for lo, texts in slices(batch["text"]):
@@ -143,15 +143,16 @@ def _units(docs: DataFrame, k: int) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (units.doc[order[1:]] != units.doc[order[:-1]])
             own = order[new]
-            yield {"doc_id": batch["doc_id"].take(pa.array(lo + units.doc[own])), "anchor": units.anchors[own].view(np.int64), "unit": units.hashes[own].view(np.int64), "key": keys[own].view(np.int64)}
+            yield {"doc_id": batch["doc_id"].take(pa.array(lo + units.doc[own])), "anchor": units.anchors[own].view(np.int64), "unit": keys[own].view(np.int64)}
 
-    return map_batches(docs, emit, "doc_id long, anchor long, unit long, key long")
+    return map_batches(docs, emit, "doc_id long, anchor long, unit long")
 
 
 def _windows(docs: DataFrame, opened: DataFrame, k: int) -> DataFrame:
     """(doc_id, h1, h2, window) of the windows in the units that ``opened`` (doc_id, keys) lists."""
 
     def emit(batch: pa.RecordBatch) -> Iterator[dict]:
+        batch = batch.filter(batch["keys"].is_valid())
         for lo, texts in slices(batch["text"]):
             units = Units.of(texts, k)
             asked = _marked(units.keys(), units.doc, batch["keys"].slice(lo, len(texts)))
@@ -160,7 +161,8 @@ def _windows(docs: DataFrame, opened: DataFrame, k: int) -> DataFrame:
             h1, h2 = units.window_hashes(at)
             yield {"doc_id": batch["doc_id"].take(pa.array(lo + doc)), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "window": joined(h1, h2).view(np.int64)}
 
-    return map_batches(docs.join(opened, "doc_id"), emit, "doc_id long, h1 long, h2 long, window long")
+    # the join of the result, too, is one of all documents with a list: both read one shuffle of the texts
+    return map_batches(docs.join(opened, "doc_id", "left"), emit, "doc_id long, h1 long, h2 long, window long")
 
 
 def _repeats(docs: DataFrame, k: int) -> DataFrame:
@@ -170,16 +172,16 @@ def _repeats(docs: DataFrame, k: int) -> DataFrame:
     bounds = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
     shared = units.groupBy("anchor").agg(*bounds, F.min("unit").alias("low"), F.max("unit").alias("high")).where("first < last").select("anchor", "first", (F.col("low") != F.col("high")).alias("differ"))
     held = checkpointed(units.join(shared, "anchor"))
-    plain = held.where("NOT differ AND doc_id > first").select("doc_id", "key")
-    differing = held.where("differ").select("doc_id", "anchor", "unit", "key")
-    firsts = differing.groupBy("anchor", "unit", "key").agg(F.min("doc_id").alias("first"))
-    later = differing.join(firsts, ["anchor", "unit", "key"]).where("doc_id > first").select("doc_id", "key")
-    opened = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("key").alias("keys"))
-    windows = checkpointed(_windows(known, opened, k))
+    plain = held.where("NOT differ AND doc_id > first").select("doc_id", "unit")
+    differing = held.where("differ").select("doc_id", "anchor", "unit")
+    firsts = differing.groupBy("anchor", "unit").agg(F.min("doc_id").alias("first"))
+    later = differing.join(firsts, ["anchor", "unit"]).where("doc_id > first").select("doc_id", "unit")
+    opened = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("unit").alias("keys"))
+    windows = _windows(docs, opened, k)
     repeated = windows.groupBy("h1", "h2").agg(*bounds).where("first < last").select("h1", "h2", "first")
     gone = windows.join(repeated, ["h1", "h2"]).where("doc_id > first").select("doc_id", "window").distinct()
     none = F.lit(None).cast("long")
-    every = plain.unionAll(later).select("doc_id", F.col("key").alias("unit"), none.alias("window")).unionAll(gone.select("doc_id", none, "window"))
+    every = plain.unionAll(later).select("doc_id", "unit", none.alias("window")).unionAll(gone.select("doc_id", none, "window"))
     return every.groupBy("doc_id").agg(F.collect_list("unit").alias("units"), F.collect_list("window").alias("windows"))
 
 

@@ -1,10 +1,13 @@
 """License scan with ordered signature rules, as SQL expressions only.
 
-A rule is a keyword, a regular expression, a label and a priority.  A rule's
-expression runs on a text only when the text holds the keyword and one cheap
-prefilter has let the document through at all.  Detections are intervals of
-characters; one that lies inside another of a longer span, or of the same span
-and a higher priority, is dropped, and the labels that are left are reported.
+A rule of ``license_rules`` is a regular expression with a keyword, a label and a
+priority.  Plain searches for a few roots let a document through at all, then a
+rule's expression runs only on texts that hold its keyword as a word.  Detections
+are intervals of characters; one that lies inside another of a longer span, or of
+the same span and a higher priority, is dropped, and the labels that are left are
+reported.  Places come from running sums, suppression from a sort and a running
+maximum, both over strides of ``STRIDE`` items, so that thousands of hits in one
+text cost little more than as many in many.
 
 Base phrases (``BASE_PHRASES``) are counted wherever their words stand one
 after another; their labels always stay.
@@ -17,12 +20,13 @@ of ``docs`` other than id and text are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.frames import id_and_text
+from pointloom.llm.license_rules import Rule, default_rules
 
 #: Fixed values of the contract: words of a phrase and its label.
 BASE_PHRASES = ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved"))
@@ -30,109 +34,62 @@ BASE_PHRASES = ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Families of licenses: (label, keyword, name as a pattern, versions as patterns).
-FAMILIES = (
-    ("apache", "apache", r"apache(?: software)?", ("1\\.0", "1\\.1", "2\\.0", "2")),
-    ("mit", "mit", r"(?:the )?mit", ("",)),
-    ("bsd", "bsd", r"(?:modified |new |simplified |free)?bsd", ("0", "1", "2", "3", "4")),
-    ("gpl", "general public", r"gnu general public", ("1", "2", "3", "1\\.0", "2\\.0", "3\\.0")),
-    ("lgpl", "lesser general", r"gnu lesser general public", ("2", "2\\.1", "3", "3\\.0")),
-    ("agpl", "affero", r"gnu affero general public", ("1", "3", "3\\.0")),
-    ("mpl", "mozilla", r"mozilla public", ("1\\.0", "1\\.1", "2\\.0")),
-    ("epl", "eclipse", r"eclipse public", ("1\\.0", "2\\.0")),
-    ("cddl", "common development", r"common development and distribution", ("1\\.0", "1\\.1")),
-    ("artistic", "artistic", r"(?:perl )?artistic", ("1\\.0", "2\\.0")),
-    ("isc", "isc", r"isc", ("",)),
-    ("boost", "boost", r"boost software", ("1\\.0",)),
-    ("eupl", "european union", r"european union public", ("1\\.0", "1\\.1", "1\\.2")),
-    ("zlib", "zlib", r"zlib(?:/libpng)?", ("",)),
-    ("python", "python software", r"python software foundation", ("2", "3")),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database", ("1\\.0",)),
-    ("ofl", "open font", r"(?:sil )?open font", ("1\\.0", "1\\.1")),
-    ("upl", "universal permissive", r"universal permissive", ("1\\.0",)),
-    ("cpl", "common public", r"common public", ("0\\.5", "1\\.0")),
-    ("afl", "academic free", r"academic free", ("1\\.1", "2\\.0", "2\\.1", "3\\.0")),
-    ("osl", "open software", r"open software", ("1\\.0", "2\\.0", "2\\.1", "3\\.0")),
-    ("ms-pl", "microsoft public", r"microsoft public", ("",)),
-    ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", ("",)),
-    ("wtfpl", "what the", r"do what the \w+ you want to public", ("1", "2")),
-)
-#: Sentences around a family's name; {n} is the name and {v} the version.
-TEMPLATES = (
-    ("licensed under", 90, r"licensed under (?:the )?{n} licen[cs]e,? ?(?:version |v)?{v}"),
-    ("terms of", 85, r"(?:under )?the terms of the {n} licen[cs]e,? ?(?:version |v)?{v}"),
-    ("name", 60, r"{n} licen[cs]e,? ?(?:version |v)?{v}"),
-    ("licensed as", 80, r"is licensed under (?:the )?{n} licen[cs]e,? ?(?:version |v)?{v}"),
-    ("subject to", 75, r"(?:subject to|governed by|released under|distributed under) (?:the )?{n} licen[cs]e,? ?(?:version |v)?{v}"),
-)
-#: Creative Commons clauses, by name, with the spellings that notices use.
-CLAUSES = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
-#: Single rules: keyword, pattern, label, priority.
-SINGLES = (
-    ("spdx-license", r"spdx-license-identifier: ?[a-z0-9.+-]+", "spdx", 95),
-    ("public domain", r"(?:released |placed |dedicated )?(?:in|into|to) the public domain", "public-domain", 70),
-    ("public domain", r"public domain dedication", "public-domain", 72),
-    ("unlicense", r"this is free and unencumbered software|the unlicense", "unlicense", 88),
-    ("all rights reserved", r"all rights reserved\.?", "reserved", 50),
-    ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}(?: ?[-,] ?(?:19|20)[0-9]{2})*", "copyright", 40),
-    ("permission is", r"permission is hereby granted, free of charge, to any person", "mit", 92),
-    ("redistribution and", r"redistribution and use in source and binary forms", "bsd", 92),
-    ("without warranty", r"without (?:any )?warrant(?:y|ies) of any kind", "disclaimer", 45),
-    ("as is", r"provided [\"'“]?as is[\"'”]?", "disclaimer", 44),
-    ("confidential", r"(?:strictly )?confidential(?: and proprietary)?", "proprietary", 55),
-    ("proprietary", r"proprietary (?:software|license|information)", "proprietary", 56),
-    ("do not distribute", r"do not (?:copy or )?(?:re)?distribute", "proprietary", 57),
-)
-
-
-@dataclass(frozen=True)
-class Rule:
-    keyword: str
-    pattern: str
-    label: str
-    priority: int
-
-
-def default_rules() -> tuple[Rule, ...]:
-    """The rules in order: every family in every template and version, Creative Commons clauses, single rules."""
-    rules = [
-        Rule(keyword, rf"\b{template.format(n=name, v=version)}(?![0-9])", label + (f"-{version.replace(chr(92), '')}" if version else ""), priority + (2 if version else 0))
-        for label, keyword, name, versions in FAMILIES
-        for version in dict.fromkeys((*versions, ""))
-        for _, priority, template in TEMPLATES
-    ]
-    for clause in CLAUSES:
-        spaced = clause.replace("-", "[ -]")
-        rules += [
-            Rule("creative commons", rf"\bcreative commons (?:attribution )?{spaced}(?: ?[0-9]\.[0-9])?", f"cc-{clause}", 86),
-            Rule("cc", rf"\bcc[ -]{spaced}(?:[ -][0-9]\.[0-9])?(?![a-z0-9])", f"cc-{clause}", 84),
-        ]
-    return tuple(rules + [Rule(*x) for x in SINGLES])
+#: Places of a text that sums and maxima run over at a time.
+STRIDE = 128
 
 
 def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _detections(rules: tuple[Rule, ...]) -> str:
-    """SQL for the detections of every rule in ``low``: an array of (begin, end, priority, number, label)."""
-    by_keyword: dict[str, list[tuple[int, Rule]]] = {}
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` where ``name`` stands for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _strides(array: str, fold: str) -> str:
+    """SQL of ``fold`` over all strides before each stride."""
+    return _let("b", f"transform(sequence(0, (size({array}) - 1) div {STRIDE}), c -> {fold.format(f'slice({array}, c * {STRIDE} + 1, {STRIDE})')})", f"transform(b, (_, c) -> {fold.format('slice(b, 1, c)')})")
+
+
+_SUM, _MAX = "aggregate({}, 0, (s, y) -> s + y)", "coalesce(array_max({}), -1)"
+
+
+def _hits(rules: tuple[Rule, ...]) -> str:
+    """SQL for the rules that match ``low``: widths of their matches and of the pieces between them.
+
+    Roots and keywords gate the expressions, each of which is a constant of the plan and is compiled once.
+    """
+    of_rule = lambda number, r: _let(
+        "h",
+        f"regexp_extract_all(t, {_literal(r.expression)}, 0)",
+        f"IF(size(h) = 0, NULL, named_struct('widths', transform(h, x -> length(x)), 'gaps', transform(split(t, {_literal(r.expression)}, -1), x -> length(x)), 'priority', {r.priority}, 'number', {number}, 'label', {_literal(r.label)}))",
+    )
+    by_root: dict[str, dict[str, list[str]]] = {}
+    gates = {}
     for number, rule in enumerate(rules):
-        by_keyword.setdefault(rule.keyword, []).append((number, rule))
-    groups = [
-        f"named_struct('keyword', {_literal(k)}, 'rules', array({', '.join(f'named_struct({chr(39)}pattern{chr(39)}, {_literal(r.pattern)}, {chr(39)}label{chr(39)}, {_literal(r.label)}, {chr(39)}priority{chr(39)}, {r.priority}, {chr(39)}number{chr(39)}, {n})' for n, r in own)}))"
-        for k, own in by_keyword.items()
-    ]
-    # all places of a pattern: the lengths of the pieces between matches, and of the matches
-    places = """
-        transform(sequence(0, size(hits) - 1), k -> named_struct(
-            'begin', aggregate(slice(pieces, 1, k + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(hits, 1, k), 0, (a, x) -> a + length(x)),
-            'width', length(hits[k])))"""
-    of_rule = f"""
-        transform(filter(array(named_struct('hits', regexp_extract_all(low, r.pattern, 0), 'rule', r)), x -> size(x.hits) > 0),
-            x -> transform({places.replace("hits", "x.hits").replace("pieces", "split(low, x.rule.pattern, -1)")},
-                p -> named_struct('begin', p.begin, 'end', p.begin + p.width, 'priority', x.rule.priority, 'number', x.rule.number, 'label', x.rule.label)))"""
-    return f"flatten(flatten(transform(filter(array({', '.join(groups)}), g -> contains(low, g.keyword)), g -> flatten(transform(g.rules, r -> {of_rule})))))"
+        by_root.setdefault(rule.root, {}).setdefault(rule.gate, []).append(of_rule(number, rule))
+        gates[rule.gate] = " AND ".join(f"contains(t, {_literal(w)})" for w in rule.keyword.split()) + f" AND rlike(t, {_literal(rule.gate)})"
+    roots = [f"IF(contains(t, {_literal(root)}), flatten(array_compact(array({', '.join(f'IF({gates[gate]}, array({chr(44).join(own)}), NULL)' for gate, own in groups.items())}))), NULL)" for root, groups in by_root.items()]
+    return _let("t", "low", f"array_compact(flatten(array_compact(array({', '.join(roots)}))))")
+
+
+def _places(hit: str) -> str:
+    """SQL for the detections of one rule: begin and end from running sums of the widths, and what orders them."""
+    steps = f"transform({hit}.widths, (w, i) -> {hit}.gaps[i] + IF(i > 0, {hit}.widths[i - 1], 0))"
+    begin = f"f[i div {STRIDE}] + {_SUM.format(f'slice(s, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE} + 1)')}"
+    spans = f"transform({hit}.widths, (w, i) -> {_let('p', begin, f'named_struct({chr(39)}begin{chr(39)}, p, {chr(39)}back{chr(39)}, -(p + w), {chr(39)}rank{chr(39)}, -{hit}.priority, {chr(39)}number{chr(39)}, {hit}.number, {chr(39)}label{chr(39)}, {hit}.label)')})"
+    return _let("s", steps, _let("f", _strides("s", _SUM), spans))
+
+
+def _suppressed(detections: str) -> str:
+    """SQL for the detections, in order, that no earlier one reaches past.
+
+    The order is by begin, then the longer, the higher priority and the earlier rule first, so that a detection lies
+    inside another one exactly where some earlier one ends no earlier.
+    """
+    reach = f"greatest(m[i div {STRIDE}], {_MAX.format(f'slice(e, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE})')})"
+    return _let("d", f"array_sort({detections})", _let("e", "transform(d, x -> -x.back)", _let("m", _strides("e", _MAX), f"filter(d, (x, i) -> {reach} < -x.back)")))
 
 
 def _phrase(words: tuple[str, ...]) -> str:
@@ -148,7 +105,7 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Dat
     docs = id_and_text(docs)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     low = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("low"))
-    keywords = "|".join(dict.fromkeys(r.keyword for r in rules))
+    some = reduce(lambda a, b: a | b, [F.contains("low", F.lit(root)) for root in dict.fromkeys(r.root for r in rules)], F.lit(False))
     has_base = F.lit(False)
     for words, _ in BASE_PHRASES:
         has_base = has_base | (F.contains("low", F.lit(words[-1])) & F.col("low").rlike(_phrase(words)))
@@ -157,7 +114,7 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Dat
         "doc_id",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         words.alias("words"),
-        F.when(F.col("low").rlike(keywords), F.expr(_detections(rules))).alias("found"),
+        (F.when(some, F.expr(_hits(rules))) if rules else F.lit(None)).alias("found"),
     )
 
     def places(phrase: tuple[str, ...]) -> Column:
@@ -166,9 +123,10 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Dat
 
     located = found.select("doc_id", "n_words", "found", *[F.when(F.col("words").isNotNull(), places(p)).alias(f"at{k}") for k, (p, _) in enumerate(BASE_PHRASES)])
     at = [F.coalesce(F.col(f"at{k}"), F.expr("cast(array() as array<int>)")) for k in range(len(BASE_PHRASES))]
-    kept = F.expr("""
-        filter(coalesce(found, array()), m -> NOT exists(found, o -> o.begin <= m.begin AND o.end >= m.end AND o.number <> m.number AND
-            (o.end - o.begin > m.end - m.begin OR o.priority > m.priority OR (o.priority = m.priority AND o.number < m.number))))""")
+    flat = f"flatten(transform(found, r -> {_places('r')}))"
+    spans = f"transform({_suppressed(flat)}, x -> named_struct('begin', x.begin, 'end', -x.back, 'priority', -x.rank, 'number', x.number, 'label', x.label))"
+    none = "cast(array() as array<struct<begin: int, end: int, priority: int, number: int, label: string>>)"
+    kept = F.expr(f"IF(coalesce(size(found), 0) > 0, {spans}, {none})" if rules else none)
     parts = located.select("doc_id", "n_words", F.concat(*at).alias("places"), F.array_compact(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, (_, label) in zip(at, BASE_PHRASES)])).alias("base"), kept.alias("detections"))
     every = F.array_sort(F.array_distinct(F.concat("base", F.col("detections.label"))))
     best = F.array_max(F.transform("detections", lambda d: d["priority"]))

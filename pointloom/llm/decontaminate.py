@@ -1,20 +1,21 @@
-"""Benchmark decontamination: windows around shared shingles, exact confirmation, SimHash distance of what is found.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity.
 
 A benchmark item gives its multiset of 5-word shingles and a 64-bit SimHash of
-them.  A window of a document has as many words as the item; a window without a
-single shingle of the item has similarity 0, so an exact index of shingles finds
-the candidates: all windows around shared shingles.  Their exact similarity, the
-sum of smaller over the sum of larger multiplicities, decides; it is left out only
-where the number of shared places bounds it below the threshold.  The distance of
-the fingerprints of window and item is reported and decides nothing.
-
-``Items.within`` is the search for fingerprints alone, in six tables over six
-blocks of bits: two fingerprints that differ in at most RADIUS = 22 bits differ in
-at most three bits of some block, and the tables hold every key within three bits
-of an item's.  ``leaks`` does not use it, as similar windows can be further apart.
-
-The items are a stated query set.  They are held in blocks of ITEMS_PER_BLOCK,
-each of which is one pass over the documents.
+them.  A window of a document has as many words as an item; a window without a
+single shingle of an item has similarity 0 to it, so windows around shared shingles
+are fingerprinted, and of these the ones with shared shingles enough for the
+threshold.  The fingerprints are looked up in six tables over six blocks of bits: two
+fingerprints that differ in at most RADIUS = 22 bits differ in at most three bits of
+some block, so looking up every key within three bits finds all items within the
+radius.  Each item found that has the window's size is compared with it exactly: the
+sum of smaller over the sum of larger multiplicities decides.
+
+Fingerprints of similar windows can be further apart than the radius where an item
+has few distinct shingles.  Such pairs are not lost: the item whose shingles brought
+a window up is compared with it whatever the distance, which is reported.
+
+The items are a stated query set, held as flat arrays of about 40 bytes a shingle.
+ITEMS_PER_PASS bounds what a broadcast holds, and more items take more passes.
 
 Defined cases: words are runs of anything but ASCII white space after A-Z are
 lower-cased; items of fewer than five words have no shingle and are never
@@ -24,9 +25,8 @@ repeated rows are judged one by one; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -42,7 +42,9 @@ SIMILARITY = 0.75
 RADIUS = 22
 #: First bit and width of the blocks of a fingerprint.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-ITEMS_PER_BLOCK = 5_000
+ITEMS_PER_PASS = 100_000
+#: Shingles whose bits, and fingerprints whose keys, are held at a time.
+RUN, LOOKUPS = 1 << 14, 1 << 10
 _FILTER_BITS = 20
 
 
@@ -60,27 +62,39 @@ def simhash(signs: np.ndarray) -> np.ndarray:
     return np.packbits(signs > 0, axis=-1, bitorder="little").view(np.uint64)[..., 0]
 
 
-def signs_of(hashes: np.ndarray) -> np.ndarray:
-    return (((hashes[:, None] >> _BIT) & np.uint64(1)).astype(np.int32) << 1) - 1
+def window_prints(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of the ``width`` shingles from each of ascending starts on; bits of some shingles at a time."""
+    out, lo = np.zeros(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + RUN, side="right"))
+        own = hashes[starts[lo] : starts[hi - 1] + width]
+        ones = np.zeros((len(own) + 1, 64), np.int32)
+        np.cumsum((own[:, None] >> _BIT) & np.uint64(1), axis=0, out=ones[1:])
+        at = starts[lo:hi] - starts[lo]
+        out[lo:hi] = simhash(2 * (ones[at + width] - ones[at]) - width)
+        lo = hi
+    return out
 
 
 @dataclass
 class Items:
-    """A block of benchmark items and its tables."""
+    """Benchmark items and their tables, as flat arrays."""
 
-    ids: list[int]
+    ids: np.ndarray
     words: np.ndarray
-    shingles: list[Counter]
     fingerprints: np.ndarray
-    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # all shingles, ascending
-    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    owner_ptr: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    maybe: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    ptr: np.ndarray  # shingles of item i: ptr[i] up to ptr[i + 1], ascending
+    shingles: np.ndarray
+    counts: np.ndarray
+    known: np.ndarray  # all shingles, ascending
+    owners: np.ndarray
+    owner_ptr: np.ndarray
+    maybe: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
-        ids, sizes, shingles, prints = [], [], [], []
+        ids, sizes, prints, shingles, counts = [], [], [], [], []
         for item, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
             for _, texts in slices(pa.array([text], pa.string())):
                 h = texts.lowered().words().hashes()
@@ -88,50 +102,66 @@ class Items:
                 if len(g):
                     ids.append(item)
                     sizes.append(len(h))
-                    shingles.append(Counter(g.tolist()))
-                    prints.append(simhash(signs_of(g).sum(0)[None])[0])
-        out = cls(ids, np.array(sizes, np.int64), shingles, np.array(prints, np.uint64))
-        if ids:
-            flat = np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in shingles])
-            owner = np.repeat(np.arange(len(ids)), [len(s) for s in shingles])
-            order = np.argsort(flat, kind="stable")
-            flat, out.owners = flat[order], owner[order]
-            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            out.known, out.owner_ptr = flat[first], np.append(first, len(flat))
-            out.maybe[(out.known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            for begin, width in BLOCKS:
-                own = ((out.fingerprints >> np.uint64(begin)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                keys = (own[:, None] ^ _flips(width)[None]).ravel()
-                item = np.repeat(np.arange(len(ids)), len(_flips(width)))
-                by_key = np.argsort(keys, kind="stable")
-                out.tables.append((item[by_key].astype(np.int32), np.searchsorted(keys[by_key], np.arange((1 << width) + 1))))
-        return out
+                    prints.append(window_prints(g, np.zeros(1, np.int64), len(g))[0])
+                    own, n = np.unique(g, return_counts=True)
+                    shingles.append(own)
+                    counts.append(n)
+        ptr = np.append(0, np.cumsum([len(x) for x in shingles])).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *shingles])
+        owner = np.repeat(np.arange(len(ids)), np.diff(ptr))
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.append(True, flat[order[1:]] != flat[order[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        known = flat[order[first]]
+        maybe = np.zeros(1 << _FILTER_BITS, bool)
+        maybe[(known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        prints = np.array(prints, np.uint64)
+        tables = []
+        for begin, width in BLOCKS:
+            keys = _block(prints, begin, width)
+            by_key = np.argsort(keys, kind="stable")
+            tables.append((by_key, np.searchsorted(keys[by_key], np.arange((1 << width) + 1))))
+        return cls(np.array(ids, np.int64), np.array(sizes, np.int64), prints, ptr, flat, np.concatenate([np.zeros(0, np.int64), *counts]), known, owner[order], np.append(first, len(flat)), maybe, tables)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, item, distance) of all items within the radius of each fingerprint."""
-        pairs = []
-        for (begin, width), (items, ptr) in zip(BLOCKS, self.tables):
-            key = ((prints >> np.uint64(begin)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            n = ptr[key + 1] - ptr[key]
-            first = np.cumsum(n) - n
-            at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(ptr[key], n)
-            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[at])
-        pair = np.unique(np.concatenate(pairs))
-        place, item = pair // len(self.ids), pair % len(self.ids)
-        distance = np.bitwise_count(prints[place] ^ self.fingerprints[item])
-        near = distance <= RADIUS
-        return place[near], item[near], distance[near]
-
-
-def _similarity(window: np.ndarray, item: Counter) -> float:
-    own = Counter(window.tolist())
-    both = sum(min(n, item[g]) for g, n in own.items() if g in item)
-    return both / (sum(own.values()) + sum(item.values()) - both)
+        found = []
+        for lo in range(0, len(prints), LOOKUPS):
+            pairs = []
+            for (begin, width), (items, ptr) in zip(BLOCKS, self.tables):
+                flips = _flips(width)
+                key = (_block(prints[lo : lo + LOOKUPS], begin, width)[:, None] ^ flips).ravel()
+                at, which = _ranges(ptr[key], ptr[key + 1])
+                pairs.append((lo + which // len(flips)) * len(self.ids) + items[at])
+            pair = np.unique(np.concatenate(pairs))
+            place, item = pair // max(1, len(self.ids)), pair % max(1, len(self.ids))
+            distance = np.bitwise_count(prints[place] ^ self.fingerprints[item])
+            near = distance <= RADIUS
+            found.append((place[near], item[near], distance[near]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        own, n = np.unique(window, return_counts=True)
+        a, b = self.ptr[item], self.ptr[item + 1]
+        at = np.minimum(np.searchsorted(self.shingles[a:b], own), b - a - 1)
+        same = self.shingles[a:b][at] == own
+        both = int(np.minimum(n, self.counts[a:b][at])[same].sum())
+        return both / (len(window) + int(self.counts[a:b].sum()) - both)
+
+
+def _block(prints: np.ndarray, begin: int, width: int) -> np.ndarray:
+    return ((prints >> np.uint64(begin)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of every range, one range after another, and the range of each."""
+    n = end - first
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - (np.cumsum(n) - n)[which] + first[which], which
 
 
 def find_leaks(texts: Texts, items: Items, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float, int]]:
     """(document, item id, first word, end word, similarity, distance) of every leak in a slice of texts."""
-    if not items.ids:
+    if not len(items.ids):
         return []
     words = texts.lowered().words()
     g = grams(words.hashes(), SHINGLE_WORDS)
@@ -140,9 +170,8 @@ def find_leaks(texts: Texts, items: Items, similarity: float = SIMILARITY) -> li
     place = np.searchsorted(items.known, g[at])
     hit = items.known[np.minimum(place, len(items.known) - 1)] == g[at]
     at, place = at[hit], place[hit]
-    n = items.owner_ptr[place + 1] - items.owner_ptr[place]
-    owner = items.owners[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.owner_ptr[place], n)]
-    at = np.repeat(at, n)
+    owner_at, which = _ranges(items.owner_ptr[place], items.owner_ptr[place + 1])
+    owner, at = items.owners[owner_at], at[which]
     doc = np.searchsorted(words.ptr, at, side="right") - 1
     order = np.lexsort((at, owner, doc))
     at, owner, doc = at[order], owner[order], doc[order]
@@ -151,37 +180,55 @@ def find_leaks(texts: Texts, items: Items, similarity: float = SIMILARITY) -> li
     new = np.ones(len(at), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > size[1:])
     edges = np.append(np.flatnonzero(new), len(at))
-    out = []
+    runs, prints = [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         item, d, k = int(owner[a]), int(doc[a]), int(size[a])
         lo = max(int(words.ptr[d]), int(at[a]) - k + SHINGLE_WORDS)
         hi = min(int(words.ptr[d + 1]), int(at[b - 1]) + k)
         whole = k - SHINGLE_WORDS + 1
         k = min(k, hi - lo)
-        own = g[lo : hi - SHINGLE_WORDS + 1]
         width = k - SHINGLE_WORDS + 1
-        # no more shingles agree than are any of the item's: windows with too few of those need no count
-        shared = np.zeros(len(own) + 1, np.int64)
+        # no more shingles agree than are any of the item's: windows with too few of those are no candidates
+        shared = np.zeros(hi - lo - SHINGLE_WORDS + 2, np.int64)
         shared[at[a:b] - lo + 1] = 1
         shared = np.cumsum(shared)
         most = shared[width:] - shared[:-width]
-        found = []
-        for s in np.flatnonzero(most / (width + whole - most) >= similarity).tolist():
-            sim = _similarity(own[s : s + width], items.shingles[item])
-            if sim >= similarity:
-                found.append((-sim, lo + s))
-        taken: list[int] = []
-        for sim, s in sorted(found):
-            if all(abs(s - t) >= k for t in taken):
-                taken.append(s)
+        windows = lo + np.flatnonzero(most / (width + whole - most) >= similarity)
+        if len(windows):
+            runs.append((d, item, k, windows))
+            prints.append(window_prints(g, windows, width))
+    if not runs:
+        return []
+    prints = np.concatenate(prints)
+    run = np.repeat(np.arange(len(runs)), [len(r[3]) for r in runs])
+    starts = np.concatenate([r[3] for r in runs])
+    # equal fingerprints are looked up once; an item that is found has to have the size of the window's own
+    each, same = np.unique(prints, return_inverse=True)
+    place, near, _ = items.within(each)
+    by_print = np.searchsorted(place, np.arange(len(each) + 1))
+    at, window = _ranges(by_print[same], by_print[same + 1])
+    own = np.array([r[1] for r in runs])[run]
+    fits = (items.words[near[at]] == items.words[own[window]]) & (near[at] != own[window])
+    window, item = np.concatenate([window[fits], np.arange(len(starts))]), np.concatenate([near[at][fits], own])
+    found: dict[tuple[int, int], dict[int, tuple[float, int, int]]] = {}
+    for w, i in zip(window.tolist(), item.tolist()):
+        d, _, k, _ = runs[run[w]]
+        s, kept = int(starts[w]), found.setdefault((d, i), {})
+        if s not in kept:
+            kept[s] = (items.similarity(i, g[s : s + k - SHINGLE_WORDS + 1]), int(np.bitwise_count(prints[w] ^ items.fingerprints[i])), k)
+    out = []
+    for (d, item), windows in found.items():
+        taken: list[tuple[int, int]] = []
+        for s, (sim, distance, k) in sorted(windows.items(), key=lambda x: (-x[1][0], x[0])):
+            if sim >= similarity and all(s + k <= t or s >= end for t, end in taken):
+                taken.append((s, s + k))
                 first = s - int(words.ptr[d])
-                own_print = simhash(signs_of(g[s : s + width]).sum(0)[None])[0]
-                out.append((d, items.ids[item], first, first + k, -sim, int(np.bitwise_count(own_print ^ items.fingerprints[item]))))
+                out.append((d, int(items.ids[item]), first, first + k, sim, distance))
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Items]:
-    """The items in blocks of about ``most``, the bound on what the driver and a broadcast hold."""
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Items]:
+    """The items in parts of about ``most``, the bound on what the driver and a broadcast hold."""
     known = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     n = max(1, -(-known.count() // most))
     for k in range(n):
@@ -191,10 +238,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 LEAKS = "doc_id long, item_id long, first_word long, end_word long, similarity double, distance int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """One row for each passage of a document that is a benchmark item, or nearly one."""
     out = None
-    for items in _blocks(benchmark, "item_id", "text", items_per_block):
+    for items in _passes(benchmark, "item_id", "text", items_per_pass):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:
@@ -209,9 +256,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_block: int = ITEMS_PER_BLOCK, text_col: str = "text") -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns; no shuffle."""
-    for items in _blocks(benchmark, "item_id", "text", items_per_block):
+    for items in _passes(benchmark, "item_id", "text", items_per_pass):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

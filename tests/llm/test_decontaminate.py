@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -28,10 +29,52 @@ def test_planted_passages_are_found_as_brute_force_says(spark, small):
             expected.add((i, item))
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in found} == expected
-    few = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, items_per_block=5).collect()
+    few = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, items_per_pass=5).collect()
     assert {(r.doc_id, r.item_id) for r in few} == expected
 
 
+def test_every_window_of_every_document(spark):
+    """All item-sized windows of all documents against all items: the best window of a passage, and no other document."""
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choices("abcdefghijklmnop", k=rng.randint(5, 14)))) for i in range(25)] + [(30, "a b " * 6), (31, "b a " * 6), (32, "a b " * 6)]
+    docs = []
+    for i in range(60):
+        w = rng.choices("abcdefghijklmnop", k=rng.randint(0, 12))
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(items)[1].split()
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = rng.choice("xyz")
+            w += own + rng.choices("abcdefghijklmnop", k=rng.randint(0, 3))
+        docs.append((i, " ".join(w)))
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        for item, t in items:
+            k = min(len(t.split()), len(w))
+            for s in range(len(w) - k + 1):
+                a, b = shingles(" ".join(w[s : s + k])), shingles(t)
+                both = sum((a & b).values())
+                if both and both / (sum(a.values()) + sum(b.values()) - both) >= 0.75:
+                    want.setdefault((d, item), {})[s] = both / (sum(a.values()) + sum(b.values()) - both)
+    got = {}
+    for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.item_id), {})[r.first_word] = r.similarity
+    assert got.keys() == want.keys() and len(want) > 30
+    for key, found in got.items():
+        assert found.items() <= want[key].items() and max(found.values()) == max(want[key].values())
+
+
+def test_long_texts_take_little_memory():
+    """An item over and over: bits of a bounded run of shingles are held."""
+    item = " ".join(f"w{i}" for i in range(40))
+    items = D.Items.of([(1, item)])
+    ((_, texts),) = list(D.slices(D.pa.array([" ".join([item] * 1000)]), 1 << 30))
+    tracemalloc.start()
+    assert len(D.find_leaks(texts, items)) == 1000
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 def test_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(4)
     items = D.Items.of([(i, " ".join(rng.choice(list("abcdefghij"), 12))) for i in range(60)])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, as in tests."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pointloom-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-"))
     return context.getCheckpointDir()
 
 
@@ -62,3 +66,18 @@ def bounded_sample(labels: DataFrame, value_col: str, most: int, id_col: str = "
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(value_col).alias("value")).where("doc_id IS NOT NULL AND value IS NOT NULL")
     return known.groupBy("doc_id").agg(F.max("value").alias("value")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+
+
+#: Bytes of the texts that a model is fitted on, at most.
+FIT_BYTES = 64 << 20
+
+
+def fitting_rows(docs: DataFrame, sample: DataFrame, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, text, value) of the sampled ids (doc_id, value) as far as their texts have ``most_bytes`` together.
+
+    An id that several documents have counts once, with its smallest text.  The order in which texts count is that
+    of ``bounded_sample``; only the sample goes through one task.
+    """
+    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("value").alias("value"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return texts.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).drop("_upto")

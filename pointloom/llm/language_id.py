@@ -21,12 +21,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pointloom.llm.frames import bounded_sample, id_and_text, map_batches
+from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
 from pointloom.llm.textkernel import Texts, slices
 
-#: Documents that the network is fitted on, at most, and segments of one of them, at most.
+#: Documents that the network is fitted on, at most (their bytes are bounded by FIT_BYTES), and segments of one of them, at most.
 FIT_DOCUMENTS, FIT_SEGMENTS = 800, 12
 HIDDEN, SEGMENT, FIT_SEGMENT = 8, 128, 48
 #: Text bytes of one pass over segments.
@@ -172,10 +171,11 @@ def fit(rows: list[tuple[str, str]], steps: int = 260, batch: int = 192, seed: i
     pieces, own = [], []
     for text, language in rows:
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        if len(data) >= FIT_SEGMENT:
-            for at in np.unique(np.linspace(0, len(data) - FIT_SEGMENT, FIT_SEGMENTS).astype(int)):
-                pieces.append(data[at : at + FIT_SEGMENT])
-                own.append(languages.index(language))
+        if 0 < len(data) < FIT_SEGMENT:  # a short text teaches by its repetition
+            data = np.resize(np.append(data, np.uint8(32)), FIT_SEGMENT)
+        for at in np.unique(np.linspace(0, len(data) - FIT_SEGMENT, FIT_SEGMENTS).astype(int)) if len(data) else ():
+            pieces.append(data[at : at + FIT_SEGMENT])
+            own.append(languages.index(language))
     if len(languages) < 2 or not pieces:
         return net
     x, y = np.array(pieces), np.array(own)
@@ -195,10 +195,9 @@ def fit(rows: list[tuple[str, str]], steps: int = 260, batch: int = 192, seed: i
     return net
 
 
-def fit_from(docs: DataFrame, most: int = FIT_DOCUMENTS) -> Network | None:
-    """The network fitted on at most ``most`` documents with a language; None if there is none."""
-    sample = bounded_sample(docs, "lang", most)
-    rows = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
+def fit_from(docs: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Network | None:
+    """The network fitted on at most ``most`` documents of ``most_bytes`` with a language; None if there is none."""
+    rows = fitting_rows(docs, bounded_sample(docs, "lang", most), most_bytes).orderBy("doc_id").collect()
     return fit([(r.text, r.value) for r in rows]) if rows else None
 
 

@@ -30,10 +30,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.frames import bounded_sample, id_and_text, map_batches
+from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
 
-#: Labelled documents that the classifier is fitted on, at most, and words of the vocabulary, at most.
-FIT_DOCUMENTS, VOCABULARY = 4000, 20_000
+#: Labelled documents that the classifier is fitted on, at most; their bytes are bounded by FIT_BYTES.
+FIT_DOCUMENTS = 4000
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 64, 6, 2, 24
 #: Scores from here on are predicted as good.
 DECISION = 0.3
@@ -131,7 +131,7 @@ def word_vectors(texts: list[str | None]) -> tuple[dict[str, int], np.ndarray]:
     tokens = Tokens()
     streams = [[t for w in (text or "").split() for t in tokens.of(w)] for text in texts]
     counts = Counter(t for s in streams for t in s)
-    vocabulary = {t: i for i, (t, _) in enumerate(sorted(((t, n) for t, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
+    vocabulary = {t: i for i, (t, _) in enumerate(sorted(((t, n) for t, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0])))}
     own = np.array([index_vector(t) for t in vocabulary], np.float32).reshape(-1, DIMENSIONS)
     sums = own.copy()
     for stream in streams:
@@ -179,10 +179,9 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 600, seed: int =
     return model
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Classifier:
-    """The classifier fitted on at most ``most`` labelled documents."""
-    sample = bounded_sample(labels, "quality", most)
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "text").collect()
+def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Classifier:
+    """The classifier fitted on at most ``most`` labelled documents of ``most_bytes``, whose tokens seen twice are its vocabulary."""
+    rows = fitting_rows(docs, bounded_sample(labels, "quality", most), most_bytes).orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").collect()
     return fit([r.text for r in rows], np.array([r.value for r in rows], float))
 
 

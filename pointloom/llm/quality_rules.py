@@ -23,12 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pointloom.llm.frames import bounded_sample, id_and_text, map_batches
+from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
 from pointloom.llm.textkernel import LEAD_BYTE, Texts, gram_starts, grams, slices, span_hashes, sums_by
 
-#: Labelled documents that the field is fitted on, at most.
+#: Labelled documents that the field is fitted on, at most; their bytes are bounded by FIT_BYTES.
 FIT_DOCUMENTS = 2000
 #: Lines of one training chain; longer documents are cut into several chains.
 CHAIN_LINES = 32
@@ -177,22 +176,27 @@ def judge_texts(texts: Texts, model: LineField, content_share: float = CONTENT_S
     }
 
 
-def _forward_backward(unary: np.ndarray, lens: np.ndarray, model: LineField) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of labels and of moves for padded chains, and the sum of log partition values."""
-    n, most, _ = unary.shape
-    alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-    alpha[:, 0] = model.start + unary[:, 0]
-    for t in range(1, most):
-        alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + model.moves, axis=1) + unary[:, t]
+def _forward_backward(odds: np.ndarray, live: np.ndarray, model: LineField) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of label 1 by line and expected moves, for padded chains; ``odds`` are the unary scores of label 1.
+
+    States are scaled to sums of one at every step, so that products of many lines stay in range.
+    """
+    most, n = odds.shape
+    emit = np.stack([np.exp(-np.maximum(odds, 0)), np.exp(np.minimum(odds, 0))], axis=2)  # by line, label 0 and label 1
+    moves = np.exp(model.moves - model.moves.max())
+    alpha = np.empty((most, n, 2))
+    for t in range(most):
+        own = emit[t] * (np.exp(model.start - model.start.max()) if t == 0 else alpha[t - 1] @ moves)
+        alpha[t] = own / own.sum(1, keepdims=True)
+    beta = np.full((most, n, 2), 0.5)
     for t in range(most - 2, -1, -1):
-        step = np.logaddexp.reduce(model.moves + (unary[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-        beta[:, t] = np.where((t + 1 < lens)[:, None], step, 0)
-    log_z = np.logaddexp.reduce(alpha[np.arange(n), lens - 1], axis=1)
-    live = np.arange(most)[None] < lens[:, None]
-    marginal = np.where(live[:, :, None], np.exp(alpha + beta - log_z[:, None, None]), 0)
-    pairs = alpha[:, :-1, :, None] + model.moves + (unary[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-    moves = np.where(live[:, 1:, None, None], np.exp(np.minimum(pairs, 0)), 0).sum((0, 1))
-    return marginal, moves, float(log_z.sum())
+        back = (emit[t + 1] * beta[t + 1]) @ moves.T
+        beta[t] = np.where(live[t + 1][:, None], back / back.sum(1, keepdims=True), 0.5)
+    both = alpha * beta
+    marginal = np.where(live, both[:, :, 1] / both.sum(2), 0)
+    pairs = alpha[:-1, :, :, None] * moves * (emit[1:] * beta[1:])[:, :, None, :]
+    pairs *= (live[1:] / pairs.sum((2, 3)))[:, :, None, None]
+    return marginal, pairs.sum((0, 1))
 
 
 def fit_field(chains: list[np.ndarray], low_quality: np.ndarray, rounds: int = 2, steps: int = 120) -> LineField:
@@ -202,27 +206,24 @@ def fit_field(chains: list[np.ndarray], low_quality: np.ndarray, rounds: int = 2
     if not low.any() or low.all():
         return LineField()
     lens = np.array([len(c) for c in chains])
-    most = int(lens.max())
-    x = np.zeros((len(chains), most, len(FEATURES)))
+    most, f = int(lens.max()), len(FEATURES)
+    x = np.zeros((most, len(chains), f))  # lines first, so that a step of all chains lies together
     for i, c in enumerate(chains):
-        x[i, : len(c)] = c
-    live = np.arange(most)[None] < lens[:, None]
-    model = LineField(np.zeros(len(FEATURES)), np.zeros((2, 2)), np.zeros(2))
-    y = np.where(low[:, None] & live, 1, 0)
+        x[: len(c), i] = c
+    live = np.arange(most)[:, None] < lens
+    model = LineField(np.zeros(f), np.zeros((2, 2)), np.zeros(2))
+    y = (low & live).astype(float)
     for _ in range(rounds + 1):
         params = np.concatenate([model.weights, model.moves.ravel(), model.start])
         m, v = np.zeros_like(params), np.zeros_like(params)
-        onehot = np.eye(2)[y] * live[:, :, None]
-        seen_moves = np.einsum("nti,ntj->ij", onehot[:, :-1], onehot[:, 1:])
+        labels = np.stack([live - y, y], axis=2)
+        seen = np.concatenate([np.einsum("tn,tnf->f", y, x), np.einsum("tni,tnj->ij", labels[:-1], labels[1:]).ravel(), labels[0].sum(0)])
         for step in range(1, steps + 1):
-            unary = np.zeros((*x.shape[:2], 2))
-            unary[:, :, 1] = x @ model.weights
-            marginal, moves, _ = _forward_backward(unary, lens, model)
-            gap = (onehot - marginal)[:, :, 1]
-            grad = np.concatenate([np.einsum("nt,ntf->f", gap, x), (seen_moves - moves).ravel(), (onehot - marginal)[:, 0].sum(0)]) / len(chains) - 1e-3 * params
+            marginal, moves = _forward_backward(x @ model.weights, live, model)
+            expected = np.concatenate([marginal.ravel() @ x.reshape(-1, f), moves.ravel(), [(1 - marginal[0]).sum(), marginal[0].sum()]])
+            grad = (seen - expected) / len(chains) - 1e-3 * params
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             params = params + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            f = len(FEATURES)
             model = LineField(params[:f], params[f : f + 4].reshape(2, 2), params[f + 4 :])
         flat = np.concatenate(chains)
         ptr = np.concatenate([[0], np.cumsum(lens)])
@@ -230,12 +231,12 @@ def fit_field(chains: list[np.ndarray], low_quality: np.ndarray, rounds: int = 2
         for i in np.flatnonzero(low):
             own = best[ptr[i] : ptr[i + 1]]
             if own.any():
-                y[i, : lens[i]] = own
+                y[: lens[i], i] = own
     return model
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> LineField:
-    """The field fitted on at most ``most`` labelled documents; only their line features reach the driver."""
+def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> LineField:
+    """The field fitted on at most ``most`` labelled documents of ``most_bytes``; only their line features reach the driver."""
     sample = bounded_sample(labels, "quality", most)
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -244,7 +245,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> L
             x = x.astype(np.float32)
             yield {"doc_id": batch["doc_id"][lo : lo + len(texts)], "value": batch["value"][lo : lo + len(texts)], "x": [x[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:])]}
 
-    rows = map_batches(id_and_text(docs).join(F.broadcast(sample), "doc_id"), features, "doc_id long, value int, x binary").orderBy("doc_id").collect()
+    rows = map_batches(fitting_rows(docs, sample, most_bytes), features, "doc_id long, value int, x binary").orderBy("doc_id").collect()
     chains = [(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(float), r.value == 0) for r in rows]
     chains = [c for c in chains if len(c[0])]
     return fit_field([c for c, _ in chains], np.array([q for _, q in chains], bool))

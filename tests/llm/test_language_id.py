@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointloom.llm import language_id as N
+from tests.llm.conftest import EDGES
 
 
 def test_gradients_are_the_slopes():
@@ -33,6 +34,46 @@ def test_positions_agree_with_training_states():
     assert np.allclose(net.position_sums(x, np.full(5, 9)), p.sum(0), atol=1e-4)
 
 
+def plain(net, text):
+    """Mean probabilities over all bytes of a text, one byte after another."""
+    data, total = (text or "").encode(), np.zeros(len(net.languages))
+    h, sigmoid = net.states.shape[1], lambda v: 1 / (1 + np.exp(-v))
+    for lo in range(0, len(data), N.SEGMENT):
+        part, states = data[lo : lo + N.SEGMENT], [[], []]
+        for d in (0, 1):
+            state = np.zeros(h)
+            for byte in part if d == 0 else part[::-1]:
+                gates, inner = net.table[d][byte], state @ net.states[d]
+                z, r = sigmoid(gates[:h] + inner[:h]), sigmoid(gates[h : 2 * h] + inner[h : 2 * h])
+                new = np.tanh(gates[2 * h :] + r * inner[2 * h :])
+                state = z * state + (1 - z) * new
+                states[d].append(state)
+        for forward, backward in zip(states[0], states[1][::-1]):
+            p = np.exp(forward @ net.out[0] + backward @ net.out[1] + net.bias)
+            total += p / p.sum()
+    return total / max(1, len(data))
+
+
+def test_predictions_equal_the_plain_network(spark, documents, rows, edges):
+    net = N.Network.random(("a", "b", "c"), np.random.default_rng(3))
+    some = sorted(rows, key=lambda r: len(r[1] or ""))[:40] + sorted(rows, key=lambda r: len(r[1] or ""))[-1:] + EDGES
+    frame = spark.createDataFrame(some, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 4)) for r in N.identify(frame, net).collect()), key=str)
+    want = []
+    for i, t in some:
+        p, letters = plain(net, t), any(c.isalpha() for c in t or "")
+        want.append((i, net.languages[int(p.argmax())] if letters else "und", round(float(p.max()), 4) if letters else 0.0))
+    want.sort(key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-4)
+
+
+def test_short_texts_teach():
+    net = N.fit([("aaa bb", "x"), ("zz yyy", "y")] * 20, steps=60)
+    for text, language in (("bb aaa aa", "x"), ("yy zz zy", "y")):
+        (_, part), = N.slices(N.pa.array([text]))
+        assert net.languages[int(net.probabilities(part)[0].argmax())] == language
+
+
 def test_held_out_accuracy_and_edges(spark, documents, edges):
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = N.fit_from(documents.where(fold != 0))

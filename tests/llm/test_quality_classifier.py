@@ -2,6 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointloom.llm import quality_classifier as C
+from pointloom.llm.frames import fitting_rows
+from tests.llm.conftest import EDGES
 
 
 def test_held_out_accuracy(spark, documents, small):
@@ -12,6 +14,52 @@ def test_held_out_accuracy(spark, documents, small):
     assert ((held.score >= C.DECISION) == (held.quality == 1)).mean() > 0.85
 
 
+def plain(model, text):
+    """Score of one text, token by token."""
+    words = (text or "").split()
+    out = np.zeros(C.DIMENSIONS + len(C.SHAPES))
+    if words:
+        tokens = [t for w in words for t in C.Tokens().of(w)]
+        for t in tokens:
+            if t in model.vocabulary:
+                out[: C.DIMENSIONS] += model.vectors[model.vocabulary[t]] / len(tokens)
+        for k, shape in enumerate(C.SHAPES):
+            n = sum(a == b for a, b in zip(words, words[1:])) if shape == "<same>" else tokens.count(shape)
+            out[C.DIMENSIONS + k] = n / len(words)
+    w1, b1, w2, b2 = model.layers
+    hidden = [np.tanh(sum(x * w for x, w in zip(out, column)) + b) for column, b in zip(w1.T, b1)]
+    return 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, w2[:, 0])) + b2[0]) / model.temperature))
+
+
+def test_scores_equal_the_plain_network(spark, documents, rows, edges, small):
+    model = C.fit_from(documents, spark.read.parquet(f"{small}/labels.parquet"))
+    for frame, texts in ((documents, rows), (edges, EDGES)):
+        got = sorted(((str(r.doc_id), r.score) for r in C.score_quality(frame, model).collect()))
+        want = sorted((str(i), float(plain(model, t))) for i, t in texts)
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
+
+
+def test_vectors_sum_the_index_vectors_of_neighbours():
+    vocabulary, vectors = C.word_vectors(["red blue red green", "blue red"])
+    streams = [["red", "<lower>", "blue", "<lower>", "red", "<lower>", "green", "<lower>"], ["blue", "<lower>", "red", "<lower>"]]
+    assert set(vocabulary) == {"red", "blue", "<lower>"}
+    for token, at in vocabulary.items():
+        total = C.index_vector(token).astype(float)
+        for stream in streams:
+            known = [t for t in stream if t in vocabulary]
+            for i, t in enumerate(known):
+                if t == token:
+                    total += sum(C.index_vector(known[j]) for j in range(max(0, i - C.WINDOW), min(len(known), i + C.WINDOW + 1)) if j != i)
+        assert np.allclose(vectors[at], total / np.linalg.norm(total), atol=1e-5)
+
+
+def test_fitting_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, "x" * 100 * (1 + i // 5), "w") for i in range(15)] + [(7, None, "w")], "doc_id long, text string, value string")
+    sample = spark.createDataFrame([(i, i) for i in range(8)], "doc_id long, value int")
+    assert sorted((r.doc_id, len(r.text)) for r in fitting_rows(docs, sample, 10_000).collect()) == [(i, 100) for i in range(5)]
+    assert fitting_rows(docs, sample, 320).count() == 3
+
+
 def test_edges(edges):
     model = C.fit(["good words here", "bad %%% bad %%%"] * 20, np.array([1.0, 0.0] * 20))
     rows = C.score_quality(edges, model).collect()

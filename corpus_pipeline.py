@@ -51,11 +51,23 @@ STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("substring de
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder where Spark's own file systems see it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each gives is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each gives is written in the shared folder, read again, and deleted once the next has been written.
+
+    What the last but one gives stays, as the result reads it.
+    """
+    docs, root, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '_')}"
+        path = f"{root}/{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -112,6 +112,18 @@ SELECT i AS point_id, dim::BIGINT AS dim, round(bit_xor(CASE WHEN (xor(i, i >> 1
 FROM range(1, 129) t(i), v GROUP BY i, dim
 """)(lambda spark, _: by_coordinate(sequences.sobol(spark, 5, 128)))
 
+query("seq_sobol_40d", f"""
+WITH v(dim, k, n) AS (VALUES {_directions_sql(40)})
+SELECT i AS point_id, dim::BIGINT AS dim, round(bit_xor(CASE WHEN (xor(i, i >> 1) >> k) & 1 = 1 THEN n ELSE 0 END) / pow(2, 30), 6) AS v
+FROM range(1, 65) t(i), v GROUP BY i, dim
+""")(lambda spark, _: by_coordinate(sequences.sobol(spark, 40, 64)))
+
+query("seq_sobol_normal_back", f"""
+WITH v(dim, k, n) AS (VALUES {_directions_sql(2)})
+SELECT i AS point_id, dim::BIGINT AS dim, round(bit_xor(CASE WHEN (xor(i, i >> 1) >> k) & 1 = 1 THEN n ELSE 0 END) / pow(2, 30), 6) AS v
+FROM range(1, 65) t(i), v GROUP BY i, dim
+""")(lambda spark, _: by_coordinate(sequences.normal_shares(sequences.sobol_normal(spark, 2, 64))))
+
 query("seq_sobol_normal")(lambda spark, _: by_coordinate(sequences.sobol_normal(spark, 2, 64)))
 
 query("seq_lcg", """
@@ -194,6 +206,17 @@ query("cr_exact_1d", "WITH p AS (SELECT (c_acctbal + 1000) / 11000.0::DOUBLE AS
     lambda spark, d: rounded(indicators.covering_radius(transforms.scaled(points_from(_table(spark, d, "customer"), "c_custkey", "c_acctbal"), ([-1000.0], [10000.0]), ([0.0], [1.0])), 1))
 )
 query("cr_exact_2d", "SELECT round(sqrt(2.0::DOUBLE) / 6, 6) AS value")(lambda spark, _: rounded(indicators.covering_radius(designs.sukharev_grid(spark, 9, 2), 2)))
+query("cr_boxes_2d", "SELECT round(sqrt(2.0::DOUBLE) / 20, 6) AS value, true AS reached")(lambda spark, _: _farthest(spark, designs.sukharev_grid(spark, 100, 2)))
+
+
+def _farthest(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """The covering radius by boxes, and whether its place is that far from the points."""
+    found = indicators.covering_radius_by_boxes(points, 2)
+    probe = found.select(F.lit(0).cast("long").alias("point_id"), F.col("place").alias("coords"))
+    gap = indicators.covering_radius_lower_bound(points, probe).withColumnRenamed("value", "gap")
+    return found.crossJoin(F.broadcast(gap)).select(F.round("value", 6).alias("value"), (F.abs(F.col("gap") - F.col("value")) < 1e-9).alias("reached"))  # one row each
+
+
 query("l2_discrepancy", "WITH p AS (SELECT p_partkey AS id, (p_size - 1) / 49.0::DOUBLE AS x, (p_retailprice - 900) / 100.0::DOUBLE AS y FROM part), s AS (SELECT sum((1 - greatest(a.x, b.x)) * least(a.x, b.x) * (1 - greatest(a.y, b.y)) * least(a.y, b.y)) AS pairs FROM p a, p b), t AS (SELECT sum(x * (1 - x) * y * (1 - y)) AS singles, count(*)::DOUBLE AS n FROM p) SELECT round(sqrt(pairs / (n * n) - singles * 0.5::DOUBLE / n + 1 / 144.0::DOUBLE), 6) AS value FROM s, t")(
     lambda spark, d: rounded(indicators.unanchored_l2_discrepancy(part_points(spark, d, distinct=False), 2))
 )
@@ -202,7 +225,19 @@ query("mean_dist_boundary", f"WITH {P2} SELECT round(avg(least(x, 1 - x, y, 1 -
 query("expected_dist_boundary", "SELECT 0.1::DOUBLE AS value")(lambda spark, _: indicators.expected_dist_to_boundary(spark, 4))
 query("solow_polasky", "SELECT round(2 / (1 + exp(-sqrt(0.5::DOUBLE))), 6) AS value")(lambda spark, _: rounded(indicators.solow_polasky_diversity(_two(spark))))
 query("weitzman", "SELECT round(1 + sqrt(0.5::DOUBLE), 6) AS value")(lambda spark, _: rounded(indicators.weitzman_diversity(_two(spark))))
-query("wmh")(lambda spark, _: rounded(indicators.wmh_index(spark, 0.05, 2.0, 20, 2)))
+_WMH = """
+WITH c AS (SELECT 0.05::DOUBLE AS t, 2.0::DOUBLE AS p, 2 AS d, 190.0::DOUBLE AS pairs),
+terms AS (SELECT l, (CASE WHEN (l - d) % 2 = 0 THEN 1 ELSE -1 END) * (gamma(d + 1) / (gamma(l - d + 1) * gamma(2 * d - l + 1))) * pow(2 / p, d) * pow(gamma(1 / p), 2 * d - l) * pow(gamma(2 / p), l - d) / gamma(l / p + 1) AS a FROM c, range(2, 5) r(l)),
+scores AS (SELECT pairs, (pow(t, p) - d * 2 / ((p + 1) * (p + 2))) / sqrt(d * (2 / ((2 * p + 1) * (2 * p + 2)) - pow(2 / ((p + 1) * (p + 2)), 2))) AS score, sqrt(2 * ln(pairs)) AS alpha FROM c),
+erfs AS (SELECT 2 / sqrt(pi()) * sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow(score / sqrt(2.0::DOUBLE), 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) AS erf FROM scores, range(0, 60) r(k) GROUP BY score),
+v AS (
+    SELECT 'polynomials' AS approximation, pairs * log10(1 - (SELECT sum(a * pow(t, l)) FROM terms)) AS value FROM c
+    UNION ALL SELECT 'gauss', pairs * log10(1 - (1 + erf) / 2) FROM scores, erfs
+    UNION ALL SELECT 'gumbel', -exp(alpha * (score - ((ln(ln(pairs)) + ln(4 * pi())) / (2 * alpha) - alpha))) / ln(10.0::DOUBLE) FROM scores
+    UNION ALL SELECT 'weibull', -(SELECT a FROM terms WHERE l = d) * pairs * pow(t, d) / ln(10.0::DOUBLE) FROM c)
+SELECT approximation, round(value, 6) AS value FROM v UNION ALL SELECT 'max', round(max(value), 6) FROM v
+"""
+query("wmh", _WMH)(lambda spark, _: rounded(indicators.wmh_index(spark, 0.05, 2.0, 20, 2)))
 
 
 def _two(spark: SparkSession) -> DataFrame:
@@ -342,10 +377,16 @@ def _improved(spark: SparkSession, kind: str) -> DataFrame:
     before, after = indicators.separation_dist(start, metric), indicators.separation_dist(better.drop("restart"), metric)
     counted = better.agg(F.count("*").alias("n"), F.bool_and(F.forall("coords", lambda x: (x >= 0) & (x <= 1))).alias("in_cube"))
     gained = after.withColumnRenamed("value", "after").crossJoin(F.broadcast(before)).select((F.col("after") >= F.col("value")).alias("not_lower"))
-    return counted.crossJoin(F.broadcast(gained)) if kind != "means" else counted
+    if kind != "means":
+        return counted.crossJoin(F.broadcast(gained))
+    # means move towards what is nearest to them, so that a grid of probes lies nearer to them than to the start
+    probes = designs.sukharev_grid(spark, 400, 2)
+    spread = lambda centres: indicators.nearest(probes, centres).agg(F.avg(F.col("dist") * F.col("dist")).alias("spread"))
+    nearer = spread(start).crossJoin(F.broadcast(spread(better.drop("restart")).withColumnRenamed("spread", "after"))).select((F.col("after") < F.col("spread")).alias("nearer"))
+    return counted.crossJoin(F.broadcast(nearer))  # one row each
 
 
-query("random_k_means_audit", "SELECT 20::BIGINT AS n, true AS in_cube")(lambda spark, _: _improved(spark, "means"))
+query("random_k_means_audit", "SELECT 20::BIGINT AS n, true AS in_cube, true AS nearer")(lambda spark, _: _improved(spark, "means"))
 query("maximin_reconstruction_audit", "SELECT 20::BIGINT AS n, true AS in_cube, true AS not_lower")(lambda spark, _: _improved(spark, "maximin"))
 
 # entropy

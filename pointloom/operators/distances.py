@@ -11,13 +11,13 @@ from pointloom.schema import unitcube, vector
 
 
 def distance_matrix(points: DataFrame, others: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """(a, b, dist) for every point and every other: as many rows as the definition asks for, made block by block."""
+    """(a, b, dist) for every point and every other: as many rows as the definition asks for, made cell by cell."""
 
     def kernel(ids, x, other, y, _):
         d = metric.matrix(x, y)
         return {"a": ids.repeat(len(other)), "b": other[None].repeat(len(ids), 0).ravel(), "dist": d.ravel()}
 
-    return pair_partials(points, others, kernel, "a long, b long, dist double", size=500)
+    return pair_partials(points, others, kernel, "a long, b long, dist double", lane=1000)
 
 
 def dists_to_boundary(points: DataFrame, dimension: int, cuboid: tuple[list[float], list[float]] | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.numbers import binomial
 from pointloom.operators.pairs import pair_partials
+from pointloom.plans.ranks import stored
 from pointloom.schema import unitcube, vector
 
 
@@ -85,9 +86,19 @@ def sum_of_nn_dists(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | Non
     return _measured(nearest(points, None, metric, by), by, F.coalesce(F.sum(F.when(F.col("dist") < float("inf"), F.col("dist"))), F.lit(0.0)).alias("value"))
 
 
+def _nearest_of_both(points: DataFrame, others: DataFrame, metric: Metric) -> DataFrame:
+    """(side, point_id, dist): distance of each point of either set to the nearest of the other, from one matrix."""
+
+    def kernel(ids, x, other, y, _):
+        d = metric.matrix(x, y)
+        return {"side": np.repeat([0, 1], [len(ids), len(other)]), "point_id": np.concatenate([ids, other]), "dist": np.concatenate([d.min(1), d.min(0)])}
+
+    return pair_partials(points, others, kernel, "side int, point_id long, dist double").groupBy("side", "point_id").agg(F.min("dist").alias("dist"))
+
+
 def hausdorff_dist(points: DataFrame, others: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
     """Largest distance of a point of either set to the nearest of the other."""
-    return nearest(points, others, metric).unionAll(nearest(others, points, metric)).agg(F.max("dist").alias("value"))
+    return _nearest_of_both(points, others, metric).agg(F.max("dist").alias("value"))
 
 
 def averaged_hausdorff_dist(points: DataFrame, others: DataFrame, exponent: float = 1, metric: Metric = EUCLIDEAN) -> DataFrame:
@@ -96,8 +107,8 @@ def averaged_hausdorff_dist(points: DataFrame, others: DataFrame, exponent: floa
         return hausdorff_dist(points, others, metric)
     if exponent <= 0:
         raise ValueError("the exponent must be positive")
-    side = lambda a, b: nearest(a, b, metric).agg((F.sum(F.pow("dist", F.lit(float(exponent)))) / F.pow(F.count("*"), F.lit(1 / exponent))).alias("value"))
-    return side(points, others).unionAll(side(others, points)).agg(F.max("value").alias("value"))
+    side = (F.sum(F.pow("dist", F.lit(float(exponent)))) / F.pow(F.count("*"), F.lit(1 / exponent))).alias("value")
+    return _nearest_of_both(points, others, metric).groupBy("side").agg(side).agg(F.max("value").alias("value"))
 
 
 def covering_radius_lower_bound(points: DataFrame, probes: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
@@ -154,14 +165,45 @@ def _whole(points: DataFrame, name: str, measure: Callable[[np.ndarray], float])
     return few.groupBy("whole").applyInPandas(run, "value double")
 
 
-def covering_radius(points: DataFrame, dimension: int, margin: float = 1e-8) -> DataFrame:
-    """Exact covering radius in the unit cube: any size for one dimension, few points otherwise.
+def covering_radius_by_boxes(points: DataFrame, dimension: int, tolerance: float = 1e-7) -> DataFrame:
+    """(value, place): covering radius in the unit cube of any number of points, to a tolerance, and where it is reached.
 
-    The farthest place is a corner of the cells of points and their mirror images: each set of
+    The distance to the nearest point changes no faster than the place, so a box is done with when its middle's
+    distance and half its diagonal stay below the largest distance of a middle; other boxes are divided.
+    Boxes stay rows, and the driver holds the best place and the size of a box.
+    """
+    parts = {1: 16, 2: 8, 3: 4}.get(dimension, 2)
+    spark, half, best = points.sparkSession, 0.5, (0.0, [0.5] * dimension)
+    boxes = spark.createDataFrame([(0, [0.5] * dimension)], "point_id long, coords array<double>")
+    if points.isEmpty():
+        return spark.createDataFrame([(math.inf, None)], "value double, place array<double>")
+    while True:
+        half /= parts
+        steps = F.array(*[F.lit((2 * k + 1 - parts) * half) for k in range(parts)])
+        for j in range(dimension):
+            moved = F.array(*[F.get("coords", k) + F.col("_step") if k == j else F.get("coords", k) for k in range(dimension)])
+            boxes = boxes.withColumn("_step", F.explode(steps)).select(moved.alias("coords"))
+        boxes = stored(boxes.select(F.monotonically_increasing_id().alias("point_id"), "coords"))
+        measured = stored(boxes.join(nearest(boxes, points), "point_id"))
+        row = measured.agg(F.max(F.struct("dist", "coords")).alias("best")).first()["best"]
+        best = max(best, (row["dist"], list(row["coords"])))
+        reach = half * math.sqrt(dimension)
+        boxes = measured.where(F.col("dist") + reach > best[0] + tolerance).select("point_id", "coords")
+        if reach <= tolerance or boxes.isEmpty():
+            return spark.createDataFrame([best], "value double, place array<double>")
+
+
+def covering_radius(points: DataFrame, dimension: int, margin: float = 1e-8, tolerance: float = 1e-7) -> DataFrame:
+    """Covering radius in the unit cube: exact in one dimension and for few points, otherwise by boxes, to a tolerance.
+
+    For few points the farthest place is a corner of the cells of points and their mirror images: each set of
     dimension + 1 of them gives a centre of equal distance, which counts where it lies in the cube.
     """
     if dimension == 1:
         return covering_radius_1d(points)
+    most = EXACT_POINTS["covering_radius"]
+    if points.limit(most + 1).count() > most:
+        return covering_radius_by_boxes(points, dimension, tolerance).select("value")
 
     def measure(x: np.ndarray) -> float:
         images = [x] + [np.where(np.arange(dimension) == j, side - x, x) for j in range(dimension) for side in (0.0, 2.0)]

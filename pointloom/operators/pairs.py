@@ -1,70 +1,85 @@
-"""All-pairs work in blocks: partial results of pairs of blocks, never pairs as rows.
+"""All-pairs work in cells: partial results of pairs of lanes, never pairs as rows.
 
-Points are dealt into blocks of a bounded number of rows; each pair of blocks
-is one row of an equi-join on block numbers and one numpy kernel, whose small
-partial result Spark aggregates.  Work grows with the square of the points, as
-the measures do by definition; memory and the rows shuffled do not.
+Points are dealt into lanes; a cell is a pair of lanes, one group of Spark and some
+numpy kernels, whose small partial results Spark aggregates.  Work grows with the
+square of the points, as the measures do by definition.  A point travels once for
+each lane that its own meets: there are about as many lanes as the root of twice the
+number of shuffle partitions, so that cells fill the cluster, and more only where
+lanes of ``LANE`` points, the bound on what a task holds, are not enough.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointloom.plans.ranks import stored
-
-#: Points of one block.
-BLOCK = 2000
+#: Points of one lane, of one kernel, and of a lane that is too small to be parted.
+LANE, BLOCK, SMALL = 16_384, 1024, 256
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], dict]
 
 
-def blocks_of(points: DataFrame, size: int = BLOCK, by: str | None = None) -> DataFrame:
-    """Rows (group, block, blocks, ids, flat) of about ``size`` points of one group; without ``by`` all points are one."""
-    known = points.select(F.col(by).alias("group") if by else F.lit(0).alias("group"), "point_id", "coords")
-    counts = known.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("blocks"))
-    dealt = known.join(counts, "group").select("group", "blocks", "point_id", "coords", F.pmod(F.xxhash64("point_id"), F.col("blocks")).alias("block"))
-    packed = dealt.groupBy("group", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("point_id", "coords"))).alias("rows"))
-    return packed.select("group", "block", "blocks", F.col("rows.point_id").alias("ids"), F.flatten("rows.coords").alias("flat"))
+def _counted(points: DataFrame, name: str, lane: int) -> DataFrame:
+    """The number of lanes of each group."""
+    enough = math.ceil(math.sqrt(2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = F.count("*")
+    return points.groupBy("group").agg(F.greatest(F.ceil(n / lane), F.least(F.ceil(n / SMALL), F.lit(enough)), F.lit(1)).cast("int").alias(name))
+
 
+def _with_lanes(points: DataFrame, lanes: DataFrame, by: str | None) -> DataFrame:
+    # without groups the lanes are one row
+    return points.join(lanes, "group") if by else points.crossJoin(F.broadcast(lanes.drop("group")))
 
-def pair_partials(points: DataFrame, others: DataFrame | None, kernel: Kernel, schema: str, size: int = BLOCK, by: str | None = None) -> DataFrame:
-    """Rows that ``kernel(ids, coords, other ids, other coords, same block)`` gives for each pair of blocks.
+
+def pair_partials(points: DataFrame, others: DataFrame | None, kernel: Kernel, schema: str, lane: int = LANE, by: str | None = None) -> DataFrame:
+    """Rows that ``kernel(ids, coords, other ids, other coords, same points)`` gives for all pairs of blocks of points.
 
     Without ``others`` the pairs are those of points with themselves, each pair of blocks once. With ``by`` only
-    blocks of one group (a column of both sets, never null) are paired, and the group is the first column.
+    points of one group (a column of both sets, never null) are paired, and the group is the first column.
     """
-    left = blocks_of(points, size, by)
-    if others is None:
-        left = right = stored(left)
-        paired = left.withColumn("b", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    known = lambda df: df.select((F.col(by) if by else F.lit(0)).alias("group"), "point_id", "coords")
+    own = lambda lanes: F.pmod(F.xxhash64("point_id"), F.col(lanes)).cast("int")
+    upto = lambda lanes: F.explode(F.sequence(F.lit(0), F.col(lanes) - 1))
+    itself = others is None
+    if itself:
+        placed = _with_lanes(known(points), _counted(known(points), "lanes", lane), by).withColumn("own", own("lanes")).withColumn("partner", upto("lanes"))
+        cells = placed.select("group", F.least("own", "partner").alias("one"), F.greatest("own", "partner").alias("two"), F.when(F.col("own") > F.col("partner"), 1).otherwise(0).alias("side"), "point_id", "coords")
     else:
-        right = blocks_of(others, size, by)
-        widths = right.groupBy("group").agg(F.max("blocks").alias("others"))
-        paired = left.join(widths, "group").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
-    a = paired.select("group", F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), "b")
-    b = right.select("group", F.col("block").alias("b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
-    joined = a.join(b, ["group", "b"])
+        # a group that one side lacks has no pairs
+        lanes = _counted(known(points), "lanes", lane).join(_counted(known(others), "other_lanes", lane), "group")
+        left = _with_lanes(known(points), lanes, by).select("group", own("lanes").alias("one"), upto("other_lanes").alias("two"), F.lit(0).alias("side"), "point_id", "coords")
+        right = _with_lanes(known(others), lanes, by).select("group", upto("lanes").alias("one"), own("other_lanes").alias("two"), F.lit(1).alias("side"), "point_id", "coords")
+        cells = left.unionAll(right)
     fields = T._parse_datatype_string(schema)
     if by:
-        fields = T.StructType([T.StructField(by, joined.schema["group"].dataType), *fields])
-    itself = others is None
+        fields = T.StructType([T.StructField(by, cells.schema["group"].dataType), *fields])
+
+    def blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, coords = table["point_id"].to_numpy(), table["coords"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        order = np.argsort(ids, kind="stable")
+        for lo in range(0, len(order), BLOCK):
+            yield ids[order[lo : lo + BLOCK]], np.asarray(coords[order[lo : lo + BLOCK]], float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         arrow = to_arrow_schema(fields)
-        for batch in batches:
-            for k in range(len(batch)):
-                ids, other = (np.asarray(batch[c][k].values) for c in ("a_ids", "b_ids"))
-                x, y = (np.asarray(batch[c][k].values, float).reshape(len(i), -1) for c, i in (("a_flat", ids), ("b_flat", other)))
-                out = {n: np.atleast_1d(v) for n, v in kernel(ids, x, other, y, itself and batch["a"][k] == batch["b"][k]).items()}
-                if by:
-                    out[by] = [batch["group"][k].as_py()] * len(next(iter(out.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return joined.mapInArrow(run, fields)
+        side = cell["side"].to_numpy()
+        left = list(blocks(cell.filter(pa.array(side == 0)))) if (side == 0).any() else []
+        right = list(blocks(cell.filter(pa.array(side == 1)))) if (side == 1).any() else []
+        inside = itself and key[1] == key[2]
+        pairs = ((i, j) for i in range(len(left)) for j in range(i if inside else 0, len(left if inside else right)))
+        made = []
+        for i, j in pairs:
+            out = {n: np.atleast_1d(v) for n, v in kernel(*left[i], *(left if inside else right)[j], inside and i == j).items()}
+            if by:
+                out[by] = [key[0].as_py()] * len(next(iter(out.values())))
+            made.append(pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow))
+        return pa.concat_tables(made) if made else arrow.empty_table()
+
+    return cells.groupBy("group", "one", "two").applyInArrow(run, fields)

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.rng import uniform
+from pointloom.operators.pairs import pair_partials
 from pointloom.plans.ranks import stored
 from pointloom.schema import vector
 
@@ -24,8 +26,11 @@ ROUNDS = 8
 Observer = Callable[[int, int, float], None]
 
 
-def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, start: Callable[[Column], Column], step: Callable[[Column, Column], Column], gap: Callable[[Column, Column], Column], largest: bool, mask: bool, observer: Observer | None) -> DataFrame:
-    """(pos, point_id, coords): picks by the largest or smallest running criterion over all points."""
+def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, metric: Metric, start: Callable[[np.ndarray], np.ndarray], total: Callable, step: Callable[[Column, Column], Column], gap: Callable[[Column, Column], Column], largest: bool, mask: bool, observer: Observer | None) -> DataFrame:
+    """(pos, point_id, coords): picks by the largest or smallest running criterion over all points.
+
+    ``start`` gives the criterion from distances to a block of existing points, ``total`` puts blocks together.
+    """
     if k < 1:
         raise ValueError("at least one point is to be selected")
     if points.limit(k).count() < k:
@@ -35,9 +40,12 @@ def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, st
     if existing is None or not existing.limit(1).count():
         # a random point, which is not itself selected, stands in
         existing = base.orderBy(uniform(seed, F.col("point_id")), "point_id").limit(1)
-    fixed = existing.select(F.col("coords").alias("_fixed"))
-    first = base.crossJoin(F.broadcast(fixed)) if fixed.count() <= 10_000 else base.crossJoin(fixed)
-    state = stored(first.groupBy("point_id").agg(F.first("coords").alias("coords"), start(gap(F.col("coords"), F.col("_fixed"))).alias("crit")))
+
+    def begin(ids: np.ndarray, x: np.ndarray, _: np.ndarray, y: np.ndarray, __: bool) -> dict:
+        return {"point_id": ids, "crit": start(metric.matrix(x, y))}
+
+    started = pair_partials(base, existing.select("point_id", "coords"), begin, "point_id long, crit double").groupBy("point_id").agg(total("crit").alias("crit"))
+    state = stored(base.join(started, "point_id"))
     out_of_play = F.lit(float("-inf") if largest else float("inf"))
     best = (F.max if largest else F.min)(F.struct(F.col("crit"), (-F.col("point_id") if largest else F.col("point_id")).alias("key"), F.col("coords"))).alias("best")
     picks: list[tuple[int, int, list[float]]] = []
@@ -62,12 +70,12 @@ def select_greedy_maximin(points: DataFrame, k: int, existing: DataFrame | None
 
     Picks are not taken out: where all points coincide with picks, the first point comes again.
     """
-    return _greedy(points, k, existing, seed, F.min, lambda c, d: F.least(c, d), metric.column, True, False, observer)
+    return _greedy(points, k, existing, seed, metric, lambda d: d.min(1), F.min, lambda c, d: F.least(c, d), metric.column, True, False, observer)
 
 
 def select_greedy_maxisum(points: DataFrame, k: int, existing: DataFrame | None = None, metric: Metric = EUCLIDEAN, seed: int = 0, observer: Observer | None = None) -> DataFrame:
     """Each pick has the largest sum of distances to the existing points and earlier picks."""
-    return _greedy(points, k, existing, seed, F.sum, lambda c, d: c + d, metric.column, True, True, observer)
+    return _greedy(points, k, existing, seed, metric, lambda d: d.sum(1), F.sum, lambda c, d: c + d, metric.column, True, True, observer)
 
 
 def select_greedy_energy(points: DataFrame, k: int, dimension: int, existing: DataFrame | None = None, exponent: float | None = None, metric: Metric = EUCLIDEAN, seed: int = 0, observer: Observer | None = None) -> DataFrame:
@@ -78,7 +86,11 @@ def select_greedy_energy(points: DataFrame, k: int, dimension: int, existing: Da
         d = metric.column(a, b)
         return F.when(d == 0, F.lit(float("inf"))).otherwise(-F.log(d) if e == 0 else 1 / F.pow(d, F.lit(e)))
 
-    return _greedy(points, k, existing, seed, F.sum, lambda c, d: c + d, energy, False, True, observer)
+    def energies(d: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return (-np.log(d) if e == 0 else 1 / d**e).sum(1)
+
+    return _greedy(points, k, existing, seed, metric, energies, F.sum, lambda c, d: c + d, energy, False, True, observer)
 
 
 def bounding_boxes(clusters: DataFrame, dimension: int) -> DataFrame:

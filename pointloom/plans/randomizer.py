@@ -10,18 +10,18 @@ from __future__ import annotations
 import secrets
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.rng import letters, permuted
 from pointloom.plans import designs, sequences
+from pointloom.plans.ranks import ranked, stored
 from pointloom.sources.entropy import randint
 
 
-def in_order_of(points: DataFrame, key: Column, n: int) -> DataFrame:
-    """(pos, value): ids of the n smallest keys, in order; ties by id.  Only n rows reach the final order."""
-    few = points.select(key.alias("key"), F.col("point_id").alias("value")).orderBy("key", "value").limit(n)
-    return few.select((F.row_number().over(Window.orderBy("key", "value")) - 1).cast("long").alias("pos"), "value")
+def in_order_of(rows: DataFrame, n: int, *keys: Column) -> DataFrame:
+    """(pos, value): values of the first n rows in the order of the keys; no task orders more than a range of rows."""
+    return ranked(rows, *keys).where(F.col("pos") < n).select("pos", "value")
 
 
 @dataclass(frozen=True)
@@ -66,12 +66,12 @@ class Randomizer:
     def sobol(self) -> DataFrame:
         """Places of the first values in the order of a one-dimensional Sobol sequence."""
         points = sequences.sobol(self.spark, 1, self.max_value)
-        return in_order_of(points.withColumn("point_id", F.col("point_id") - 1), F.get("coords", 0), self.n)
+        return in_order_of(points.select((F.col("point_id") - 1).alias("value"), F.get("coords", 0).alias("key")), self.n, F.col("key"), F.col("value"))
 
     def halton(self) -> DataFrame:
         """The same for the base-2 Halton sequence from index 5 on."""
         points = sequences.halton(self.spark, self.max_value, 1, skip=5)
-        return in_order_of(points.withColumn("point_id", F.col("point_id") - 5), F.get("coords", 0), self.n)
+        return in_order_of(points.select((F.col("point_id") - 5).alias("value"), F.get("coords", 0).alias("key")), self.n, F.col("key"), F.col("value"))
 
     def korobov_matrix(self, g: int | None = None) -> DataFrame:
         """Second column of a Korobov lattice, with repeats where g and max_value have a common factor."""
@@ -87,14 +87,13 @@ class Randomizer:
         """
         if self.n > self.max_value + 1:
             raise ValueError("there are not so many distinct values")
-        known = integers.select(F.col("value").cast("long").alias("point_id")).where(F.col("point_id").between(0, self.max_value)).distinct()
-        return in_order_of(known, F.xxhash64(F.lit(self.seed), F.col("point_id")), self.max_value if whole else self.n)
+        known = stored(integers.select(F.col("value").cast("long").alias("value")).where(F.col("value").between(0, self.max_value)).distinct())
+        return in_order_of(known, self.max_value if whole else self.n, F.xxhash64(F.lit(self.seed), F.col("value")), F.col("value"))
 
     def quantum(self, words: DataFrame) -> DataFrame:
-        """n values with repeats from entropy words (pos, word)."""
-        return in_order_of(randint(words, 0, self.max_value).select(F.col("pos").alias("point_id"), F.floor("value").alias("v")), F.col("point_id"), self.n).join(
-            randint(words, 0, self.max_value).select(F.col("pos").alias("value"), F.floor("value").cast("long").alias("drawn")), "value"
-        ).select("pos", F.col("drawn").alias("value"))
+        """n values with repeats from entropy words (pos, word), which are read once."""
+        drawn = stored(randint(words, 0, self.max_value).select(F.col("pos").alias("place"), F.floor("value").cast("long").alias("value")))
+        return in_order_of(drawn, self.n, F.col("place"))
 
 
 def random_alpha(spark: SparkSession, n: int = 1, seed: int = 0, as_list: bool = False) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.numbers import MODULUS, first_primes, lcg_next, lcg_scaled
@@ -49,27 +52,39 @@ def direction_numbers(dimension: int) -> list[int]:
     return [v << (BITS - 1 - k) for k, v in enumerate(numbers)]
 
 
-def sobol_coordinate(index: Column, dimension: int) -> Column:
-    """Coordinate of a Sobol point: direction numbers of the set bits of the Gray code of its index, combined."""
-    numbers = F.array(*[F.lit(v).cast("long") for v in direction_numbers(dimension)])
-    gray = index.bitwiseXOR(F.shiftright(index, 1))
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda s, k: F.when(F.call_function("getbit", gray, k) == 1, s.bitwiseXOR(F.get(numbers, k))).otherwise(s))
-    return bits / float(1 << BITS)
-
-
 def _indices(spark: SparkSession, n: int, skip: int) -> DataFrame:
     if n < 0 or skip < 0:
         raise ValueError("number and index of points must not be negative")
     return spark.range(skip, skip + n).withColumnRenamed("id", "point_id")
 
 
+def _points(spark: SparkSession, n: int, skip: int, dimension: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(point_id, coords) of n indices from ``skip`` on; ``kernel`` gives rows of coordinates of an array of indices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = kernel(batch["point_id"].to_numpy())
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * dimension)
+            yield pa.RecordBatch.from_arrays([batch["point_id"], pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["point_id", "coords"])
+
+    return _indices(spark, n, skip).mapInArrow(run, "point_id long, coords array<double>")
+
+
 def sobol(spark: SparkSession, dimension: int, n: int, skip: int = 1) -> DataFrame:
-    """n Sobol points from index ``skip`` on; each row needs its own index only."""
+    """n Sobol points from index ``skip`` on: direction numbers of the set bits of the Gray code of an index, combined."""
     if not 1 <= dimension <= len(POLYNOMIALS):
         raise ValueError(f"the dimension must be 1 to {len(POLYNOMIALS)}")
     if skip + n > (1 << BITS) - 1:
         raise ValueError("indices must stay below 2**30 - 1")
-    return _indices(spark, n, skip).select("point_id", F.array(*[sobol_coordinate(F.col("point_id"), d) for d in range(1, dimension + 1)]).alias("coords"))
+    numbers = np.array([direction_numbers(d) for d in range(1, dimension + 1)], np.int64)
+
+    def kernel(index: np.ndarray) -> np.ndarray:
+        gray, x = index ^ (index >> 1), np.zeros((len(index), dimension), np.int64)
+        for k in range((skip + n).bit_length()):
+            x ^= -((gray >> k) & 1)[:, None] & numbers[:, k]
+        return x / float(1 << BITS)
+
+    return _points(spark, n, skip, dimension, kernel)
 
 
 def sobol_normal(spark: SparkSession, dimension: int, n: int, skip: int = 1) -> DataFrame:
@@ -83,24 +98,32 @@ def sobol_normal(spark: SparkSession, dimension: int, n: int, skip: int = 1) ->
     return sobol(spark, dimension, n, skip).withColumn("coords", inverse("coords"))
 
 
-def radical_inverse(index: Column, base: int) -> Column:
-    """Digits of the index mirrored at the point, added from the first digit on."""
+def normal_shares(points: DataFrame) -> DataFrame:
+    """The way back from ``sobol_normal``: shares of the normal distribution below each coordinate."""
+
+    @F.pandas_udf("array<double>")
+    def share(coords: pd.Series) -> pd.Series:
+        normal = NormalDist()
+        return coords.map(lambda c: [normal.cdf(x) for x in c])
+
+    return points.withColumn("coords", share("coords"))
 
-    def add(s: Column, _: Column) -> Column:
-        f = s["f"] / float(base)
-        return F.struct(F.floor(s["i"] / base).cast("long").alias("i"), f.alias("f"), (s["r"] + f * (s["i"] % base)).alias("r"))
 
-    digits = 1
-    while base**digits < 1 << 40:
-        digits += 1
-    start = F.struct(index.cast("long").alias("i"), F.lit(1.0).alias("f"), F.lit(0.0).alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, add, lambda s: s["r"])
+def radical_inverse(index: np.ndarray, base: int) -> np.ndarray:
+    """Digits of the indices mirrored at the point, added from the first digit on."""
+    out, share = np.zeros(len(index)), 1.0
+    while index.any():
+        share /= base
+        index, digit = np.divmod(index, base)
+        out += share * digit
+    return out
 
 
 def halton(spark: SparkSession, n: int, dimension: int, skip: int = 0) -> DataFrame:
-    """n Halton points from index ``skip`` on, in the bases of the first primes; indices stay below 2**40."""
+    """n Halton points from index ``skip`` on, in the bases of the first primes."""
     positive(dimension=dimension)
-    return _indices(spark, n, skip).select("point_id", F.array(*[radical_inverse(F.col("point_id"), p) for p in first_primes(dimension)]).alias("coords"))
+    bases = first_primes(dimension)
+    return _points(spark, n, skip, dimension, lambda index: np.stack([radical_inverse(index, p) for p in bases], axis=1))
 
 
 def rank1_lattice(spark: SparkSession, n: int, generator: list[int]) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.rng import uniform
 from pointloom.plans.designs import _digits, whole_root
-from pointloom.plans.ranks import stored
+from pointloom.plans.ranks import ranked, stored
 from pointloom.schema import STRATA, positive, unitcube, vector
 
 
@@ -97,11 +98,13 @@ def stratified_sampling(strata: DataFrame, seed: int, bates_param: float = 1, la
     else:
         n = strata.agg(F.count("*").alias("n"))
         if latin == "approx":
-            by_middle = Window.partitionBy("dim").orderBy(F.col("lo") + F.col("hi"), uniform(seed, F.col("stratum_id"), F.col("dim"), F.lit("tie")), "stratum_id")
-            binned = sides.withColumn("bin", F.row_number().over(by_middle) - 1)
+            # every dimension has n rows, so the place in its own order is the place in the order of all modulo n
+            tie = uniform(seed, F.col("stratum_id"), F.col("dim"), F.lit("tie"))
+            binned = ranked(sides, F.col("dim"), F.col("lo") + F.col("hi"), tie, F.col("stratum_id"), name="bin")
         else:
             binned = sides.groupBy("dim").applyInPandas(_match, "stratum_id long, dim int, lo double, hi double, bin long")
-        binned = binned.crossJoin(F.broadcast(n))
+        binned = binned.crossJoin(F.broadcast(n))  # one row
+        binned = binned.withColumn("bin", F.pmod("bin", "n"))
         low, high = F.greatest("lo", F.col("bin") * (1.0 / F.col("n"))), F.least("hi", (F.col("bin") + 1) * (1.0 / F.col("n")))
         placed = binned.select("stratum_id", "dim", F.when(high >= low, low).otherwise(F.col("lo")).alias("lo"), F.when(high >= low, high).otherwise(F.col("hi")).alias("hi"), (~(high >= low)).alias("error"))
     if math.isinf(bates_param):
@@ -147,7 +150,7 @@ def reconstruct_strata_from_points(points: DataFrame, dimension: int, seed: int,
     outside = F.exists(F.zip_with("coords", vector(lower), lambda x, l: x < l), lambda b: b) | F.exists(F.zip_with("coords", vector(upper), lambda x, h: x > h), lambda b: b)
     start = points.select("point_id", F.when(outside, F.raise_error(F.lit("a point lies outside the cuboid")).cast("array<double>")).otherwise(F.col("coords")).alias("coords"))
     live = stored(start.select("point_id", "coords", F.lit(1).cast("long").alias("box"), vector(lower).alias("lo"), vector(upper).alias("hi")))
-    done = None
+    done = []
     while True:
         stats = live.groupBy("box").agg(F.count("*").alias("n"), F.first("lo").alias("blo"), F.first("hi").alias("bhi"), *[f(F.get("coords", j)).alias(f"{f.__name__}{j}") for j in range(dimension) for f in (F.min, F.max, F.avg)])
         extents = F.array(*[F.when(F.col(f"max{j}") > F.col(f"min{j}"), F.get("bhi", j) - F.get("blo", j)).otherwise(F.lit(0.0)) for j in range(dimension)])
@@ -158,10 +161,10 @@ def reconstruct_strata_from_points(points: DataFrame, dimension: int, seed: int,
         border = F.when((mean > low) & (mean <= high), mean).otherwise(high)
         joined = live.join(stats.select("box", "n", "dim", "extent", border.alias("border")), "box")
         alone = joined.where("n = 1").select(F.col("point_id").alias("stratum_id"), "lo", "hi")
-        done = stored(alone if done is None else done.unionAll(alone))
+        done.append(stored(alone))  # a level's boxes are written once
         rest = joined.where("n > 1")
         if not rest.limit(1).count():
-            return done
+            return reduce(DataFrame.unionAll, done)
         x = F.get("coords", F.col("dim"))
         rest = stored(rest.withColumn("x", F.when(F.col("extent") > 0, x).otherwise(F.raise_error(F.lit("equal points have no strata of their own")).cast("double"))).withColumn("left", F.col("x") < F.col("border")))
         cuts = rest.groupBy("box").agg(((F.max(F.when(F.col("left"), F.col("x"))) + F.min(F.when(~F.col("left"), F.col("x")))) * 0.5).alias("cut"))

@@ -96,6 +96,10 @@ def _phrase(words: tuple[str, ...]) -> str:
     return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){GAP.join(words)}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
+#: SQL of the number of words: the pieces between gaps, without an empty first or last one.
+_N_WORDS = _let("p", f"split(low, {_literal(GAP)}, -1)", "IF(low = '', 0, size(p) - IF(p[0] = '', 1, 0) - IF(p[size(p) - 1] = '', 1, 0))")
+
+
 def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the detections that are left.
 
@@ -112,7 +116,7 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Dat
     words = F.when(has_base, F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     found = low.select(
         "doc_id",
-        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
+        F.expr(_N_WORDS).cast("long").alias("n_words"),
         words.alias("words"),
         (F.when(some, F.expr(_hits(rules))) if rules else F.lit(None)).alias("found"),
     )

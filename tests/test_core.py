@@ -317,3 +317,52 @@ def test_ranks(spark):
 def test_points_from_columns(spark):
     frame = spark.createDataFrame([(1, 2, 3.5)], "id int, a int, b double")
     assert points_from(frame, "id", "a", "b").first().coords == [2.0, 3.5]
+
+
+def test_cells_meet_every_pair_once(spark):
+    rng = random.Random(8)
+    rows = [(i, i % 3, [rng.random(), rng.random()]) for i in range(700)]
+    frame = spark.createDataFrame(rows, "point_id long, g int, coords array<double>")
+
+    def kernel(ids, x, other, y, same):
+        pairs = [(a, b) for i, a in enumerate(ids.tolist()) for j, b in enumerate(other.tolist()) if not same or i < j]
+        return {"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}
+
+    for lane in (60, 16_384):
+        found = sorted((r.a, r.b) for r in pair_partials(frame, None, kernel, "a long, b long", lane=lane).collect())
+        assert found == [(a, b) for a in range(700) for b in range(a + 1, 700)]
+        found = sorted((r.g, r.a, r.b) for r in pair_partials(frame, None, kernel, "a long, b long", lane=lane, by="g").collect())
+        assert found == sorted((a % 3, a, b) for a in range(700) for b in range(a + 1, 700) if a % 3 == b % 3)
+        others = frame.where("point_id < 90").withColumn("point_id", F.col("point_id") + 1000)
+        found = sorted((r.a, r.b) for r in pair_partials(frame, others, kernel, "a long, b long", lane=lane).collect())
+        assert found == [(a, 1000 + b) for a in range(700) for b in range(90)]
+
+
+def test_covering_radius_by_boxes(spark):
+    rng = random.Random(9)
+    few = point_set(spark, [(rng.random(), rng.random()) for _ in range(9)])
+    found = indicators.covering_radius_by_boxes(few, 2, 1e-6).first()
+    assert abs(found.value - value(indicators.covering_radius(few, 2))) < 2e-6
+    there = spark.createDataFrame([(0, found.place)], "point_id long, coords array<double>")
+    assert abs(value(indicators.covering_radius_lower_bound(few, there)) - found.value) < 1e-9
+    assert math.isinf(value(indicators.covering_radius_by_boxes(few.limit(0), 2)))
+
+
+def test_default_start_and_observer(spark, tmp_path):
+    start = refine.default_start(spark, 12, 2, 3)
+    assert start.count() == 12 and start.columns == ["point_id", "coords"]
+
+    def observe(restart, step, points):
+        with open(tmp_path / f"{restart}-{step}", "w") as out:
+            out.write(str(points.shape))
+
+    refine.random_k_means(start, 1, 5, restarts=2, observer=observe).collect()
+    assert len(os.listdir(tmp_path)) == 10
+    refine.maximin_reconstruction(start, 1, 3, observer=observe).collect()
+    assert len(os.listdir(tmp_path)) == 10
+
+
+def test_normal_shares_undo_the_inverse(spark):
+    back = {r.point_id: r.coords for r in sequences.normal_shares(sequences.sobol_normal(spark, 3, 50)).collect()}
+    plain = {r.point_id: r.coords for r in sequences.sobol(spark, 3, 50).collect()}
+    assert all(abs(a - b) < 1e-12 for i in plain for a, b in zip(back[i], plain[i]))

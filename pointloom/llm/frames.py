@@ -59,25 +59,37 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] |
     return df.mapInArrow(run, fields)
 
 
+def _known(labels: DataFrame, value_col: str, id_col: str) -> DataFrame:
+    """(doc_id, value): an id labelled more than once counts with its largest label, a null label not at all."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(value_col).alias("value")).where("doc_id IS NOT NULL AND value IS NOT NULL")
+    return known.groupBy("doc_id").agg(F.max("value").alias("value"))
+
+
 def bounded_sample(labels: DataFrame, value_col: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled ids in a fixed pseudo-random order: the documented bound for fitting models.
+    """At most ``most`` labelled ids in a fixed pseudo-random order: the documented bound for fitting models."""
+    return _known(labels, value_col, id_col).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
 
-    An id labelled more than once counts with its largest label, a null label not at all.
+
+def sample_of_each(labels: DataFrame, value_col: str, most: int, least: int, id_col: str = "doc_id") -> DataFrame:
+    """Labelled ids in a fixed pseudo-random order, as many of each value: ``most`` shared among the values, ``least`` at least.
+
+    A rare value is as much in the sample as a common one; Spark limits the ids of a value before it shuffles them.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(value_col).alias("value")).where("doc_id IS NOT NULL AND value IS NOT NULL")
-    return known.groupBy("doc_id").agg(F.max("value").alias("value")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+    known = _known(labels, value_col, id_col)
+    each = max(least, most // max(1, known.select("value").distinct().count()))
+    turn = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
+    return known.withColumn("_turn", turn).where(F.col("_turn") <= each).drop("_turn")
 
 
-#: Bytes of the texts that a model is fitted on, at most.
-FIT_BYTES = 64 << 20
+#: Code points of one text that a model is fitted on, at most: the first ones of a longer text.
+FIT_CHARS = 1 << 14
 
 
-def fitting_rows(docs: DataFrame, sample: DataFrame, most_bytes: int = FIT_BYTES) -> DataFrame:
-    """(doc_id, text, value) of the sampled ids (doc_id, value) as far as their texts have ``most_bytes`` together.
+def fitting_rows(docs: DataFrame, sample: DataFrame, most_chars: int = FIT_CHARS) -> DataFrame:
+    """(doc_id, text, value) of the sampled ids (doc_id, value), of each text its first ``most_chars`` code points.
 
-    An id that several documents have counts once, with its smallest text.  The order in which texts count is that
-    of ``bounded_sample``; only the sample goes through one task.
+    The bound of a text is its own, so that a long one takes no room from others. An id that several documents
+    have counts once, with its smallest text.
     """
-    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("value").alias("value"))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return texts.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).drop("_upto")
+    texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "value", F.substring("text", 1, most_chars).alias("text"))
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("value").alias("value"))

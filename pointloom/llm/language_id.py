@@ -4,11 +4,11 @@ Every byte of a text is labelled: a forward and a backward state run over
 segments of SEGMENT bytes, and both states of a position give its language
 probabilities; a document's probabilities are the mean over all its bytes.  The
 network is trained in numpy by backpropagation through time on segments from a
-bounded sample of documents with a known language.
+bounded sample of documents with a known language, as many of each language.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0,
-as do all texts if no language is known; rows with a null language or a null id
-teach nothing; repeated rows are labelled one by one; a very long text is many
+as do all texts if no language is known; rows with a null language, a null id
+or no letter teach nothing, and a text teaches by its first FIT_CHARS code points; repeated rows are labelled one by one; a very long text is many
 segments; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
+from pointloom.llm.frames import FIT_CHARS, fitting_rows, id_and_text, map_batches, sample_of_each
 from pointloom.llm.textkernel import Texts, slices
 
-#: Documents that the network is fitted on, at most (their bytes are bounded by FIT_BYTES), and segments of one of them, at most.
-FIT_DOCUMENTS, FIT_SEGMENTS = 800, 12
+#: Documents that the network is fitted on, shared among the languages, but FIT_EACH for a language at least (FIT_CHARS bounds
+#: what each gives), and segments of one of them, at most.
+FIT_DOCUMENTS, FIT_EACH, FIT_SEGMENTS = 800, 20, 12
 HIDDEN, SEGMENT, FIT_SEGMENT = 8, 128, 48
 #: Text bytes of one pass over segments.
 PASS_BYTES = 1 << 20
@@ -195,9 +197,13 @@ def fit(rows: list[tuple[str, str]], steps: int = 260, batch: int = 192, seed: i
     return net
 
 
-def fit_from(docs: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Network | None:
-    """The network fitted on at most ``most`` documents of ``most_bytes`` with a language; None if there is none."""
-    rows = fitting_rows(docs, bounded_sample(docs, "lang", most), most_bytes).orderBy("doc_id").collect()
+def fit_from(docs: DataFrame, most: int = FIT_DOCUMENTS, most_chars: int = FIT_CHARS) -> Network | None:
+    """The network fitted on documents with a language and a letter, as many of each language; None if there is none.
+
+    They are ``most`` together, or FIT_EACH of each language where that is more.
+    """
+    taught = docs.where(F.substring("text", 1, most_chars).rlike(r"\p{L}"))
+    rows = fitting_rows(taught, sample_of_each(taught, "lang", most, FIT_EACH), most_chars).orderBy("doc_id").collect()
     return fit([(r.text, r.value) for r in rows]) if rows else None
 
 

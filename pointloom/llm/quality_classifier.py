@@ -9,7 +9,8 @@ network of two layers in numpy gives a logit, which a temperature fitted on
 rows kept apart turns into a probability.
 
 The classifier is fitted on a bounded sample of labelled documents
-(FIT_DOCUMENTS); texts are the only input of a score.  Tokens that the sample
+(FIT_DOCUMENTS, the first FIT_CHARS code points of each); whole texts are the
+only input of a score.  Tokens that the sample
 lacks count through their shape alone.
 
 Defined cases: null and empty texts have the zero vector and get the network's
@@ -30,9 +31,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
+from pointloom.llm.frames import FIT_CHARS, bounded_sample, fitting_rows, id_and_text, map_batches
 
-#: Labelled documents that the classifier is fitted on, at most; their bytes are bounded by FIT_BYTES.
+#: Labelled documents that the classifier is fitted on, at most; FIT_CHARS bounds what each gives.
 FIT_DOCUMENTS = 4000
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 64, 6, 2, 24
 #: Scores from here on are predicted as good.
@@ -179,9 +180,9 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 600, seed: int =
     return model
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Classifier:
-    """The classifier fitted on at most ``most`` labelled documents of ``most_bytes``, whose tokens seen twice are its vocabulary."""
-    rows = fitting_rows(docs, bounded_sample(labels, "quality", most), most_bytes).orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").collect()
+def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_chars: int = FIT_CHARS) -> Classifier:
+    """The classifier fitted on at most ``most`` labelled documents, the first ``most_chars`` code points of each, whose tokens seen twice are its vocabulary."""
+    rows = fitting_rows(docs, bounded_sample(labels, "quality", most), most_chars).orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").collect()
     return fit([r.text for r in rows], np.array([r.value for r in rows], float))
 
 

@@ -7,7 +7,8 @@ repetition) rejects a document whatever the lines look like.
 
 The field is fitted on a bounded sample of labelled documents: the label of a
 document is a first guess for its lines, then two rounds of Viterbi relabelling
-inside low-quality documents leave their normal lines as content.
+inside low-quality documents leave their normal lines as content.  A text longer
+than FIT_CHARS code points teaches by its first ones; it is judged as a whole.
 
 Defined cases: null and empty texts have no words, fail the base rule and have
 content share 0; repeated rows are judged one by one; an empty table gives an
@@ -24,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pointloom.llm.frames import FIT_BYTES, bounded_sample, fitting_rows, id_and_text, map_batches
+from pointloom.llm.frames import FIT_CHARS, bounded_sample, fitting_rows, id_and_text, map_batches
 from pointloom.llm.textkernel import LEAD_BYTE, Texts, gram_starts, grams, slices, span_hashes, sums_by
 
-#: Labelled documents that the field is fitted on, at most; their bytes are bounded by FIT_BYTES.
+#: Labelled documents that the field is fitted on, at most; FIT_CHARS bounds what each gives.
 FIT_DOCUMENTS = 2000
 #: Lines of one training chain; longer documents are cut into several chains.
 CHAIN_LINES = 32
@@ -235,8 +236,8 @@ def fit_field(chains: list[np.ndarray], low_quality: np.ndarray, rounds: int = 2
     return model
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> LineField:
-    """The field fitted on at most ``most`` labelled documents of ``most_bytes``; only their line features reach the driver."""
+def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most_chars: int = FIT_CHARS) -> LineField:
+    """The field fitted on at most ``most`` labelled documents, the first ``most_chars`` code points of each; only their line features reach the driver."""
     sample = bounded_sample(labels, "quality", most)
 
     def features(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -245,7 +246,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, most
             x = x.astype(np.float32)
             yield {"doc_id": batch["doc_id"][lo : lo + len(texts)], "value": batch["value"][lo : lo + len(texts)], "x": [x[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:])]}
 
-    rows = map_batches(fitting_rows(docs, sample, most_bytes), features, "doc_id long, value int, x binary").orderBy("doc_id").collect()
+    rows = map_batches(fitting_rows(docs, sample, most_chars), features, "doc_id long, value int, x binary").orderBy("doc_id").collect()
     chains = [(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(float), r.value == 0) for r in rows]
     chains = [c for c in chains if len(c[0])]
     return fit_field([c for c, _ in chains], np.array([q for _, q in chains], bool))

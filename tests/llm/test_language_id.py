@@ -84,3 +84,14 @@ def test_held_out_accuracy_and_edges(spark, documents, edges):
     assert N.identify(edges.limit(0), net).count() == 0
     assert {r.lang_pred for r in N.identify(edges, None).collect()} == {"und"}
     assert N.fit_from(documents.withColumn("lang", F.lit(None).cast("string"))) is None
+
+
+def test_a_rare_language_and_one_long_text(spark, documents):
+    """A language of a thousandth of the documents is learned, and a long text or texts without letters take no places."""
+    greek = ["Το πρωί ο ήλιος βγήκε πάνω από τη θάλασσα και όλοι κατέβηκαν στο λιμάνι. ", "Η βιβλιοθήκη ανοίγει κάθε μέρα εκτός από την Κυριακή, όταν ξεκουράζονται όλοι. "]
+    many = documents.select("doc_id", "text", "lang").where("text IS NOT NULL")
+    copies = many.crossJoin(spark.range(3000 // many.count() + 1).toDF("k")).select((F.col("doc_id") + F.col("k") * 100_000).alias("doc_id"), "text", "lang")
+    rare = [(10**7 + i, g * 6, "el") for i, g in enumerate(greek)] + [(10**7 + 9, "ab " * (1 << 21), "en")] + [(10**8 + i, None if i % 2 else "12 34", "el") for i in range(400)]
+    net = N.fit_from(copies.unionAll(spark.createDataFrame(rare, copies.schema)))
+    probe = spark.createDataFrame([(1, "Οι μαθητές διάβασαν τα βιβλία και έγραψαν μια μεγάλη επιστολή στον δάσκαλο. " * 3), (2, documents.where("lang = 'en'").orderBy(F.length("text").desc()).first().text)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in N.identify(probe, net).collect()} == {1: "el", 2: "en"}

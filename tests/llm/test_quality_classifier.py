@@ -2,7 +2,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointloom.llm import quality_classifier as C
-from pointloom.llm.frames import fitting_rows
+from pyspark.sql import functions as F
+
+from pointloom.llm.frames import FIT_CHARS, bounded_sample, fitting_rows
 from tests.llm.conftest import EDGES
 
 
@@ -57,7 +59,17 @@ def test_fitting_rows_are_bounded(spark):
     docs = spark.createDataFrame([(i % 5, "x" * 100 * (1 + i // 5), "w") for i in range(15)] + [(7, None, "w")], "doc_id long, text string, value string")
     sample = spark.createDataFrame([(i, i) for i in range(8)], "doc_id long, value int")
     assert sorted((r.doc_id, len(r.text)) for r in fitting_rows(docs, sample, 10_000).collect()) == [(i, 100) for i in range(5)]
-    assert fitting_rows(docs, sample, 320).count() == 3
+    assert [len(r.text) for r in fitting_rows(docs, sample, 70).collect()] == [70] * 5
+
+
+def test_one_long_text_takes_no_room_from_others(spark, documents):
+    """A text of twice what a model is fitted on, first in the order of the sample, leaves the others in it."""
+    first = min(range(10**6, 10**6 + 50), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"), F.lit(11))).first()[0])
+    labels = documents.select("doc_id", F.pmod("doc_id", F.lit(2)).cast("int").alias("quality"))
+    huge = spark.createDataFrame([(first, "ab " * (1 << 21), "en", "s", 0)], documents.schema)
+    more = labels.unionAll(spark.createDataFrame([(first, 1)], labels.schema))
+    rows = {r.doc_id: r.text for r in fitting_rows(documents.unionAll(huge), bounded_sample(more, "quality", 4000)).collect()}
+    assert len(rows) == documents.where("text IS NOT NULL").count() + 1 and len(rows[first]) == FIT_CHARS
 
 
 def test_edges(edges):

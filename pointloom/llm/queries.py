@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import byte_bpe, chat_format, decontaminate, filter_audit, language_id, license_scan, minhash, quality_classifier, quality_rules, substring_dedup, url_reputation
+from pointloom.llm import byte_bpe, chat_format, decontaminate, filter_audit, language_id, license_scan, minhash, quality_classifier, quality_rules, substring_dedup, url_reputation, whitening
 from pointloom.llm.frames import table
 
 #: Vocabulary file of the public tokenizers that the BPE query encodes with.
@@ -70,6 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, net).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 

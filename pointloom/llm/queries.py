@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import byte_bpe, chat_format, decontaminate, filter_audit, language_id, license_scan, minhash, quality_classifier, quality_rules, substring_dedup, url_reputation, whitening
+from pointloom.llm import byte_bpe, chat_format, decontaminate, filter_audit, language_id, license_scan, minhash, quality_classifier, quality_rules, substring_dedup, url_reputation, warc, whitening
 from pointloom.llm.frames import table
 
 #: Vocabulary file of the public tokenizers that the BPE query encodes with.
@@ -74,6 +74,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url", "archive")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -98,5 +103,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op9_minhash": minhash.ORACLE,
+    "op12_warc": warc.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }

@@ -8,7 +8,8 @@ are revisits, with the headers of the answer but without the payload.
 
 Pages are shuffled once, by payload digest; what tells first pages from others
 is one slim row for a payload that comes again, and a hot payload is a skewed
-join that Spark splits.  Spark's text sink writes the files: a row is an archive,
+join that Spark splits.  Rows that repeat a first id with its payload are counted
+apart, where there are any, before one of them is chosen.  Spark's text sink writes the files: a row is an archive,
 and the separator after a row is an empty skippable frame, which readers of
 Zstandard pass over.  So files appear when the write is committed, on any file
 system that Spark reaches, and tasks that are lost or run twice leave nothing.
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.frames import map_batches, shared_folder
+from pointloom.llm.frames import checkpointed, map_batches, shared_folder
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST = 100
@@ -47,6 +48,8 @@ TRAIN_BYTES, TRAIN_RECORD = 4 << 20, 64 << 10
 LEVEL = 3
 #: Rows that repeat an id with its payload, of one task.
 RUN = 1000
+#: Payloads whose first id repeats, of some 100 bytes each, that are broadcast at most; more are joined by a shuffle.
+TIES = 100_000
 #: The time of all records: runs over the same pages write the same records.
 DATE = "2026-01-01T00:00:00Z"
 
@@ -66,10 +69,10 @@ def with_types(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", ur
     # slim rows: of payloads that come again, the smallest id and how many rows have it; nulls are the largest id
     ids = base.where(F.col("bytes") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
     smallest = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "n"))
-    again = ids.groupBy("digest").agg(F.sum("n").alias("n"), smallest.alias("first")).where("n > 1").select(F.col("digest").alias("_key"), F.col("first.page_id").alias("first_id"), F.col("first.n").alias("tied"))
+    again = checkpointed(ids.groupBy("digest").agg(F.sum("n").alias("n"), smallest.alias("first")).where("n > 1").select(F.col("digest").alias("_key"), F.col("first.page_id").alias("first_id"), F.col("first.n").alias("tied")))
     # short payloads get keys of their rows, so that a hot one is no key of the join
     key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "url").cast("string")))
-    met = base.withColumn("_key", key).join(again, "_key", "left")
+    base = base.withColumn("_key", key)
     is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
 
     def typed(df: DataFrame, first: Column) -> DataFrame:
@@ -77,9 +80,14 @@ def with_types(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", ur
         kept = F.when(F.col("_first"), F.col("payload")).alias("payload")
         return known.select("page_id", "url", kept, "bytes", "digest", F.when(F.col("_first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("_first"), F.col("first_id")).alias("refers_to"))
 
-    once = typed(met.where(F.col("tied").isNull() | ~is_first | (F.col("tied") == 1)), F.col("tied").isNull() | is_first)
+    once = base.join(again, "_key", "left")
+    once = typed(once.where(F.col("tied").isNull() | ~is_first | (F.col("tied") == 1)), F.col("tied").isNull() | is_first)
+    ties = again.where("tied > 1")
+    known = ties.count()
+    if not known:
+        return once
     # rows that repeat the first id with its payload: the first of them by url is the response
-    tied = met.where(F.col("tied").isNotNull() & is_first & (F.col("tied") > 1)).groupBy("page_id", "digest", "url", "bytes").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+    tied = base.join(F.broadcast(ties) if known <= TIES else ties, "_key").where(is_first).groupBy("page_id", "digest", "url", "bytes").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
     urls = tied.groupBy("digest").agg(F.min(F.struct(F.col("url").isNull().alias("no_url"), "url"))["url"].alias("first_url"))
     runs = tied.join(urls, "digest").withColumn("first_id", F.col("page_id")).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))).alias("run"))
     runs = runs.withColumn("payload", F.when(F.col("run") == 0, F.col("payload"))).repartition("digest", "run")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.numbers import binomial
+from pointloom.operators.neighbours import has_triangles, nearest_places, places
 from pointloom.operators.pairs import pair_partials
 from pointloom.plans.ranks import stored
 from pointloom.schema import unitcube, vector
@@ -34,13 +35,8 @@ def _measured(rows: DataFrame, by: str | None, value: Column) -> DataFrame:
 
 def separation_dist(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Least distance of two points; 0 for fewer than two."""
-
-    def kernel(_, x, __, y, same):
-        d = _upper(metric.matrix(x, y), same)
-        return {"least": d.min() if len(d) else np.inf}
-
-    least = F.min("least")
-    return _measured(pair_partials(points, None, kernel, "least double", by=by), by, F.when(least < float("inf"), least).otherwise(F.lit(0.0)).alias("value"))
+    least = F.min("dist")
+    return _measured(_near(points, None, metric, by, closest_only=True), by, F.when(least < float("inf"), least).otherwise(F.lit(0.0)).alias("value"))
 
 
 def sum_of_dists(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
@@ -65,9 +61,16 @@ def average_inverse_dist(points: DataFrame, dimension: int, exponent: float | No
     return _measured(pair_partials(points, None, kernel, "total double, pairs long", by=by), by, F.when(pairs > 0, F.pow(total, F.lit(1 / e)) / F.nullif(pairs, F.lit(0))).otherwise(F.lit(0.0)).alias("value"))
 
 
-def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
-    """(point_id, dist): distance of each point to the nearest other one, or to the nearest of ``others``."""
+#: Points of a set whose nearest neighbours one round over all pairs finds; larger sets are searched by bounds.
+FEW = 4096
+
+
+def _few(points: DataFrame, others: DataFrame | None) -> bool:
+    return all(p.limit(FEW + 1).count() <= FEW for p in (points, others) if p is not None)
+
 
+def _nearest_of_all(points: DataFrame, others: DataFrame | None, metric: Metric, by: str | None) -> DataFrame:
+    """(by, point_id, dist) from all pairs, cell by cell."""
     two_sets = others is not None
 
     def kernel(ids, x, other, y, same):
@@ -81,39 +84,62 @@ def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric =
     return pair_partials(points, others, kernel, "point_id long, dist double", by=by).groupBy(*([by] if by else []), "point_id").agg(F.min("dist").alias("dist"))
 
 
+def _near(points: DataFrame, others: DataFrame | None, metric: Metric, by: str | None = None, closest_only: bool = False) -> DataFrame:
+    """(by, dist, n): distances to the nearest other point, or the nearest of ``others``, and how many points have each.
+
+    Without groups, sets beyond a few points are searched by triangle bounds where the metric has them.
+    """
+    if by or not has_triangles(metric) or _few(points, others):
+        return _nearest_of_all(points, others, metric, by).withColumn("n", F.lit(1).cast("long"))
+    return nearest_places(points, others, metric, closest_only).select("dist", "n")
+
+
+def nearest(points: DataFrame, others: DataFrame | None = None, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
+    """(point_id, dist): distance of each point to the nearest other one, or to the nearest of ``others``."""
+    if by or not has_triangles(metric) or _few(points, others):
+        return _nearest_of_all(points, others, metric, by)
+    found = nearest_places(points, others, metric)
+    there = places(points).withColumnRenamed("point_id", "_place").join(found.select(F.col("point_id").alias("_place"), "dist"), "_place").select("coords", "dist")
+    return points.select("point_id", "coords").join(there, "coords").select("point_id", "dist")
+
+
 def sum_of_nn_dists(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Sum of nearest-neighbour distances; 0 for fewer than two points."""
-    return _measured(nearest(points, None, metric, by), by, F.coalesce(F.sum(F.when(F.col("dist") < float("inf"), F.col("dist"))), F.lit(0.0)).alias("value"))
+    finite = F.when(F.col("dist") < float("inf"), F.col("dist") * F.col("n"))
+    return _measured(_near(points, None, metric, by), by, F.coalesce(F.sum(finite), F.lit(0.0)).alias("value"))
 
 
-def _nearest_of_both(points: DataFrame, others: DataFrame, metric: Metric) -> DataFrame:
-    """(side, point_id, dist): distance of each point of either set to the nearest of the other, from one matrix."""
+def _nearest_of_both(points: DataFrame, others: DataFrame, metric: Metric, by: str | None = None) -> DataFrame:
+    """(by, side, dist, n): distances of the points of either set to the nearest of the other."""
+    if not by and has_triangles(metric) and not _few(points, others):
+        return _near(points, others, metric).withColumn("side", F.lit(0)).unionByName(_near(others, points, metric).withColumn("side", F.lit(1)))
 
     def kernel(ids, x, other, y, _):
         d = metric.matrix(x, y)
         return {"side": np.repeat([0, 1], [len(ids), len(other)]), "point_id": np.concatenate([ids, other]), "dist": np.concatenate([d.min(1), d.min(0)])}
 
-    return pair_partials(points, others, kernel, "side int, point_id long, dist double").groupBy("side", "point_id").agg(F.min("dist").alias("dist"))
+    met = pair_partials(points, others, kernel, "side int, point_id long, dist double", by=by)
+    return met.groupBy(*([by] if by else []), "side", "point_id").agg(F.min("dist").alias("dist")).withColumn("n", F.lit(1).cast("long"))
 
 
-def hausdorff_dist(points: DataFrame, others: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Largest distance of a point of either set to the nearest of the other."""
-    return _nearest_of_both(points, others, metric).agg(F.max("dist").alias("value"))
+def hausdorff_dist(points: DataFrame, others: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
+    """Largest distance of a point of either set to the nearest of the other; with ``by`` for each group that both sets have."""
+    return _measured(_nearest_of_both(points, others, metric, by), by, F.max("dist").alias("value"))
 
 
-def averaged_hausdorff_dist(points: DataFrame, others: DataFrame, exponent: float = 1, metric: Metric = EUCLIDEAN) -> DataFrame:
+def averaged_hausdorff_dist(points: DataFrame, others: DataFrame, exponent: float = 1, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """The larger of both directions' sum of nearest distances to the power e, over the size to the power 1/e."""
     if math.isinf(exponent):
-        return hausdorff_dist(points, others, metric)
+        return hausdorff_dist(points, others, metric, by)
     if exponent <= 0:
         raise ValueError("the exponent must be positive")
-    side = (F.sum(F.pow("dist", F.lit(float(exponent)))) / F.pow(F.count("*"), F.lit(1 / exponent))).alias("value")
-    return _nearest_of_both(points, others, metric).groupBy("side").agg(side).agg(F.max("value").alias("value"))
+    side = (F.sum(F.pow("dist", F.lit(float(exponent))) * F.col("n")) / F.pow(F.sum("n"), F.lit(1 / exponent))).alias("value")
+    return _measured(_nearest_of_both(points, others, metric, by).groupBy(*([by] if by else []), "side").agg(side), by, F.max("value").alias("value"))
 
 
 def covering_radius_lower_bound(points: DataFrame, probes: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
     """Largest distance of a probe to its nearest point; infinite without points."""
-    return nearest(probes, points, metric).agg(F.coalesce(F.max("dist"), F.lit(float("inf"))).alias("value"))
+    return _near(probes, points, metric).agg(F.coalesce(F.max("dist"), F.lit(float("inf"))).alias("value"))
 
 
 def covering_radius_upper_bound(points: DataFrame, strata: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.numbers import binomial
+from pointloom.operators.dominance import dominance_sums
 from pointloom.operators.neighbours import has_triangles, nearest_places, places
 from pointloom.operators.pairs import pair_partials
 from pointloom.plans.ranks import stored
@@ -276,20 +277,31 @@ def weitzman_diversity(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFra
     return _whole(points, "weitzman", measure)
 
 
-def unanchored_l2_discrepancy(points: DataFrame, dimension: int) -> DataFrame:
+#: Dimensions up to which pairs are summed by dominance; in more of them the levels outgrow the pairs.
+DOMINANCE_DIMENSIONS = 3
+
+
+def unanchored_l2_discrepancy(points: DataFrame, dimension: int, by: str | None = None) -> DataFrame:
     """Unanchored L2 discrepancy in the unit cube; 0 for no points."""
 
     def kernel(_, x, __, y, same):
         product = np.ones((len(x), len(y)))
         for j in range(dimension):
             product *= (1 - np.maximum(x[:, j, None], y[None, :, j])) * np.minimum(x[:, j, None], y[None, :, j])
-        return {"pairs": product.sum() * (1 if same else 2)}
+        return {"pairs": np.triu(product, 1).sum() if same else product.sum()}
 
-    pairs = pair_partials(points, None, kernel, "pairs double").agg(F.sum("pairs").alias("pairs"))
+    if dimension <= DOMINANCE_DIMENSIONS:
+        pairs = dominance_sums(points, dimension, by)
+    else:
+        made = pair_partials(points, None, kernel, "pairs double", by=by)
+        pairs = made.groupBy(F.col(by) if by else F.lit(0).alias("by")).agg(F.sum("pairs").alias("pairs")).withColumnRenamed(by or "by", "by")
     single = F.aggregate("coords", F.lit(1.0), lambda p, v: p * v * (1 - v))
-    singles = points.agg(F.sum(single).alias("singles"), F.count("*").cast("double").alias("n"))
-    inner = F.col("pairs") / (F.col("n") * F.col("n")) - F.col("singles") * 2.0 ** (1 - dimension) / F.col("n") + 12.0**-dimension
-    return singles.crossJoin(pairs).select(F.when(F.col("n") > 0, F.sqrt(inner)).otherwise(F.lit(0.0)).alias("value"))  # one row each
+    sums = F.sum(single).alias("singles"), F.count("*").cast("double").alias("n")
+    singles = points.groupBy(F.col(by).alias("by")).agg(*sums) if by else points.agg(*sums).withColumn("by", F.lit(0))
+    total = 2 * F.coalesce("pairs", F.lit(0.0)) + F.col("singles")
+    inner = total / (F.col("n") * F.col("n")) - F.col("singles") * 2.0 ** (1 - dimension) / F.col("n") + 12.0**-dimension
+    value = F.when(F.col("n") > 0, F.sqrt(inner)).otherwise(F.lit(0.0)).alias("value")
+    return singles.join(pairs, "by", "left").select(*([F.col("by").alias(by)] if by else []), value)
 
 
 def expected_unanchored_l2_discrepancy(spark: SparkSession, n: int, dimension: int) -> DataFrame:

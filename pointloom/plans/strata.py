@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.rng import uniform
+from pointloom.operators import matching
 from pointloom.plans.designs import _digits, whole_root
 from pointloom.plans.ranks import ranked, stored
 from pointloom.schema import STRATA, positive, unitcube, vector
@@ -81,12 +80,13 @@ def stratify_generalized(spark: SparkSession, n: int, dimension: int, seed: int,
     return spark.range(n).mapInArrow(descend, STRATA)
 
 
-def stratified_sampling(strata: DataFrame, seed: int, bates_param: float = 1, latin: str = "none") -> DataFrame:
+def stratified_sampling(strata: DataFrame, seed: int, bates_param: float = 1, latin: str = "none", matching_init: str = "approx") -> DataFrame:
     """(point_id, coords, error): one point in each stratum, ``point_id`` its stratum.
 
     ``bates_param`` numbers are averaged (infinity: the middle).  With ``latin`` each dimension's strata
     also take one of n bins: "approx" in the order of their middles, with ``error`` where stratum and bin do not
-    meet and the stratum alone counts; "matching" by a perfect matching of strata and overlapping bins.
+    meet and the stratum alone counts; "matching" by a perfect matching of strata and the bins they overlap, all
+    dimensions at once, begun from the bins of "approx" or greedily ("greedy-det", "greedy-rand").
     """
     if bates_param < 1:
         raise ValueError("bates_param must be 1 at least")
@@ -97,12 +97,11 @@ def stratified_sampling(strata: DataFrame, seed: int, bates_param: float = 1, la
         placed = sides.withColumn("error", F.lit(False))
     else:
         n = strata.agg(F.count("*").alias("n"))
-        if latin == "approx":
-            # every dimension has n rows, so the place in its own order is the place in the order of all modulo n
-            tie = uniform(seed, F.col("stratum_id"), F.col("dim"), F.lit("tie"))
-            binned = ranked(sides, F.col("dim"), F.col("lo") + F.col("hi"), tie, F.col("stratum_id"), name="bin")
-        else:
-            binned = sides.groupBy("dim").applyInPandas(_match, "stratum_id long, dim int, lo double, hi double, bin long")
+        # every dimension has n rows, so the place in its own order is the place in the order of all modulo n
+        tie = uniform(seed, F.col("stratum_id"), F.col("dim"), F.lit("tie"))
+        binned = ranked(sides, F.col("dim"), F.col("lo") + F.col("hi"), tie, F.col("stratum_id"), name="bin")
+        if latin == "matching":
+            binned = _matched(sides, binned.crossJoin(F.broadcast(n)).withColumn("bin", F.pmod("bin", "n")), n, seed, matching_init)
         binned = binned.crossJoin(F.broadcast(n))  # one row
         binned = binned.withColumn("bin", F.pmod("bin", "n"))
         low, high = F.greatest("lo", F.col("bin") * (1.0 / F.col("n"))), F.least("hi", (F.col("bin") + 1) * (1.0 / F.col("n")))
@@ -117,27 +116,21 @@ def stratified_sampling(strata: DataFrame, seed: int, bates_param: float = 1, la
     return rows.select("point_id", F.col("sorted.x").alias("coords"), "error")
 
 
-def _match(sides: pd.DataFrame) -> pd.DataFrame:
-    """Bins for the strata of one dimension: bins from left to right take the open stratum that ends first.
-
-    Each stratum overlaps a run of bins, for which this rule finds a perfect matching whenever there is one.
-    """
-    sides = sides.sort_values(["lo", "hi", "stratum_id"], ignore_index=True)
-    n = len(sides)
-    first = np.floor(sides["lo"].to_numpy() * n + 1e-9).astype(int)
-    last = np.ceil(sides["hi"].to_numpy() * n - 1e-9).astype(int) - 1
-    bins, heap, k = np.full(n, -1), [], 0
-    for b in range(n):
-        while k < n and first[k] <= b:
-            heapq.heappush(heap, (last[k], k))
-            k += 1
-        if not heap:
-            raise ValueError("no perfect matching of strata and bins")
-        end, i = heapq.heappop(heap)
-        if end < b:
-            raise ValueError("no perfect matching of strata and bins")
-        bins[i] = b
-    return sides.assign(bin=bins)
+def _matched(sides: DataFrame, ordered: DataFrame, n: DataFrame, seed: int, matching_init: str) -> DataFrame:
+    """(stratum_id, dim, lo, hi, bin) by a perfect matching of strata and the bins they overlap, all dimensions at once."""
+    if matching_init not in ("approx", *matching.STARTS):
+        raise ValueError(f"unknown start of the matching {matching_init}")
+    sized = sides.crossJoin(F.broadcast(n))  # one row
+    first, last = F.floor(F.col("lo") * F.col("n") + 1e-9), F.ceil(F.col("hi") * F.col("n") - 1e-9) - 1
+    edges = stored(sized.where(last >= first).select(F.col("dim").alias("group"), F.col("stratum_id").alias("left"), F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("n") - 1))).alias("right")))
+    start: DataFrame | str = matching_init
+    if matching_init == "approx":
+        start = ordered.select(F.col("dim").alias("group"), F.col("stratum_id").alias("left"), F.col("bin").alias("right")).join(edges, ["group", "left", "right"], "left_semi")
+    found = matching.bipartite_match(edges, start, seed)
+    if found.size < sides.count():
+        raise ValueError("no perfect matching of strata and bins")
+    pairs = found.pairs.select(F.col("group").alias("dim"), F.col("left").alias("stratum_id"), F.col("right").alias("bin"))
+    return sides.join(pairs, ["dim", "stratum_id"]).select("stratum_id", "dim", "lo", "hi", "bin")
 
 
 def reconstruct_strata_from_points(points: DataFrame, dimension: int, seed: int, cuboid: tuple[list[float], list[float]] | None = None) -> DataFrame:

@@ -1,35 +1,119 @@
 """Selecting points: recursive bisection into clusters, their representatives, and greedy picks.
 
-Points stay distributed.  A round of a loop is one pass over them that brings one
-row (a pick, or the bounds of a cluster) to the driver; states are checkpointed
-every few rounds so that plans stay short and a lost executor costs little.
+Points stay distributed.  A pass over them is one job that brings a bounded summary
+to the driver: boxes of the nodes of a tree, or the best points of each of some
+cells and bounds of the others; many splits or picks are made from one summary.
 Ties go to the smaller point_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.rng import uniform
+from pointloom.operators.boxtree import BoxTree, gathered, leaf_boxes, vectors
 from pointloom.operators.pairs import pair_partials
 from pointloom.plans.ranks import stored
 from pointloom.schema import vector
 
-#: Rounds between checkpoints.
-ROUNDS = 8
+#: Cells that points fall into, candidates of a cell, points that the cells are laid by, and picks between checkpoints.
+CELLS, CANDIDATES, LAID_BY, PICKS = 1024, 4, 8192, 64
 
 Observer = Callable[[int, int, float], None]
 
 
-def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, metric: Metric, start: Callable[[np.ndarray], np.ndarray], total: Callable, step: Callable[[Column, Column], Column], gap: Callable[[Column, Column], Column], largest: bool, mask: bool, observer: Observer | None) -> DataFrame:
+@dataclass
+class Criterion:
+    """What a greedy search picks by: ``start`` of distances to a block of existing points, put together by ``total``.
+
+    A pick moves a criterion to ``step(criterion, gap(distance))``; as ``gap`` only falls or only grows with the
+    distance, in the sense of ``largest``, the farthest place of a cell bounds what its points can come to.
+    """
+
+    start: Callable[[np.ndarray], np.ndarray]
+    total: Callable
+    step: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    gap: Callable[[np.ndarray], np.ndarray]
+    largest: bool
+    mask: bool
+
+    @property
+    def out(self) -> float:
+        return -np.inf if self.largest else np.inf
+
+    def rank(self, crit: np.ndarray) -> np.ndarray:
+        """Criteria so that less is better."""
+        return -crit if self.largest else crit
+
+    def moved(self, crit: np.ndarray, ids: np.ndarray, d: np.ndarray, pick: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            new = self.step(crit, self.gap(d))
+        return np.where((ids == pick) | (crit == self.out), self.out, new) if self.mask else new
+
+
+@dataclass
+class Seen:
+    """Of each cell its best candidates, and of the others in it the best criterion and the bounds."""
+
+    cell: np.ndarray
+    ids: np.ndarray
+    crit: np.ndarray
+    x: np.ndarray
+    rest: np.ndarray  # by cell, ranked
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def merged(self, other: Seen, rank: Callable[[np.ndarray], np.ndarray]) -> Seen:
+        cell, ids, crit, x = (np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("cell", "ids", "crit", "x"))
+        order = np.lexsort((ids, rank(crit), cell))
+        cell, ids, crit, x = cell[order], ids[order], crit[order], x[order]
+        place = np.arange(len(cell)) - np.searchsorted(cell, cell)
+        rest = np.minimum(self.rest, other.rest)
+        np.minimum.at(rest, cell[place >= CANDIDATES], rank(crit[place >= CANDIDATES]))
+        kept = place < CANDIDATES
+        return Seen(cell[kept], ids[kept], crit[kept], x[kept], rest, np.minimum(self.lo, other.lo), np.maximum(self.hi, other.hi))
+
+
+def _cells(points: DataFrame) -> BoxTree:
+    """A tree of cells that hold about as many points each, laid by a bounded sample; any tree gives the same picks."""
+    rows = points.select("coords").orderBy(F.xxhash64("point_id", F.lit(7)), "point_id").limit(LAID_BY).collect()
+    x = np.array([list(r["coords"]) for r in rows], float).reshape(len(rows), -1)
+    tree, heap = BoxTree(), [(-len(x), 0, np.arange(len(x)))]
+    while heap and len(tree) < 2 * CELLS - 1:
+        _, node, own = heapq.heappop(heap)
+        if len(own) < 2 or not (extents := np.ptp(x[own], axis=0)).any():
+            continue
+        side = int(extents.argmax())
+        v = np.sort(x[own, side])
+        middle = v[len(v) // 2] if v[len(v) // 2] > v[0] else v[np.searchsorted(v, v[0], side="right")]
+        left, right = tree.split(node, side, float(middle))
+        for part, inside in ((left, x[own, side] < middle), (right, x[own, side] >= middle)):
+            heapq.heappush(heap, (-int(inside.sum()), part, own[inside]))
+    return tree
+
+
+def _farthest(metric: Metric, lo: np.ndarray, hi: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """What no point of a box is farther from a place than."""
+    with np.errstate(invalid="ignore"):
+        gaps = np.maximum(np.abs(pick - lo), np.abs(hi - pick))
+    if metric.sizes is not None:
+        gaps = np.minimum(gaps, np.array(metric.sizes) / 2)
+    return Metric(metric.exponent).matrix(gaps, np.zeros((1, gaps.shape[1])))[:, 0] * (1 + 1e-12)
+
+
+def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, metric: Metric, by: Criterion, observer: Observer | None) -> DataFrame:
     """(pos, point_id, coords): picks by the largest or smallest running criterion over all points.
 
-    ``start`` gives the criterion from distances to a block of existing points, ``total`` puts blocks together.
+    A pass over the points, one job, brings the driver the best candidates of each cell and bounds of the others.
+    It picks from them, with exact criteria, for as long as no other point can be better; then comes another pass.
     """
     if k < 1:
         raise ValueError("at least one point is to be selected")
@@ -42,27 +126,60 @@ def _greedy(points: DataFrame, k: int, existing: DataFrame | None, seed: int, me
         existing = base.orderBy(uniform(seed, F.col("point_id")), "point_id").limit(1)
 
     def begin(ids: np.ndarray, x: np.ndarray, _: np.ndarray, y: np.ndarray, __: bool) -> dict:
-        return {"point_id": ids, "crit": start(metric.matrix(x, y))}
+        return {"point_id": ids, "crit": by.start(metric.matrix(x, y))}
 
-    started = pair_partials(base, existing.select("point_id", "coords"), begin, "point_id long, crit double").groupBy("point_id").agg(total("crit").alias("crit"))
+    started = pair_partials(base, existing.select("point_id", "coords"), begin, "point_id long, crit double").groupBy("point_id").agg(by.total("crit").alias("crit"))
     state = stored(base.join(started, "point_id"))
-    out_of_play = F.lit(float("-inf") if largest else float("inf"))
-    best = (F.max if largest else F.min)(F.struct(F.col("crit"), (-F.col("point_id") if largest else F.col("point_id")).alias("key"), F.col("coords"))).alias("best")
+    tree = _cells(base)
+    dimension = len(state.first()["coords"])
+    pending: list[tuple[int, np.ndarray]] = []
+
+    def current(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, ids, crit = vectors(batch), batch["point_id"].to_numpy(), batch["crit"].to_numpy()
+        for pick, place in pending:
+            crit = by.moved(crit, ids, metric.matrix(x, place[None])[:, 0], pick)
+        return ids, x, crit
+
+    def none(cell: np.ndarray, ids: np.ndarray, crit: np.ndarray, x: np.ndarray) -> Seen:
+        seen = Seen(cell, ids, crit, x, np.full(len(tree), np.inf), np.full((len(tree), dimension), np.inf), np.full((len(tree), dimension), -np.inf))
+        np.minimum.at(seen.lo, cell, x)
+        np.maximum.at(seen.hi, cell, x)
+        return seen
+
+    def of(batch: pa.RecordBatch) -> Seen:
+        ids, x, crit = current(batch)
+        empty = none(np.zeros(0, np.int64), ids[:0], crit[:0], x[:0])
+        return none(tree.leaves_of(x), ids, crit, x).merged(empty, by.rank)
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["point_id"], batch["coords"], pa.array(current(batch)[2])], ["point_id", "coords", "crit"])
+
     picks: list[tuple[int, int, list[float]]] = []
     while True:
-        row = state.agg(best).first()["best"]
-        pick = -row["key"] if largest else row["key"]
-        picks.append((len(picks), pick, list(row["coords"])))
-        if observer is not None:
-            observer(len(picks) - 1, pick, row["crit"])
-        if len(picks) == k:
-            return spark.createDataFrame(picks, "pos long, point_id long, coords array<double>")
-        moved = step(F.col("crit"), gap(F.col("coords"), vector(row["coords"])))
-        if mask:
-            moved = F.when(F.col("point_id") == pick, out_of_play).otherwise(F.when(F.col("crit") == out_of_play, out_of_play).otherwise(moved))
-        state = state.withColumn("crit", moved)
-        if len(picks) % ROUNDS == 0:
-            state = stored(state)
+        if len(pending) >= PICKS:
+            state, pending = stored(state.mapInArrow(moved, "point_id long, coords array<double>, crit double")), []
+        seen = gathered(state, of, lambda a, b: a.merged(b, by.rank))
+        crit, first = seen.crit, True
+        rest = by.rank(seen.rest)  # criteria of the others at best; none where a cell has no others
+        others = np.isfinite(seen.lo[:, 0]) & (seen.rest < np.inf)
+        while True:
+            rank = by.rank(crit)
+            at = np.flatnonzero(rank == rank.min())
+            i = int(at[seen.ids[at].argmin()])
+            if not first and not rank[i] < by.rank(rest[others]).min(initial=np.inf):
+                break
+            pick, place = int(seen.ids[i]), seen.x[i]
+            picks.append((len(picks), pick, place.tolist()))
+            if observer is not None:
+                observer(len(picks) - 1, pick, float(crit[i]))
+            if len(picks) == k:
+                return spark.createDataFrame(picks, "pos long, point_id long, coords array<double>")
+            pending.append((pick, place))
+            crit = by.moved(crit, seen.ids, metric.matrix(seen.x, place[None])[:, 0], pick)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest[others] = by.step(rest[others], by.gap(_farthest(metric, seen.lo[others], seen.hi[others], place)))
+            first = False
 
 
 def select_greedy_maximin(points: DataFrame, k: int, existing: DataFrame | None = None, metric: Metric = EUCLIDEAN, seed: int = 0, observer: Observer | None = None) -> DataFrame:
@@ -70,27 +187,23 @@ def select_greedy_maximin(points: DataFrame, k: int, existing: DataFrame | None
 
     Picks are not taken out: where all points coincide with picks, the first point comes again.
     """
-    return _greedy(points, k, existing, seed, metric, lambda d: d.min(1), F.min, lambda c, d: F.least(c, d), metric.column, True, False, observer)
+    return _greedy(points, k, existing, seed, metric, Criterion(lambda d: d.min(1), F.min, np.minimum, lambda d: d, True, False), observer)
 
 
 def select_greedy_maxisum(points: DataFrame, k: int, existing: DataFrame | None = None, metric: Metric = EUCLIDEAN, seed: int = 0, observer: Observer | None = None) -> DataFrame:
     """Each pick has the largest sum of distances to the existing points and earlier picks."""
-    return _greedy(points, k, existing, seed, metric, lambda d: d.sum(1), F.sum, lambda c, d: c + d, metric.column, True, True, observer)
+    return _greedy(points, k, existing, seed, metric, Criterion(lambda d: d.sum(1), F.sum, np.add, lambda d: d, True, True), observer)
 
 
 def select_greedy_energy(points: DataFrame, k: int, dimension: int, existing: DataFrame | None = None, exponent: float | None = None, metric: Metric = EUCLIDEAN, seed: int = 0, observer: Observer | None = None) -> DataFrame:
     """Each pick has the least energy, the sum of 1 / d**e (e = 0: of log(1 / d)), with the existing points and earlier picks."""
     e = dimension + 1.0 if exponent is None else float(exponent)
 
-    def energy(a: Column, b: Column) -> Column:
-        d = metric.column(a, b)
-        return F.when(d == 0, F.lit(float("inf"))).otherwise(-F.log(d) if e == 0 else 1 / F.pow(d, F.lit(e)))
-
-    def energies(d: np.ndarray) -> np.ndarray:
+    def energy(d: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            return (-np.log(d) if e == 0 else 1 / d**e).sum(1)
+            return -np.log(d) if e == 0 else 1 / d**e
 
-    return _greedy(points, k, existing, seed, metric, energies, F.sum, lambda c, d: c + d, energy, False, True, observer)
+    return _greedy(points, k, existing, seed, metric, Criterion(lambda d: energy(d).sum(1), F.sum, np.add, energy, False, True), observer)
 
 
 def bounding_boxes(clusters: DataFrame, dimension: int) -> DataFrame:
@@ -104,26 +217,50 @@ def bounding_boxes(clusters: DataFrame, dimension: int) -> DataFrame:
 def psa_partition(points: DataFrame, k: int, dimension: int) -> DataFrame:
     """(cluster_id, point_id, coords): k clusters by halving the widest side of the widest cluster.
 
-    Of clusters with the same extent the one of the smaller id is split.
+    Of clusters with the same extent the one of the smaller id is split.  A part is never wider than the
+    whole, so the k - 1 clusters that are split are the widest nodes of the tree of all halvings: a round splits
+    every leaf that is as wide as the (k - 1)th widest node known, in one job, and the order of splits, which
+    gives the ids, is replayed over the boxes.  Rounds follow the depth of the tree; the driver holds a box for a node.
     """
     if k < 1:
         raise ValueError("at least one cluster is asked for")
-    state = stored(points.select(F.lit(0).cast("long").alias("cluster_id"), "point_id", "coords"))
-    boxes = {r["cluster_id"]: r for r in bounding_boxes(state, dimension).collect()}  # k rows at most
-    if not boxes:
-        raise ValueError("there are no points")
-    while len(boxes) < k:
-        widest = min(boxes.values(), key=lambda r: (-r["extent"], r["cluster_id"]))
-        if widest["extent"] == 0:
-            raise ValueError("fewer distinct points than clusters")
-        dim, new = widest["split_dim"], len(boxes)
-        middle = (widest["lo"][dim] + widest["hi"][dim]) / 2
-        right = (F.col("cluster_id") == widest["cluster_id"]) & (F.get("coords", F.lit(dim)) >= middle)
-        state = state.withColumn("cluster_id", F.when(right, F.lit(new).cast("long")).otherwise(F.col("cluster_id")))
-        if new % ROUNDS == 0:
-            state = stored(state)
-        boxes |= {r["cluster_id"]: r for r in bounding_boxes(state.where(F.col("cluster_id").isin(widest["cluster_id"], new)), dimension).collect()}
-    return state
+    base = stored(points.select("point_id", "coords"))
+    tree, boxes, fresh = BoxTree(), {}, {0}
+    while True:
+        found = leaf_boxes(base, tree, fresh)
+        if found is None:
+            raise ValueError("there are no points")
+        extents = found.hi - found.lo
+        for i, node in enumerate(found.node.tolist()):
+            side = int(extents[i].argmax())
+            boxes[node] = (float(extents[i, side]), side, float((found.lo[i, side] + found.hi[i, side]) / 2))
+        # replay: clusters by width, then id; the left part keeps the id
+        heap, clusters, short = [(-boxes[0][0], 0, 0)], 1, False
+        while clusters < k and not short:
+            width, name, node = heap[0]
+            if width == 0:
+                raise ValueError("fewer distinct points than clusters")
+            if short := tree.left[node] < 0:
+                break
+            heapq.heappop(heap)
+            heapq.heappush(heap, (-boxes[tree.left[node]][0], name, tree.left[node]))
+            heapq.heappush(heap, (-boxes[tree.right[node]][0], clusters, tree.right[node]))
+            clusters += 1
+        if not short:
+            break
+        widths = sorted((b[0] for b in boxes.values()), reverse=True)
+        least = widths[k - 2] if len(widths) >= k - 1 else 0.0
+        fresh = {part for node, (width, side, middle) in list(boxes.items()) if tree.left[node] < 0 and width > 0 and width >= least for part in tree.split(node, side, middle)}
+    names = np.full(len(tree), -1)
+    for _, name, node in heap:
+        names[node] = name
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = tree.leaves_of(vectors(batch), names >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(names[node], pa.int64()), batch["point_id"], batch["coords"]], ["cluster_id", "point_id", "coords"])
+
+    return base.mapInArrow(named, "cluster_id long, point_id long, coords array<double>")
 
 
 TARGETS = ("random_uniform", "center_of_mass", "centroid_of_hypercube", "max_dist_from_boundary")

@@ -7,12 +7,15 @@ are fingerprinted, and of these the ones with shared shingles enough for the
 threshold.  The fingerprints are looked up in six tables over six blocks of bits: two
 fingerprints that differ in at most RADIUS = 22 bits differ in at most three bits of
 some block, so looking up every key within three bits finds all items within the
-radius.  Each item found that has the window's size is compared with it exactly: the
-sum of smaller over the sum of larger multiplicities decides.
+radius.  The tables alone say which items a window is compared with: each that they
+find and that has the window's size is compared exactly, and the sum of smaller over
+the sum of larger multiplicities decides.
 
 Fingerprints of similar windows can be further apart than the radius where an item
-has few distinct shingles.  Such pairs are not lost: the item whose shingles brought
-a window up is compared with it whatever the distance, which is reported.
+has few distinct shingles.  Items of fewer than FEW_DISTINCT of them are therefore
+compared at any distance with the windows that their shingles bring up.  For others a
+window of similarity 0.75 lies beyond the radius about once in 10,000 (angle 0.54,
+so 11 of 64 bits differ on average, with a deviation of 3), and a passage has windows nearer than that.
 
 The items are a stated query set, held as flat arrays of about 40 bytes a shingle.
 ITEMS_PER_PASS bounds what a broadcast holds, and more items take more passes.
@@ -25,6 +28,7 @@ repeated rows are judged one by one; empty tables give empty results.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -35,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.frames import id_and_text, map_batches
-from pointloom.llm.textkernel import Texts, gram_starts, grams, slices
+from pointloom.llm.textkernel import Texts, gram_starts, grams, mix64, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 RADIUS = 22
 #: First bit and width of the blocks of a fingerprint.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Distinct shingles below which an item is compared at any distance.
+FEW_DISTINCT = 40
 ITEMS_PER_PASS = 100_000
 #: Shingles whose bits, and fingerprints whose keys, are held at a time.
 RUN, LOOKUPS = 1 << 14, 1 << 10
@@ -202,28 +208,37 @@ def find_leaks(texts: Texts, items: Items, similarity: float = SIMILARITY) -> li
     prints = np.concatenate(prints)
     run = np.repeat(np.arange(len(runs)), [len(r[3]) for r in runs])
     starts = np.concatenate([r[3] for r in runs])
-    # equal fingerprints are looked up once; an item that is found has to have the size of the window's own
+    # equal fingerprints are looked up once; an item that is found has to have the size that the window was cut for
     each, same = np.unique(prints, return_inverse=True)
     place, near, _ = items.within(each)
     by_print = np.searchsorted(place, np.arange(len(each) + 1))
     at, window = _ranges(by_print[same], by_print[same + 1])
-    own = np.array([r[1] for r in runs])[run]
-    fits = (items.words[near[at]] == items.words[own[window]]) & (near[at] != own[window])
-    window, item = np.concatenate([window[fits], np.arange(len(starts))]), np.concatenate([near[at][fits], own])
+    own, cut = (np.array([r[c] for r in runs])[run] for c in (1, 2))
+    fits = items.words[near[at]] == items.words[own[window]]
+    few = np.flatnonzero(np.diff(items.ptr)[own] < FEW_DISTINCT)
+    window, item = np.concatenate([window[fits], few]), np.concatenate([near[at][fits], own[few]])
+    # windows that hold the same shingles as often are as similar to an item
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(g))])
+    held = total[starts + cut - SHINGLE_WORDS + 1] - total[starts]
+    known: dict[tuple[int, int, int], float] = {}
     found: dict[tuple[int, int], dict[int, tuple[float, int, int]]] = {}
-    for w, i in zip(window.tolist(), item.tolist()):
-        d, _, k, _ = runs[run[w]]
-        s, kept = int(starts[w]), found.setdefault((d, i), {})
+    for w, i, s, k, h in zip(window.tolist(), item.tolist(), starts[window].tolist(), cut[window].tolist(), held[window].tolist()):
+        kept = found.setdefault((runs[run[w]][0], i), {})
         if s not in kept:
-            kept[s] = (items.similarity(i, g[s : s + k - SHINGLE_WORDS + 1]), int(np.bitwise_count(prints[w] ^ items.fingerprints[i])), k)
+            sim = known.get((i, k, h))
+            if sim is None:
+                sim = known[i, k, h] = items.similarity(i, g[s : s + k - SHINGLE_WORDS + 1])
+            if sim >= similarity:
+                kept[s] = (sim, w, k)
     out = []
     for (d, item), windows in found.items():
-        taken: list[tuple[int, int]] = []
-        for s, (sim, distance, k) in sorted(windows.items(), key=lambda x: (-x[1][0], x[0])):
-            if sim >= similarity and all(s + k <= t or s >= end for t, end in taken):
-                taken.append((s, s + k))
+        taken: list[int] = []  # ascending starts and ends of passages that do not meet, one after another
+        for s, (sim, w, k) in sorted(windows.items(), key=lambda x: (-x[1][0], x[0])):
+            place = bisect_right(taken, s)
+            if place % 2 == 0 and (place == len(taken) or s + k <= taken[place]):
+                taken[place:place] = (s, s + k)
                 first = s - int(words.ptr[d])
-                out.append((d, int(items.ids[item]), first, first + k, sim, distance))
+                out.append((d, int(items.ids[item]), first, first + k, sim, int(np.bitwise_count(prints[w] ^ items.fingerprints[item]))))
     return out
 
 

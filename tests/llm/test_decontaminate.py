@@ -105,3 +105,45 @@ def test_edges(spark, edges, small):
     short = spark.createDataFrame([(1, "one two"), (2, None), (3, "The quick brown fox jumps over the lazy dog.")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.leaks(edges, short).collect()} == {(7, 3)}
     assert D.drop_leaking(edges, short).where("doc_id = 7").count() == 0
+
+
+def planted(rng, words):
+    """Items of 60 words, and documents that hold them with some words changed."""
+    items = [(i, " ".join(rng.choices(words, k=60))) for i in range(200)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for at in rng.sample(range(60), rng.randint(0, 2)):
+            w[at] = "changed"
+        texts.append(" ".join(rng.choices(words, k=30) + w + rng.choices(words, k=30)))
+    return D.Items.of(items), texts
+
+
+def test_tables_propose_the_items(monkeypatch):
+    """What is found comes from the tables: nearly all similar passages, and none where the tables are empty."""
+    rng = random.Random(8)
+    items, texts = planted(rng, [f"v{i}" for i in range(5000)])
+    ((_, batch),) = list(D.slices(D.pa.array(texts), 1 << 30))
+    found = {(d, item) for d, item, *_ in D.find_leaks(batch, items)}
+    want = {(i, int(k)) for i, k in enumerate(items.ids) if max(items.similarity(i, g) for g in _windows(texts[i])) >= D.SIMILARITY}
+    assert len(found & want) >= 0.98 * len(want) and found <= want and len(want) > 100
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(D.Items, "within", lambda self, prints: (none, none, none))
+    assert not D.find_leaks(batch, items)
+
+
+def _windows(text):
+    ((_, one),) = list(D.slices(D.pa.array([text])))
+    g = D.grams(one.lowered().words().hashes(), 5)
+    return [g[s : s + 56] for s in range(len(g) - 55)]
+
+
+def test_many_repeats_in_one_text():
+    import time
+
+    item = " ".join(f"w{i}" for i in range(12))
+    items = D.Items.of([(1, item), (2, " ".join(f"u{i}" for i in range(60)))])
+    ((_, texts),) = list(D.slices(D.pa.array([" ".join([item] * 20_000)]), 1 << 30))
+    start = time.time()
+    found = D.find_leaks(texts, items)
+    assert len(found) == 20_000 and time.time() - start < 5

@@ -15,9 +15,10 @@
 A cell holds two blocks of bounded size.  The largest tree of a group is never
 compared with itself: a member of it goes to as many cells as the other members
 fill blocks, so rows grow with a group's size while one tree holds most of it.
-They grow with the size times the number of blocks only in a group of many
-thousands that share a band key and are not near copies, where no cheaper exact
-way is known.  A pair of similarity 0.75 shares no band with probability 5e-6 and
+They grow with the size times the number of blocks in a group of many thousands
+whose estimates are near the threshold and which are not near copies: a block of
+whole sets has BLOCK_DOCS documents and BLOCK_SHINGLES shingles at most, so that
+32,768 such documents of 100 shingles go to eight or nine cells each.  A pair of similarity 0.75 shares no band with probability 5e-6 and
 falls below the estimate's margin with 3e-7.
 
 Defined cases: words are runs of anything but ASCII white space after A-Z are
@@ -52,7 +53,9 @@ LOW_BITS = 4
 #: Margin of the estimate: five standard errors of 128 four-bit comparisons at the threshold.
 MARGIN = 0.2
 #: Documents of a block of signatures (80 bytes each), and documents and shingles of a block of whole sets.
-BLOCK_SIGNATURES, BLOCK_DOCS, BLOCK_SHINGLES = 16_384, 1024, 1_000_000
+BLOCK_SIGNATURES, BLOCK_DOCS, BLOCK_SHINGLES = 16_384, 4096, 1_000_000
+#: Sets of one product of incidence matrices with all others of a cell.
+LINK_ROWS = 1024
 
 _FACTORS = (mix64(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MASKS = (mix64(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(7777)) >> np.uint64(32)).astype(np.uint32)
@@ -316,19 +319,36 @@ def exact_links(sets: list[np.ndarray], others: list[np.ndarray] | None = None,
     row, column = row[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    # shingles that the same sets hold, as those of a template, are one column with a weight
+    begin = np.flatnonzero(np.append(True, column[1:] != column[:-1])) if len(column) else np.zeros(0, np.int64)
+    holders = np.add.reduceat(mix64(row.astype(np.uint64)), begin) if len(column) else np.zeros(0, np.uint64)
+    _, first_of, weight = np.unique(holders, return_index=True, return_counts=True)
+    renumbered = np.full(len(begin), -1)
+    renumbered[first_of] = np.arange(len(first_of))
+    column = renumbered[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    # sums of whole numbers stay exact
+    kind = np.float32 if len(flat) < 1 << 24 else np.float64
     width = max(256, (1 << 22) // m)
-    first = slice(0, n)
-    second = slice(n, m) if others else first
-    common = np.zeros((n, second.stop - second.start), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[a:b], column[a:b] - lo] = 1
-        common += x[first] @ x[second].T
-    both = common.astype(np.int64)
-    linked = 100 * both >= threshold * (sizes[first, None] + sizes[None, second] - both)
-    i, j = np.nonzero(linked if others else np.triu(linked, 1))
-    return i, j + second.start
+    begin_others = n if others else 0
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for top in range(0, n, LINK_ROWS):
+        own = slice(top, min(top + LINK_ROWS, n))
+        second = slice(begin_others if others else top, m)
+        common = np.zeros((own.stop - own.start, second.stop - second.start), kind)
+        for lo in range(0, len(weight), width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            x = np.zeros((m, min(width, len(weight) - lo)), kind)
+            x[row[a:b], column[a:b] - lo] = 1
+            common += (x[own] * weight[lo : lo + width].astype(kind)) @ x[second].T
+        both = common.astype(np.int64)
+        linked = 100 * both >= threshold * (sizes[own, None] + sizes[None, second] - both)
+        i, j = np.nonzero(linked if others else np.triu(linked, 1))
+        found.append((i + own.start, j + second.start))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return i, j
 
 
 def _confirmed(cells: DataFrame) -> DataFrame:

@@ -104,3 +104,28 @@ def test_components(spark):
     assert forest(5, np.array([3, 4]), np.array([4, 1])).tolist() == [0, 1, 2, 1, 1]
     chain = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 3)], "node long, parent long")
     assert {r.node: r.component for r in roots(chain).collect()} == {i + 1: 0 for i in range(30)} | {50: 0}
+
+
+def test_exact_links_equal_brute_force(monkeypatch):
+    """Templates with words of their own, copies and strangers, also where products are cut into small blocks."""
+    rng = np.random.default_rng(5)
+    template = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([template[: rng.integers(150, 300)], rng.integers(0, 1 << 60, rng.integers(1, 90)).astype(np.uint64)])) for _ in range(70)]
+    sets += [sets[3], sets[3][:-2], rng.integers(0, 1 << 60, 40).astype(np.uint64)]
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j])}
+    for rows in (1024, 20):
+        monkeypatch.setattr(M, "LINK_ROWS", rows)
+        assert set(zip(*(x.tolist() for x in M.exact_links(sets)))) == want and 0 < len(want) < len(sets) ** 2 / 2
+        across = set(zip(*(x.tolist() for x in M.exact_links(sets[:30], sets[30:]))))
+        assert across == {(i, j) for i, j in want if i < 30 <= j}
+
+
+def test_whole_sets_of_a_template_go_to_few_cells(spark):
+    """32,768 documents near the threshold and not linked, with the sizes of blocks as they are."""
+    n = 32_768
+    members = spark.range(n).selectExpr("7L AS low", "id AS doc_id", "id AS tree", "100L AS n_shingles")
+    cells = M._in_cells(M._mixed(members, "low", M.BLOCK_DOCS, M.BLOCK_SHINGLES), "low")
+    assert cells.count() <= 20 * n
+    largest = cells.groupBy("one", "two").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert largest <= 2.3 * M.BLOCK_DOCS

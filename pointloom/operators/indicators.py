@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions.metrics import EUCLIDEAN, Metric, boundary_distance
 from pointloom.functions.numbers import binomial
@@ -178,18 +179,23 @@ def covering_radius_1d(points: DataFrame) -> DataFrame:
 EXACT_POINTS = {"covering_radius": 40, "solow_polasky": 5000, "weitzman": 16}
 
 
-def _whole(points: DataFrame, name: str, measure: Callable[[np.ndarray], float]) -> DataFrame:
-    """A measure of the whole set in one task, for a set of bounded size; larger sets are refused."""
+def _whole(points: DataFrame, name: str, measure: Callable[[np.ndarray], float], by: str | None = None) -> DataFrame:
+    """A measure of whole sets, each in one task, for sets of bounded size; larger ones are refused."""
     most = EXACT_POINTS[name]
-    few = points.select("point_id", "coords", F.lit(0).alias("whole")).orderBy("point_id").limit(most + 1)
+    few = points.select("point_id", "coords", *([by] if by else [F.lit(0).alias("whole")]))
+    if not by:
+        few = few.orderBy("point_id").limit(most + 1)
+    key = by or "whole"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > most:
             raise ValueError(f"{name} takes {most} points at most")
         x = np.array(rows.sort_values("point_id")["coords"].tolist(), float)
-        return pd.DataFrame({"value": [measure(x)]})
+        return pd.DataFrame({key: [rows[key].iloc[0]], "value": [measure(x)]})
 
-    return few.groupBy("whole").applyInPandas(run, "value double")
+    fields = T.StructType([T.StructField(key, few.schema[key].dataType), T.StructField("value", T.DoubleType())])
+    out = few.groupBy(key).applyInPandas(run, fields)
+    return out if by else out.select("value")
 
 
 def covering_radius_by_boxes(points: DataFrame, dimension: int, tolerance: float = 1e-7) -> DataFrame:
@@ -252,12 +258,49 @@ def covering_radius(points: DataFrame, dimension: int, margin: float = 1e-8, tol
     return _whole(points, "covering_radius", measure)
 
 
-def solow_polasky_diversity(points: DataFrame, activity: float = 1.0, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Sum of the pseudo-inverse of exp(-activity * distance)."""
-    return _whole(points, "solow_polasky", lambda x: float(np.linalg.pinv(np.exp(-activity * metric.matrix(x, x)), hermitian=True).sum()))
+def solow_polasky_diversity(points: DataFrame, activity: float = 1.0, metric: Metric = EUCLIDEAN, by: str | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Sum of the pseudo-inverse of exp(-activity * distance).
 
+    Sets of few points are inverted whole, one to a task; where a set is larger, the sum of the solution of
+    A x = 1 is found by conjugate gradients, whose products run over cells of pairs, until the residual is
+    below ``tolerance`` of the right side. Points at one place are one, as in the pseudo-inverse.
+    """
+    most = EXACT_POINTS["solow_polasky"]
+    sizes = points.groupBy(by).count().where(F.col("count") > most) if by else points.limit(most + 1).groupBy().count().where(F.col("count") > most)
+    if sizes.isEmpty():
+        return _whole(points, "solow_polasky", lambda x: float(np.linalg.pinv(np.exp(-activity * metric.matrix(x, x)), hermitian=True).sum()), by)
+    return _solow_polasky_by_products(points, activity, metric, by, tolerance)
+
+
+def _solow_polasky_by_products(points: DataFrame, activity: float, metric: Metric, by: str | None, tolerance: float, most_steps: int = 1000) -> DataFrame:
+    """Conjugate gradients of all groups at once; a step is a product over cells and two sums for each group."""
+    group = F.col(by) if by else F.lit(0)
 
-def weitzman_diversity(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
+    def kernel(ids, x, other, y, same):
+        a = np.exp(-activity * metric.matrix(x[:, :-1], y[:, :-1]))
+        if same:
+            return {"point_id": ids, "q": a @ x[:, -1]}
+        return {"point_id": np.concatenate([ids, other]), "q": np.concatenate([a @ y[:, -1], x[:, -1] @ a])}
+
+    one = F.lit(1.0)
+    state = stored(points.groupBy(group.alias("set"), "coords").agg(F.min("point_id").alias("point_id")).select("set", "point_id", "coords", F.lit(0.0).alias("x"), one.alias("r"), one.alias("p")))
+    for _ in range(most_steps):
+        weighted = state.select("set", "point_id", F.concat("coords", F.array("p")).alias("coords"))
+        q = pair_partials(weighted, None, kernel, "point_id long, q double", by="set").groupBy("set", "point_id").agg(F.sum("q").alias("q"))
+        met = stored(state.join(q, ["set", "point_id"]))
+        along = met.groupBy("set").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"))
+        step = F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(F.lit(0.0))
+        moved = stored(met.join(along, "set").select("set", "point_id", "coords", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p", "rr"))
+        left = stored(moved.groupBy("set").agg(F.sum(F.col("r") * F.col("r")).alias("new"), F.count("*").alias("n")))
+        if left.where(F.col("new") > tolerance**2 * F.col("n")).isEmpty():
+            total = moved.groupBy("set").agg(F.sum("x").alias("value"))
+            return total.withColumnRenamed("set", by) if by else total.select("value")
+        turn = F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(F.lit(0.0))
+        state = stored(moved.join(left, "set").select("set", "point_id", "coords", "x", "r", (F.col("r") + turn * F.col("p")).alias("p")))
+    raise ValueError("the conjugate gradients have not settled")
+
+
+def weitzman_diversity(points: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
     """Best order of taking away one end of the closest pair, plus its distance; 1 for a single point."""
 
     def measure(x: np.ndarray) -> float:
@@ -274,7 +317,7 @@ def weitzman_diversity(points: DataFrame, metric: Metric = EUCLIDEAN) -> DataFra
 
         return of(frozenset(range(len(x))))
 
-    return _whole(points, "weitzman", measure)
+    return _whole(points, "weitzman", measure, by)
 
 
 #: Dimensions up to which pairs are summed by dominance; in more of them the levels outgrow the pairs.

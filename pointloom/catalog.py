@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import numbers, transforms
 from pointloom.functions.metrics import Metric, unit_torus
-from pointloom.operators import distances, indicators, matching, neighbours, refine, selection
+from pointloom.operators import distances, indicators, matching, neighbours, refine, selection, tessellation
 from pointloom.plans import designs, randomizer, sequences, strata
 from pointloom.plans.ranks import ranked
 from pointloom.schema import points_from
@@ -281,6 +281,26 @@ def _farthest(spark: SparkSession, points: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(gap)).select(F.round("value", 6).alias("value"), (F.abs(F.col("gap") - F.col("value")) < 1e-9).alias("reached"))  # one row each
 
 
+@query("voronoi_parts_audit", f"WITH {P2} SELECT count(*) AS n, 1.0::DOUBLE AS area, true AS reached FROM p2")
+def _tessellated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all part places: there is one for each, they fill the square once, and the farthest corner is that far from all places."""
+    points = part_points(spark, sf_dir)
+    cells = tessellation.voronoi_cells(points)
+    whole = tessellation.areas_of(cells).agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area"))
+    corners = tessellation.vertices_of(cells)
+    probes = corners.select(F.monotonically_increasing_id().alias("point_id"), "coords")
+    widest = corners.agg(F.max("dist").alias("widest"))
+    met = indicators.covering_radius_lower_bound(points, probes).crossJoin(F.broadcast(widest))  # one row each
+    return whole.crossJoin(F.broadcast(met)).select("n", "area", (F.abs(F.col("value") - F.col("widest")) < 1e-9).alias("reached"))
+
+
+@query("voronoi_supplier_halves", "WITH p AS (SELECT s_suppkey AS point_id, (s_acctbal + 1000) / 11000.0::DOUBLE AS x FROM supplier), c AS (SELECT x, min(point_id) AS point_id FROM p GROUP BY x), g AS (SELECT point_id, x, lag(x) OVER (ORDER BY x) AS below, lead(x) OVER (ORDER BY x) AS above FROM c) SELECT point_id, round(coalesce((x + above) / 2, 1) - coalesce((x + below) / 2, 0), 6) AS area FROM g")
+def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the square next to each supplier by balance: strips, as all lie on one line."""
+    points = points_from(_table(spark, sf_dir, "supplier").withColumn("half", F.lit(0.5)), "s_suppkey", "s_acctbal", "half")
+    return rounded(tessellation.areas_of(tessellation.voronoi_cells(transforms.scaled(points, ([-1000.0, 0.0], [10000.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])))), "area")
+
+
 query("l2_discrepancy", "WITH p AS (SELECT p_partkey AS id, (p_size - 1) / 49.0::DOUBLE AS x, (p_retailprice - 900) / 100.0::DOUBLE AS y FROM part), s AS (SELECT sum((1 - greatest(a.x, b.x)) * least(a.x, b.x) * (1 - greatest(a.y, b.y)) * least(a.y, b.y)) AS pairs FROM p a, p b), t AS (SELECT sum(x * (1 - x) * y * (1 - y)) AS singles, count(*)::DOUBLE AS n FROM p) SELECT round(sqrt(pairs / (n * n) - singles * 0.5::DOUBLE / n + 1 / 144.0::DOUBLE), 6) AS value FROM s, t")(
     lambda spark, d: rounded(indicators.unanchored_l2_discrepancy(part_points(spark, d, distinct=False), 2))
 )

@@ -22,6 +22,7 @@ from pointloom.functions.numbers import binomial
 from pointloom.operators.dominance import dominance_sums
 from pointloom.operators.neighbours import has_triangles, nearest_places, places
 from pointloom.operators.pairs import pair_partials
+from pointloom.operators.tessellation import vertices_of, voronoi_cells
 from pointloom.plans.ranks import stored
 from pointloom.schema import unitcube, vector
 
@@ -227,7 +228,9 @@ def covering_radius_by_boxes(points: DataFrame, dimension: int, tolerance: float
 
 
 def covering_radius(points: DataFrame, dimension: int, margin: float = 1e-8, tolerance: float = 1e-7) -> DataFrame:
-    """Covering radius in the unit cube: exact in one dimension and for few points, otherwise by boxes, to a tolerance.
+    """Covering radius in the unit cube: exact in one or two dimensions and for few points, otherwise by boxes, to a tolerance.
+
+    In two dimensions it is the farthest corner of the cells of ``tessellation``.
 
     For few points the farthest place is a corner of the cells of points and their mirror images: each set of
     dimension + 1 of them gives a centre of equal distance, which counts where it lies in the cube.
@@ -236,6 +239,8 @@ def covering_radius(points: DataFrame, dimension: int, margin: float = 1e-8, tol
         return covering_radius_1d(points)
     most = EXACT_POINTS["covering_radius"]
     if points.limit(most + 1).count() > most:
+        if dimension == 2:
+            return vertices_of(voronoi_cells(points)).agg(F.max("dist").alias("value"))
         return covering_radius_by_boxes(points, dimension, tolerance).select("value")
 
     def measure(x: np.ndarray) -> float:

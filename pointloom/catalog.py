@@ -7,6 +7,7 @@ audit rows, whose values follow from their definition whatever the seed.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pointloom.functions import numbers, transforms
 from pointloom.functions.metrics import Metric, unit_torus
 from pointloom.operators import distances, indicators, matching, neighbours, refine, selection, tessellation
 from pointloom.plans import designs, randomizer, sequences, strata
-from pointloom.plans.ranks import ranked
+from pointloom.plans.ranks import ranked, shared_folder
 from pointloom.schema import points_from
 from pointloom.sources import entropy
 
@@ -513,6 +514,16 @@ query("index_ambience_audit", "SELECT count(DISTINCT o_custkey) AS n, count(DIST
     lambda spark, d: randomizer.Randomizer(spark, _count(spark, d, "customer"), 1).ambience(_table(spark, d, "orders").select(F.col("o_custkey").alias("value")), whole=True).agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 )
 
+
+@query("entropy_sink", f"WITH {_WORDS} SELECT count(*) AS n, sum(word)::BIGINT AS total, max(pos) AS last FROM w")
+def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of events, written by the sink into the shared folder and read from its files."""
+    entropy.register(spark)
+    path = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    _words(spark, sf_dir).write.format("entropy").mode("append").save(path)
+    return spark.read.schema("pos long, word long").csv(path).agg(F.count("*").alias("n"), F.sum("word").alias("total"), F.max("pos").alias("last"))
+
+
 # matching
 
 query("match_orders_parts_audit", "SELECT count(DISTINCT l_partkey) AS size, true AS proper, true AS largest FROM lineitem")(lambda spark, d: _best_match(spark, d))

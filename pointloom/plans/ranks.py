@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that spark.checkpoint.dir names; one of our own only in local mode, as in tests."""
-    session = df.sparkSession
+def shared_folder(session: SparkSession) -> str:
+    """The folder of this context in what spark.checkpoint.dir names; one of our own only in local mode, as in tests."""
     context = session.sparkContext
     if not context.getCheckpointDir():
         named = session.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

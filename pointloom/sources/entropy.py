@@ -1,9 +1,10 @@
 """External entropy: a data source of 16-bit words, and integers made of them.
 
-``register(spark)`` adds the format "entropy" for batch and streaming reads.
+``register(spark)`` adds the format "entropy" for batch and streaming reads and writes (see ``sink``).
 By default it reads recorded values (option ``words``, separated by commas);
 with option ``url`` it asks a service that answers with JSON, over TLS as it
-comes.  Nothing is asked unless a url is given.  Option ``type`` is "uint16"
+comes.  Nothing is asked unless a url is given.  Option ``log`` keeps what a
+service gave, so that a block read again is the same; live streams need it.  Option ``type`` is "uint16"
 (rows pos, word), "hex16" (pos, block) or "integers" (pos, value: a sequence
 between options ``low`` and ``high``, with the caller's ``key``).
 """
@@ -18,9 +19,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition
 from pyspark.sql.types import StructType
 
+from pointloom.sources.blocklog import BlockLog
+from pointloom.sources.sink import EntropyStreamWriter, EntropyWriter
+
 WORD_BITS = 16
 #: Bounds of the service (fixed values): kinds of data, values of a block.
 KINDS, MOST = ("uint16", "hex16"), 1024
@@ -70,15 +74,21 @@ class _Words:
         self.size = int(options.get("size", 1))
         self.low, self.high, self.key = int(options.get("low", 0)), int(options.get("high", 1)), options.get("key", "")
         self.recorded = [w.strip() for w in options.get("words", "").split(",") if w.strip()]
+        self.log = BlockLog(options["log"]) if options.get("log") else None
         self.blocks = int(options.get("blocks", 1 if self.url else -(-len(self.recorded) // self.block)))
 
+    def ask(self) -> list:
+        if self.kind == "integers":
+            return fetch_integers(self.url, self.key, self.block, self.low, self.high)
+        return fetch(self.url, self.kind, self.block, self.size)
+
     def read(self, block: int) -> Iterator[tuple]:
-        if not self.url:
-            values = self.recorded[block * self.block : (block + 1) * self.block]
-        elif self.kind == "integers":
-            values = fetch_integers(self.url, self.key, self.block, self.low, self.high)
+        if self.url and self.log:
+            values = self.log.values(block, self.ask)
+        elif self.url:
+            values = self.ask()
         else:
-            values = fetch(self.url, self.kind, self.block, self.size)
+            values = self.recorded[block * self.block : (block + 1) * self.block]
         for i, value in enumerate(values):
             yield block * self.block + i, str(value) if self.kind == "hex16" else int(value)
 
@@ -98,25 +108,40 @@ class EntropyReader(DataSourceReader):
         return self.words.read(partition.value)
 
 
-class EntropyStream(SimpleDataSourceStreamReader):
-    """A block for each trigger; the offset counts blocks."""
+class EntropyStream(DataSourceStreamReader):
+    """Blocks by partition; the offset counts blocks.
+
+    A recorded stream ends with its last block. A live one goes on, option ``trigger`` blocks at a time (1), to
+    option ``blocks`` where that is given; it needs option ``log``, a folder of its own (see ``blocklog``), by
+    which a batch that is read again after a failure or a restart has the same values.
+    """
 
     def __init__(self, options: dict) -> None:
         self.words = _Words(options)
+        self.trigger, self.ends = int(options.get("trigger", 1)), "blocks" in options
+        if self.trigger < 1:
+            raise ValueError("trigger must be positive")
+        if self.words.url and not self.words.log:
+            raise ValueError("a live stream needs the option log")
 
     def initialOffset(self) -> dict:
         return {"block": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple[int, int]], dict]:
-        if not self.words.url and start["block"] >= self.words.blocks:
-            return iter([]), start
-        return iter(list(self.words.read(start["block"]))), {"block": start["block"] + 1}
+    def latestOffset(self) -> dict:
+        if not self.words.url:
+            return {"block": self.words.blocks}
+        reached = self.words.log.count() + self.trigger
+        return {"block": min(reached, self.words.blocks) if self.ends else reached}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Block(k) for k in range(start["block"], end["block"])]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, int]]:
-        return (row for k in range(start["block"], end["block"]) for row in self.words.read(k))
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.words.read(partition.value)
 
     def commit(self, end: dict) -> None:
-        pass
+        if self.words.log:
+            self.words.log.forget(end["block"])
 
 
 class EntropySource(DataSource):
@@ -130,9 +155,15 @@ class EntropySource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return EntropyReader(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return EntropyStream(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return EntropyWriter(self.options, schema, overwrite)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return EntropyStreamWriter(self.options, schema)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(EntropySource)

@@ -21,6 +21,7 @@ from pointloom.plans import designs, randomizer, sequences, strata
 from pointloom.plans.ranks import ranked, shared_folder
 from pointloom.schema import points_from
 from pointloom.sources import entropy
+from pointloom.streaming import means
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -524,6 +525,25 @@ def _written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("pos long, word long").csv(path).agg(F.count("*").alias("n"), F.sum("word").alias("total"), F.max("pos").alias("last"))
 
 
+@query("running_centres_audit", "SELECT 3 AS n, round(count(*) + 3.0::DOUBLE, 6) AS weight, round((sum(value) + 550) / (count(*) + 3), 6) AS mean FROM events")
+def _centres_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of a stream of all event values: means keep the sum of what they have taken in, the first centres included."""
+    events, root = _table(spark, sf_dir, "events"), f"{shared_folder(spark)}/centres-{uuid.uuid4().hex}"
+    initial = spark.createDataFrame([(0, [0.0], 1.0), (1, [50.0], 1.0), (2, [500.0], 1.0)], "centre long, coords array<double>, weight double")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_id").alias("point_id"), F.array("value").alias("coords"))
+    name, schema = "spark.sql.streaming.stateStore.providerClass", "shard long, centre long, coords array<double>, weight double"
+    before = spark.conf.get(name)
+    spark.conf.set(name, means.STORE)
+    try:
+        centres = means.centres_from(stream, initial).writeStream.outputMode("update").foreachBatch(lambda given, _: given.write.mode("append").parquet(f"{root}/given"))
+        centres.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    merged = means.merged_centres(spark.read.schema(schema).parquet(f"{root}/given"), initial)
+    x = F.get("coords", 0)
+    return rounded(merged.agg(F.count("*").cast("int").alias("n"), F.sum("weight").alias("weight"), (F.sum(F.col("weight") * x) / F.sum("weight")).alias("mean")), "weight", "mean")
+
+
 # matching
 
 query("match_orders_parts_audit", "SELECT count(DISTINCT l_partkey) AS size, true AS proper, true AS largest FROM lineitem")(lambda spark, d: _best_match(spark, d))

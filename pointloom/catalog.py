@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import numbers, transforms
 from pointloom.functions.metrics import Metric, unit_torus
 from pointloom.operators import distances, indicators, matching, neighbours, refine, selection, tessellation
-from pointloom.plans import designs, randomizer, sequences, strata
+from pointloom.plans import designs, randomizer, sequences, strata, tablefunctions
 from pointloom.plans.ranks import ranked, shared_folder
 from pointloom.schema import points_from
 from pointloom.sources import entropy
@@ -262,10 +262,10 @@ query("cr_upper", f"{_SQUARE} SELECT round(sqrt(2.0::DOUBLE) / (2 * k), 6) AS va
 query("cr_upper_parts", f"WITH {P2}, {_GRID_OF_PARTS} SELECT round(max({_CORNER}), 6) AS value FROM b")(lambda spark, d: rounded(indicators.covering_radius_upper_bound(part_points(spark, d), _boxes_of_parts(spark, d))))
 
 
-def _boxes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boxes_of_parts(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     """The cell of a grid of sixteen by sixteen that each part lies in."""
     low = F.transform("coords", lambda x: F.least(F.floor(x * 16), F.lit(15)) / 16.0)
-    return part_points(spark, sf_dir).select(F.col("point_id").alias("stratum_id"), low.alias("lo"), F.transform(low, lambda x: x + 1 / 16).alias("hi"))
+    return part_points(spark, sf_dir, distinct).select(F.col("point_id").alias("stratum_id"), low.alias("lo"), F.transform(low, lambda x: x + 1 / 16).alias("hi"))
 
 
 query("cr_exact_1d", "WITH p AS (SELECT (c_acctbal + 1000) / 11000.0::DOUBLE AS x FROM customer), g AS (SELECT x, (x - lag(x) OVER (ORDER BY x)) / 2 AS gap FROM p) SELECT round(greatest(max(gap), min(x), 1 - max(x)), 6) AS value FROM g")(
@@ -337,6 +337,53 @@ def _supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+# table functions
+
+_BRANDS = "b AS (SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1)"
+_HALTON_OF_BRANDS = f"h AS (SELECT brand, i AS point_id, {VDC.format(b=2, n=24)} AS x, {VDC.format(b=3, n=15)} AS y FROM (SELECT brand, unnest(range(1, n + 1)) AS i FROM b) t)"
+
+
+def _sizes(spark: SparkSession, sf_dir: str, name: str, group: str, alias: str) -> DataFrame:
+    """(group, n): rows of each value of a column."""
+    return _table(spark, sf_dir, name).groupBy(F.col(group).alias(alias)).agg(F.count("*").alias("n"))
+
+
+def _halton_of_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many Halton points as a brand has parts, from index 1 on, for each brand."""
+    return tablefunctions.generated(_sizes(spark, sf_dir, "part", "p_brand", "brand"), "halton_points({first}, {n}, 2)", 1).drop("n")
+
+
+query("halton_by_brand", f"WITH {_BRANDS}, {_HALTON_OF_BRANDS} SELECT brand, point_id, round(x, 6) AS x0, round(y, 6) AS x1 FROM h")(lambda spark, d: rounded(_halton_of_brands(spark, d), "x0", "x1"))
+query("cr_lower_by_brand", f"WITH {_BRANDS}, {_HALTON_OF_BRANDS}, {_P_BRAND}, m AS (SELECT a.brand, a.point_id, min({D2}) AS d FROM h a JOIN p b USING (brand) GROUP BY 1, 2) SELECT brand, round(max(d), 6) AS value FROM m GROUP BY 1")(
+    lambda spark, d: rounded(indicators.covering_radius_lower_bound(brand_points(spark, d), _halton_of_brands(spark, d).select("brand", "point_id", F.array("x0", "x1").alias("coords")), by="brand"))
+)
+query("cr_upper_by_brand", f"WITH {_P_BRAND}, b AS (SELECT brand, x, y, least(floor(x * 16), 15) / 16 AS lx, least(floor(y * 16), 15) / 16 AS ly FROM p) SELECT brand, round(max({_CORNER}), 6) AS value FROM b GROUP BY 1")(
+    lambda spark, d: rounded(indicators.covering_radius_upper_bound(brand_points(spark, d), _boxes_of_parts(spark, d, distinct=False), by="brand"))
+)
+query("sobol_by_nation", f"""
+WITH v(dim, k, n) AS (VALUES {_directions_sql(3)}), s AS (SELECT s_nationkey AS nation, unnest(range(1, count(*) + 1)) AS i FROM supplier GROUP BY 1),
+x AS (SELECT nation, i, dim, bit_xor(CASE WHEN (xor(i, i >> 1) >> k) & 1 = 1 THEN n ELSE 0 END) / pow(2, 30) AS x FROM s, v GROUP BY 1, 2, 3)
+SELECT nation, i AS point_id, {", ".join(f"round(max(x) FILTER (dim = {j}), 6) AS x{j}" for j in range(3))} FROM x GROUP BY 1, 2
+""")(lambda spark, d: rounded(tablefunctions.generated(_sizes(spark, d, "supplier", "s_nationkey", "nation"), "sobol_points({first}, {n}, 3)", 1).drop("n"), "x0", "x1", "x2"))
+query("lattice_by_segment", "WITH s AS (SELECT c_mktsegment AS segment, count(*) AS n, unnest(range(count(*))) AS i FROM customer GROUP BY 1) SELECT segment, i AS point_id, round(i / n::DOUBLE, 6) AS x0, round(((i * 7) % n) / n::DOUBLE, 6) AS x1 FROM s")(
+    lambda spark, d: rounded(tablefunctions.generated(_sizes(spark, d, "customer", "c_mktsegment", "segment"), "lattice_points({first}, {n}, n, array(1, 7))").drop("n"), "x0", "x1")
+)
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest square of as many cells as a priority has orders, for each priority."""
+    side = F.floor(F.sqrt("n"))
+    return _sizes(spark, sf_dir, "orders", "o_orderpriority", "priority").select("priority", side.alias("k"), (side * side).alias("n"))
+
+
+_PRIORITIES = "k AS (SELECT o_orderpriority AS priority, floor(sqrt(count(*)))::BIGINT AS k FROM orders GROUP BY 1), g AS (SELECT priority, k, unnest(range(k * k)) AS i FROM k)"
+query("strata_by_priority", f"WITH {_PRIORITIES} SELECT priority, i AS stratum_id, round((i // k) / k::DOUBLE, 6) AS lo0, round((i % k) / k::DOUBLE, 6) AS lo1, round((i // k + 1) / k::DOUBLE, 6) AS hi0, round((i % k + 1) / k::DOUBLE, 6) AS hi1 FROM g")(
+    lambda spark, d: rounded(tablefunctions.generated(_squares(spark, d), "conventional_strata({first}, {n}, k, 2)").drop("n", "k"), "lo0", "lo1", "hi0", "hi1")
+)
+query("sukharev_by_priority", f"WITH {_PRIORITIES} SELECT priority, i AS point_id, round((i // k + 0.5::DOUBLE) / k, 6) AS x0, round((i % k + 0.5::DOUBLE) / k, 6) AS x1 FROM g")(
+    lambda spark, d: rounded(tablefunctions.generated(_squares(spark, d), "sukharev_points({first}, {n}, k, 2)").drop("n", "k"), "x0", "x1")
+)
+
 # selection
 
 _KINDS = {
@@ -421,14 +468,20 @@ def _in_strata(spark: SparkSession, n: int, latin: str, bates: float = 1) -> Dat
 for _latin, _bates in (("none", 1), ("none", 3), ("approx", 1), ("matching", 1)):
     query(f"stratified_{_latin}{'_bates' if _bates > 1 else ''}_audit", "SELECT count(*) AS n, true AS inside, true AS latin FROM supplier")(lambda spark, d, l=_latin, b=_bates: _in_strata(spark, _count(spark, d, "supplier"), l, b))
 
-query("strata_from_points_audit", f"WITH {P2} SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM p2 WHERE id < 200")(
-    lambda spark, d: _around(part_points(spark, d).where("point_id < 200"))
+query("strata_from_points_audit", "SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier) s")(
+    lambda spark, d: _around(_supplier_places(spark, d))
 )
 query("strata_from_all_points_audit", f"WITH {P2} SELECT count(*) AS n, true AS inside, 1.0::DOUBLE AS total FROM p2")(
     lambda spark, d: _around(part_points(spark, d))
 )
 
 
+def _supplier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points (balance, nation) of the unit square; equal points once."""
+    places = _table(spark, sf_dir, "supplier").groupBy("s_acctbal", "s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    return transforms.scaled(points_from(places, "s_suppkey", "s_acctbal", "s_nationkey"), ([-1000.0, 0.0], [10000.0, 24.0]), ([0.0, 0.0], [1.0, 1.0]))
+
+
 def _around(points: DataFrame) -> DataFrame:
     boxes = strata.reconstruct_strata_from_points(points, 2, 3)
     inside = F.forall(F.arrays_zip("coords", "lo", "hi"), lambda s: (s["coords"] >= s["lo"]) & (s["coords"] <= s["hi"]))

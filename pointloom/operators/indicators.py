@@ -140,16 +140,16 @@ def averaged_hausdorff_dist(points: DataFrame, others: DataFrame, exponent: floa
     return _measured(_nearest_of_both(points, others, metric, by).groupBy(*([by] if by else []), "side").agg(side), by, F.max("value").alias("value"))
 
 
-def covering_radius_lower_bound(points: DataFrame, probes: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Largest distance of a probe to its nearest point; infinite without points."""
-    return _near(probes, points, metric).agg(F.coalesce(F.max("dist"), F.lit(float("inf"))).alias("value"))
+def covering_radius_lower_bound(points: DataFrame, probes: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
+    """Largest distance of a probe to its nearest point; infinite without points.  With ``by`` for each group that both sets have."""
+    return _measured(_near(probes, points, metric, by), by, F.coalesce(F.max("dist"), F.lit(float("inf"))).alias("value"))
 
 
-def covering_radius_upper_bound(points: DataFrame, strata: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """Largest distance of a point to the farthest corner of its own stratum; infinite without points."""
+def covering_radius_upper_bound(points: DataFrame, strata: DataFrame, metric: Metric = EUCLIDEAN, by: str | None = None) -> DataFrame:
+    """Largest distance of a point to the farthest corner of its own stratum; infinite without points.  ``by`` is a column of the points."""
     joined = points.join(strata.select(F.col("stratum_id").alias("point_id"), "lo", "hi"), "point_id")
     corner = F.transform(F.arrays_zip("coords", "lo", "hi"), lambda s: F.when(s["coords"] - s["lo"] > s["hi"] - s["coords"], s["lo"]).otherwise(s["hi"]))
-    return joined.agg(F.coalesce(F.max(metric.column(F.col("coords"), corner)), F.lit(float("inf"))).alias("value"))
+    return _measured(joined, by, F.coalesce(F.max(metric.column(F.col("coords"), corner)), F.lit(float("inf"))).alias("value"))
 
 
 def covering_radius_1d(points: DataFrame) -> DataFrame:

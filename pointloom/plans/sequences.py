@@ -70,21 +70,26 @@ def _points(spark: SparkSession, n: int, skip: int, dimension: int, kernel: Call
     return _indices(spark, n, skip).mapInArrow(run, "point_id long, coords array<double>")
 
 
-def sobol(spark: SparkSession, dimension: int, n: int, skip: int = 1) -> DataFrame:
-    """n Sobol points from index ``skip`` on: direction numbers of the set bits of the Gray code of an index, combined."""
+def sobol_kernel(dimension: int, end: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows of Sobol coordinates of indices below ``end``."""
     if not 1 <= dimension <= len(POLYNOMIALS):
         raise ValueError(f"the dimension must be 1 to {len(POLYNOMIALS)}")
-    if skip + n > (1 << BITS) - 1:
+    if end > (1 << BITS) - 1:
         raise ValueError("indices must stay below 2**30 - 1")
     numbers = np.array([direction_numbers(d) for d in range(1, dimension + 1)], np.int64)
 
     def kernel(index: np.ndarray) -> np.ndarray:
         gray, x = index ^ (index >> 1), np.zeros((len(index), dimension), np.int64)
-        for k in range((skip + n).bit_length()):
+        for k in range(end.bit_length()):
             x ^= -((gray >> k) & 1)[:, None] & numbers[:, k]
         return x / float(1 << BITS)
 
-    return _points(spark, n, skip, dimension, kernel)
+    return kernel
+
+
+def sobol(spark: SparkSession, dimension: int, n: int, skip: int = 1) -> DataFrame:
+    """n Sobol points from index ``skip`` on: direction numbers of the set bits of the Gray code of an index, combined."""
+    return _points(spark, n, skip, dimension, sobol_kernel(dimension, skip + n))
 
 
 def sobol_normal(spark: SparkSession, dimension: int, n: int, skip: int = 1) -> DataFrame:
@@ -119,11 +124,16 @@ def radical_inverse(index: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def halton(spark: SparkSession, n: int, dimension: int, skip: int = 0) -> DataFrame:
-    """n Halton points from index ``skip`` on, in the bases of the first primes."""
+def halton_kernel(dimension: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows of Halton coordinates of indices."""
     positive(dimension=dimension)
     bases = first_primes(dimension)
-    return _points(spark, n, skip, dimension, lambda index: np.stack([radical_inverse(index, p) for p in bases], axis=1))
+    return lambda index: np.stack([radical_inverse(index, p) for p in bases], axis=1)
+
+
+def halton(spark: SparkSession, n: int, dimension: int, skip: int = 0) -> DataFrame:
+    """n Halton points from index ``skip`` on, in the bases of the first primes."""
+    return _points(spark, n, skip, dimension, halton_kernel(dimension))
 
 
 def rank1_lattice(spark: SparkSession, n: int, generator: list[int]) -> DataFrame:

@@ -64,6 +64,20 @@ def test_bits_and_primes(spark):
     assert numbers.binomial(5, 2) == 10 and numbers.binomial(2, 5) == 0
 
 
+def test_primes_are_found_in_a_gap_and_not_up_to_the_double(spark):
+    """Every number below 30,000 by a sieve, and numbers whose range up to the double no row holds."""
+    sieve = np.ones(30_100, bool)
+    sieve[:2] = False
+    for p in range(2, 174):
+        sieve[p * p :: p] &= not sieve[p]
+    assert (numbers.primes_among(np.arange(30_100)) == sieve).all()
+    big = {4294967291: True, 4294967297: False, 3215031751: False, 2**31 - 1: True, 3825123056546413051: False, 2**61 - 1: True, 999999999989 * 9: False, 65521 * 65519: False}
+    assert numbers.primes_among(np.array(list(big))).tolist() == list(big.values())
+    rows = spark.createDataFrame([(n,) for n in (None, 24, 10**12, 10**15, 2**31, 2**63 - 30)], "n long").select("n", numbers.is_prime(F.col("n")).alias("is"), numbers.prime_from(F.col("n")).alias("p")).collect()
+    assert [r["is"] for r in rows] == [None, False, False, False, False, False]
+    assert [r.p for r in rows] == [2, 29, 10**12 + 39, 10**15 + 37, 2**31 + 11, 2**63 - 25]
+
+
 def test_lcg_jumps_equal_steps(spark):
     state = 42
     for r in sequences.lcg(spark, 5, -5, 42, 30).orderBy("pos").collect():

@@ -209,6 +209,19 @@ def test_wmh(spark):
         indicators.wmh_values(0.1, 2.0, 2, 3, ("gumbel",))
 
 
+def test_wmh_of_so_many_pairs_that_probabilities_vanish():
+    """60,000 points with two at one place: the logarithms are large numbers, not infinite."""
+    polynomials, gauss, gumbel, weibull = indicators.wmh_values(0.0, 2.0, 60_000, 1)
+    assert polynomials == weibull == 0
+    score = (0 - 1 / 6) / math.sqrt(1 / 15 - 1 / 36)
+    pairs = math.comb(60_000, 2)
+    assert gauss == pytest.approx(pairs * math.log10(math.erfc(score / math.sqrt(2)) / 2), rel=1e-12)
+    alpha = math.sqrt(2 * math.log(pairs))
+    beta = (math.log(math.log(pairs)) + math.log(4 * math.pi)) / (2 * alpha) - alpha
+    assert gumbel == pytest.approx(-math.exp(alpha * (score - beta)) / math.log(10), rel=1e-12)
+    assert math.isfinite(indicators.wmh_values(0.9, 2.0, 10_000_000, 1, ("polynomials",))[0])
+
+
 def test_selection(spark):
     rng = random.Random(6)
     rows = [(rng.random(), rng.random()) for _ in range(60)]

@@ -100,3 +100,14 @@ def test_refusals(spark):
         with pytest.raises(ValueError):
             bad()
     assert [r.point_id for r in selection.select_greedy_maximin(same, 3).orderBy("pos").collect()] == [0, 0, 0]
+
+
+def test_points_equally_far_from_a_mean_are_ties(spark):
+    """On a full grid two points are next to the mean, whose last digits are noise: the smaller id is taken for any order of the rows."""
+    ids = np.random.default_rng(7).permutation(25 * 250)
+    cells = [(int(i), 7, [k // 250 / 49, ((900 + k % 250 / 10) - 900) / 100]) for k, i in enumerate(ids)]
+    want = min(int(ids[12 * 250 + k]) for k in (124, 125))
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(cells))
+        clusters = spark.createDataFrame([cells[k] for k in order], "point_id long, cluster_id int, coords array<double>").repartition(seed + 1)
+        assert [r.point_id for r in selection.representatives(clusters, 2, "center_of_mass").collect()] == [want]

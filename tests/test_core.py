@@ -3,7 +3,9 @@
 import math
 import os
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,25 @@ def test_metrics(spark):
         point_set(spark, [[1.5]]).select(boundary_distance(F.col("coords"), vector([0]), vector([1]))).collect()
 
 
+def test_quick_distances_keep_their_digits():
+    """Products instead of differences: near and equal places, far origins and not finite coordinates give the same distances."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 64))
+    x[100:150] = x[:50]
+    x[150:200] = x[:50] + rng.normal(size=(50, 64)) * 1e-7
+    for shift in (0.0, 1e6):
+        a, b = x + shift, x[::-1] + shift
+        got, want = EUCLIDEAN.quick(a, b), EUCLIDEAN.matrix(a, b)
+        assert np.allclose(got, want, rtol=1e-10, atol=0) and ((want == 0) == (got == 0)).all()
+    x[3, 5] = np.inf
+    assert np.array_equal(EUCLIDEAN.quick(x, x), EUCLIDEAN.matrix(x, x), equal_nan=True)
+    began = time.perf_counter()
+    EUCLIDEAN.matrix(y := rng.random((1024, 64)), y)
+    plain, began = time.perf_counter() - began, time.perf_counter()
+    EUCLIDEAN.quick(y, y)
+    assert time.perf_counter() - began < plain / 2
+
+
 def test_indicator_goldens(spark):
     p = point_set(spark, TWO)
     assert value(indicators.separation_dist(p)) == pytest.approx(0.7071068)

@@ -85,3 +85,19 @@ def test_measures_agree_with_all_pairs(spark, clouds, monkeypatch):
     monkeypatch.setattr(indicators, "FEW", 10)
     for m, want in zip(measures, plain):
         assert np.allclose(tuple(m().first()), want, atol=1e-12)
+
+
+def test_bounds_are_left_where_they_leave_nothing_out(spark, monkeypatch):
+    """In many dimensions all places are compared at once, copies counted; the measures are the same."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(500, 32)), rng.normal(size=(300, 32))
+    x[400:450] = x[:50]
+    a, b = frame(spark, x), frame(spark, y, 5000)
+    assert neighbours.bounds_help(frame(spark, rng.random((3000, 2)))) and not neighbours.bounds_help(a) and not neighbours.bounds_help(a, b)
+    monkeypatch.setattr(indicators, "FEW", 10)
+    monkeypatch.setattr(indicators, "nearest_places", None)
+    own, to, fro = brute(EUCLIDEAN, x), brute(EUCLIDEAN, x, y), brute(EUCLIDEAN, y, x)
+    got = [m.first()[0] for m in (indicators.sum_of_nn_dists(a), indicators.separation_dist(a.where("point_id < 400")), indicators.hausdorff_dist(a, b), indicators.averaged_hausdorff_dist(a, b, 2))]
+    want = [own.sum(), brute(EUCLIDEAN, x[:400]).min(), max(to.max(), fro.max()), max((to**2).sum() / 500**0.5, (fro**2).sum() / 300**0.5)]
+    assert np.allclose(got, want, rtol=1e-10)
+    assert {r.point_id: r.dist for r in indicators.nearest(a).collect()} == pytest.approx(dict(enumerate(own)), abs=1e-9)

@@ -362,6 +362,15 @@ def test_ranks(spark):
     assert [(r.k, r.i) for r in got] == sorted(rows) and [r.pos for r in got] == list(range(500))
 
 
+def test_estimates_do_not_grow_with_stored_steps(spark):
+    """A loop of joins of stored tables keeps its rows, and the size that Spark expects of them stays a number of a few words."""
+    rows = spark.range(5).withColumn("v", F.array(F.lit(1.5)))
+    for _ in range(8):
+        rows = ranks.stored(rows.join(rows.select("id"), "id").join(rows.select("id"), "id"))
+        assert ranks.estimated_bits(rows) <= 64
+    assert sorted((r.id, r.v) for r in rows.collect()) == [(i, [1.5]) for i in range(5)]
+
+
 def test_points_from_columns(spark):
     frame = spark.createDataFrame([(1, 2, 3.5)], "id int, a int, b double")
     assert points_from(frame, "id", "a", "b").first().coords == [2.0, 3.5]

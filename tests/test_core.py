@@ -14,7 +14,7 @@ from pointloom.functions import numbers, transforms
 from pointloom.functions.metrics import EUCLIDEAN, MANHATTAN, Metric, boundary_distance
 from pointloom.functions.rng import letters, permuted, uniform
 from pointloom.operators import distances, indicators, refine, selection
-from pointloom.operators.pairs import pair_partials
+from pointloom.operators.pairs import packed_blocks, pair_partials
 from pointloom.plans import designs, randomizer, ranks, sequences, strata
 from pointloom.schema import points_from, unitcube, vector
 
@@ -395,6 +395,15 @@ def test_cells_meet_every_pair_once(spark):
         assert found == [(a, 1000 + b) for a in range(700) for b in range(90)]
 
 
+def test_points_of_all_pairs_travel_once(spark):
+    rng = random.Random(12)
+    frame = spark.createDataFrame([(i, [rng.random(), rng.random()]) for i in range(700)], "point_id long, coords array<double>")
+    for others in (None, frame):
+        met = pair_partials(frame, others, lambda i, x, j, y, same: {"n": len(x)}, "n long", lane=60)
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert packed_blocks(frame, 60).agg(F.sum(F.size("ids"))).first()[0] == 700
+
+
 def test_covering_radius_by_boxes(spark):
     rng = random.Random(9)
     few = point_set(spark, [(rng.random(), rng.random()) for _ in range(9)])

@@ -85,3 +85,18 @@ def test_no_perfect_matching_is_refused(spark):
     boxes = strata.stratify_conventional(spark, 4, 1).select("stratum_id", F.array(F.lit(0.0)).alias("lo"), F.array(F.lit(0.25)).alias("hi"))
     with pytest.raises(ValueError, match="no perfect matching"):
         strata.stratified_sampling(boxes, 9, 1, "matching").collect()
+
+
+def test_edges_are_sent_whole_to_no_task(spark, monkeypatch):
+    # a row that is exploded counts as before, so that any number of edges looked small enough to be broadcast
+    plans, kept = [], matching.stored
+
+    def stored(df, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, **how)
+
+    monkeypatch.setattr(matching, "stored", stored)
+    edges = kept(spark.range(60).select(F.col("id").alias("left"), F.explode(F.sequence(F.floor(F.col("id") / 2), F.floor(F.col("id") / 2) + 9)).alias("right")))
+    found = matching.bipartite_match(edges)
+    assert matching.certificate(edges, found).first() == (found.size, True, True)
+    assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pointloom.functions.metrics import EUCLIDEAN, MANHATTAN
+from pointloom.functions.metrics import EUCLIDEAN, MANHATTAN, Metric
 from pointloom.operators import indicators
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,3 +37,22 @@ def test_weitzman_by_groups(spark):
     rows = [(i, [float(i * i), 0.0], i // 3) for i in range(8)]
     got = {r.g: r.value for r in indicators.weitzman_diversity(spark.createDataFrame(rows, "point_id long, coords array<double>, g int"), by="g").collect()}
     assert got == {0: 1 + 1 + 4, 1: 1 + 7 + 16, 2: 1 + 13}
+
+
+def test_small_groups_share_a_call(spark, monkeypatch):
+    # one call for each group took milliseconds a group
+    monkeypatch.setattr(indicators, "TOGETHER", 10)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(Metric):
+        def matrix(self, a, b):
+            calls.add(1)
+            return super().matrix(a, b)
+
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 2))
+    rows = spark.createDataFrame([(int(i), str(i // 3 if i < 300 else 200 + i // 2), x[i].tolist()) for i in rng.permutation(600)], "point_id long, g string, coords array<double>")
+    got = {r.g: r.value for r in indicators.solow_polasky_diversity(rows, metric=Counted(2.0), by="g").collect()}
+    assert len(got) == 250 and calls.value < 200
+    for g, at in (("0", range(3)), ("99", range(297, 300)), ("350", range(300, 302)), ("499", range(598, 600))):
+        assert got[g] == pytest.approx(dense(x[list(at)]), abs=1e-12)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.functions.metrics import EUCLIDEAN, Metric
+from pointloom.functions.metrics import EUCLIDEAN, MANHATTAN, Metric
 from pointloom.operators import indicators, neighbours
 
 POINTS = "point_id long, coords array<double>, dist double, n int, lane int"
@@ -101,3 +101,26 @@ def test_bounds_are_left_where_they_leave_nothing_out(spark, monkeypatch):
     want = [own.sum(), brute(EUCLIDEAN, x[:400]).min(), max(to.max(), fro.max()), max((to**2).sum() / 500**0.5, (fro**2).sum() / 300**0.5)]
     assert np.allclose(got, want, rtol=1e-10)
     assert {r.point_id: r.dist for r in indicators.nearest(a).collect()} == pytest.approx(dict(enumerate(own)), abs=1e-9)
+
+
+def test_groups_are_searched_by_bounds(spark, monkeypatch):
+    """Groups in two dimensions: as from all pairs, with ids that repeat, copies, groups of one and a group that one side lacks."""
+    rng = np.random.default_rng(3)
+    n = 900
+    group, x = rng.integers(0, 6, n), np.round(rng.random((n, 2)) * [3.0, 0.5], 2)
+    group[:2] = 50, 51
+    rows = lambda at: spark.createDataFrame([(f"g{group[i]}", int((group[at[:k]] == group[i]).sum()), x[i].tolist()) for k, i in enumerate(at)], "g string, point_id long, coords array<double>")
+    points, probes = rows(np.arange(0, 500)), rows(np.append(np.arange(500, n), 1))
+    every = points.groupBy("g", "coords").agg(F.min("point_id").alias("point_id"))
+    plain = lambda df: sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in df.collect())
+    ask = lambda: [plain(f) for f in (
+        indicators.covering_radius_lower_bound(points, probes, by="g"),
+        indicators.hausdorff_dist(points, probes, by="g"),
+        indicators.sum_of_nn_dists(every, by="g"),
+        indicators.separation_dist(every, MANHATTAN, by="g"),
+    )]
+    want = ask()
+    monkeypatch.setattr(indicators, "FEW", 10)
+    monkeypatch.setattr(indicators, "_nearest_of_all", None)
+    monkeypatch.setattr(indicators, "pair_partials", None)
+    assert ask() == want and [g for g, _ in want[0]] == ["g0", "g1", "g2", "g3", "g4", "g5", "g51"]

@@ -414,6 +414,20 @@ def test_covering_radius_by_boxes(spark):
     assert math.isinf(value(indicators.covering_radius_by_boxes(few.limit(0), 2)))
 
 
+def test_boxes_with_few_points_around_end_in_tasks(spark, monkeypatch):
+    # each round over all boxes was several shuffles, down to the tolerance
+    rounds, ask = [], indicators.nearest
+    monkeypatch.setattr(indicators, "nearest", lambda *a, **k: rounds.append(1) or ask(*a, **k))
+    grid = designs.sukharev_grid(spark, 36, 2)
+    assert abs(indicators.covering_radius_by_boxes(grid, 2).first().value - math.sqrt(2) / 12) < 2e-7 and len(rounds) <= 3
+    rng = random.Random(10)
+    crowd = point_set(spark, [(rng.random() / 50, rng.random() / 50) for _ in range(300)] + [(rng.random(), rng.random()) for _ in range(9)])
+    want = value(indicators.covering_radius(crowd, 2))
+    for around in (0, 20, 256):  # crowded boxes are divided round by round
+        monkeypatch.setattr(indicators, "AROUND", around)
+        assert abs(indicators.covering_radius_by_boxes(crowd, 2, 1e-4).first().value - want) < 2e-4
+
+
 def test_default_start_and_observer(spark, tmp_path):
     start = refine.default_start(spark, 12, 2, 3)
     assert start.count() == 12 and start.columns == ["point_id", "coords"]

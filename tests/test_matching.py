@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,48 @@ def test_edges_are_sent_whole_to_no_task(spark, monkeypatch):
     found = matching.bipartite_match(edges)
     assert matching.certificate(edges, found).first() == (found.size, True, True)
     assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_stored_edges_stay_where_they_lie(spark):
+    # a literal group and an adaptive plan both made a checkpoint forget how it was dealt, and each join shuffled all edges
+    edges = matching.stored_edges(matching._vertices(frame(spark, graph(7, 50, 50, 90))))
+    some = matching._kept(edges.limit(5))
+    plan = edges.join(matching._by_left(some.select("group", "left")), ["group", "left"])._jdf.queryExecution().executedPlan()
+    assert "hashpartitioning" in edges._jdf.queryExecution().executedPlan().outputPartitioning().toString()
+    found = [line for line in plan.toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(found) == 1  # of the other side
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+@pytest.mark.parametrize("start", (*matching.STARTS, "given"))
+def test_trees_grow_from_the_smaller_side(spark, monkeypatch, start):
+    # 300 left vertices cannot all be matched with 20 right ones; a search from those left over read nearly all edges
+    fronts, kept = [], matching._kept
+
+    def counted(df):
+        rows = kept(df)
+        if rows.columns == ["group", "left", "root", "path"]:
+            fronts.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(matching, "_kept", counted)
+    edges = [(u, v) for u, v in graph(8, 300, 20, 700)]
+    found = matching.bipartite_match(frame(spark, edges), frame(spark, edges[:1]) if start == "given" else start)
+    pairs = {(r.left, r.right) for r in found.pairs.collect()}
+    assert found.size == len(pairs) == 20 and pairs <= set(edges)
+    assert fronts[0] <= 20
+    assert {r.right for r in found.cover_right.collect()} | {r.left for r in found.cover_left.collect()} == set(range(20)) and found.right.isEmpty()
+    assert {r.left for r in found.left.collect()} == {u for u, _ in edges}
+    assert tuple(matching.certificate(frame(spark, edges), found).first()) == (20, True, True)
+
+
+def test_a_certificate_refuses(spark):
+    edges = frame(spark, [(1, 1), (1, 2), (2, 2), (3, 3)])
+    found = matching.bipartite_match(edges)
+    assert tuple(matching.certificate(edges, found).first()) == (3, True, True)
+    two = found.pairs.where("left < 3")
+    cover = {"cover_left": found.cover_left.where("left < 3"), "cover_right": found.cover_right.where("right < 3")}
+    assert tuple(matching.certificate(edges, replace(found, pairs=two, size=2)).first()) == (2, True, False)
+    assert tuple(matching.certificate(edges, replace(found, pairs=two, size=2, **cover)).first()) == (2, True, False)  # (3, 3) is bare
+    none = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 2)], found.pairs.schema)
+    assert tuple(matching.certificate(edges, replace(found, pairs=none)).first()) == (3, False, True)

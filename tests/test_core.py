@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,6 +405,20 @@ def test_points_of_all_pairs_travel_once(spark):
     assert packed_blocks(frame, 60).agg(F.sum(F.size("ids"))).first()[0] == 700
 
 
+def test_files_of_all_distances_are_small(spark, tmp_path):
+    """Pairs come by distance, block by block, so that files hold equal rounded distances as runs."""
+    rng = np.random.default_rng(13)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(n, 256)) for n in (1800, 2000)))
+    frames = [spark.createDataFrame(pd.DataFrame({"point_id": range(len(v)), "coords": v.tolist()}), "point_id long, coords array<double>") for v in (x, y)]
+    distances.distance_matrix(*frames).withColumn("dist", F.round("dist", 6)).write.parquet(str(tmp_path / "met"))
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 6.5 * 1800 * 2000
+    rows = pd.read_parquet(tmp_path / "met")
+    assert len(rows) == 1800 * 2000
+    got = np.full((1800, 2000), np.nan)
+    got[rows["a"], rows["b"]] = rows["dist"]
+    assert np.abs(got - np.sqrt(2 - 2 * x @ y.T)).max() < 1e-6
+
+
 def test_covering_radius_by_boxes(spark):
     rng = random.Random(9)
     few = point_set(spark, [(rng.random(), rng.random()) for _ in range(9)])

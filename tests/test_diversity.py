@@ -56,3 +56,15 @@ def test_small_groups_share_a_call(spark, monkeypatch):
     assert len(got) == 250 and calls.value < 200
     for g, at in (("0", range(3)), ("99", range(297, 300)), ("350", range(300, 302)), ("499", range(598, 600))):
         assert got[g] == pytest.approx(dense(x[list(at)]), abs=1e-12)
+
+
+def test_close_places_take_few_steps(spark, monkeypatch):
+    """A sample of the places takes the large eigenvalues out of the steps; without it these take 81."""
+    monkeypatch.setitem(indicators.EXACT_POINTS, "solow_polasky", 20)
+    steps = []
+    stored = indicators.stored
+    monkeypatch.setattr(indicators, "stored", lambda df, *a, **b: steps.append("q" in df.columns) or stored(df, *a, **b))
+    x = np.random.default_rng(8).random((100, 2))
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "point_id long, coords array<double>")
+    assert abs(indicators.solow_polasky_diversity(frame).first()[0] - dense(x)) < 1e-6
+    assert sum(steps) < 50
